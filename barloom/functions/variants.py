@@ -6,7 +6,7 @@ JSON schema would null the whole list.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,14 @@ def list_field(doc: Column, name: str) -> Column:
 def is_object(doc: Column) -> Column:
     """True for a JSON object; false for a list, a scalar, JSON null or SQL NULL."""
     return F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
+
+
+def computed_once(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` plus the given columns, each evaluated once per row.
+
+    A filter on a plain projected column is pushed below the projection with the
+    whole expression in it, so a parsed document would be parsed again for every
+    reference. Filters do not cross a generator, and this is the smallest one.
+    """
+    one = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return rows.select(*keep, F.inline(F.array(one)))

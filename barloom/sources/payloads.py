@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.parsing import parse_iso_date, parse_number, strip
-from barloom.functions.variants import field, is_object, list_field, text_field
+from barloom.functions.variants import computed_once, field, is_object, list_field, text_field
 from barloom.operators.quality import text_is_blank, ticker_is_bad
 from barloom.schema import FACTS, OPTIONAL_FACTS, REQUIRED_FACTS, STOCK_COLUMNS
 
@@ -151,31 +151,30 @@ def read_history(payloads: DataFrame, source: str) -> Feed:
 
     A payload with a bad envelope or identity is rejected as a whole.
     """
-    parsed = payloads.select(
-        "payload_id", "arrived_at", F.try_parse_json("payload").alias("doc")
-    ).select("*", field(F.col("doc"), "data").alias("data"))
-    opened = parsed.select(
-        "payload_id",
-        "arrived_at",
-        F.coalesce(
-            _kind_of_document(F.col("doc")),
-            F.when(F.col("data").isNotNull() & ~is_object(F.col("data")), "data_not_an_object"),
-        ).alias("envelope_fault"),
-        F.coalesce("data", "doc").alias("history"),
+    arrival = ["payload_id", "arrived_at"]
+    parsed = computed_once(payloads, arrival, doc=F.try_parse_json("payload"))
+    doc, data = F.col("doc"), field(F.col("doc"), "data")
+    opened = computed_once(
+        parsed,
+        arrival,
+        envelope_fault=F.coalesce(
+            _kind_of_document(doc),
+            F.when(data.isNotNull() & ~is_object(data), "data_not_an_object"),
+        ),
+        history=F.coalesce(data, doc),
     )
     history = F.col("history")
     code = F.when(field(history, "code").isNull(), "").otherwise(text_field(history, "code"))
-    docs = opened.select(
-        "payload_id",
-        "arrived_at",
-        "envelope_fault",
-        F.upper(code).alias("ticker"),
-        text_field(history, "name").alias("given_name"),
-        text_field(history, "unit").alias("unit"),
-        field(history, "items").isNotNull().alias("has_items"),
-        list_field(history, "items").alias("items"),
+    fields = computed_once(
+        opened,
+        [*arrival, "envelope_fault"],
+        ticker=F.upper(code),
+        given_name=text_field(history, "name"),
+        unit=text_field(history, "unit"),
+        has_items=field(history, "items").isNotNull(),
+        items=list_field(history, "items"),
     ).withColumn("company_name", F.coalesce("given_name", "ticker"))
-    checked = docs.withColumn(
+    checked = fields.withColumn(
         "fault",
         F.coalesce(
             "envelope_fault",
@@ -186,8 +185,7 @@ def read_history(payloads: DataFrame, source: str) -> Feed:
         ),
     )
     good = checked.where(F.col("fault").isNull()).select(
-        "payload_id",
-        "arrived_at",
+        *arrival,
         "ticker",
         "company_name",
         F.lit(None).cast("string").alias("sector"),
@@ -204,22 +202,22 @@ def read_history(payloads: DataFrame, source: str) -> Feed:
 
 def read_summary(payloads: DataFrame, source: str) -> Feed:
     """Summary payloads to rows, one per symbol of the day."""
-    parsed = payloads.select(
-        "payload_id", "arrived_at", F.try_parse_json("payload").alias("doc")
-    )
+    arrival = ["payload_id", "arrived_at"]
+    parsed = computed_once(payloads, arrival, doc=F.try_parse_json("payload"))
     doc = F.col("doc")
-    docs = parsed.select(
-        "payload_id",
-        "arrived_at",
+    docs = computed_once(
+        parsed,
+        arrival,
+        document_fault=_kind_of_document(doc),
+        has_rows=field(doc, "data").isNotNull(),
+        items=list_field(doc, "data"),
+    ).select(
+        *arrival,
         F.lit(None).cast("string").alias("ticker"),
-        _kind_of_document(doc).alias("document_fault"),
-        field(doc, "data").isNotNull().alias("has_rows"),
-        list_field(doc, "data").alias("items"),
-    ).withColumn(
-        "fault",
         F.coalesce(
             "document_fault", F.when(F.col("has_rows") & F.col("items").isNull(), "data_not_a_list")
-        ),
+        ).alias("fault"),
+        "items",
     )
     good = docs.where(F.col("fault").isNull())
     items = _explode_objects(good, "items", ["payload_id", "arrived_at"])

@@ -172,7 +172,7 @@ def _watchlist(stocks: str) -> str:
 select s.ticker, company_name, sector, cast(close as double) as latest_close,
        cast(close - previous as double) as change, {PERCENT} as change_percent,
        {DIRECTION} as direction, trade_date as latest_trade_date,
-       coalesce(least(n, 30), 0) as n_points
+       least(coalesce(n, 0), 30) as n_points
 from {stocks} s left join newest n1 using (ticker)
 left join (select ticker, count(*) as n from bars group by ticker) c using (ticker)
 where is_active"""

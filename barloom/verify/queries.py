@@ -16,6 +16,7 @@ from barloom.functions.arrays import spread_of
 from barloom.functions.calendar import as_date
 from barloom.functions.frequency import frequency_log10, frequency_raw
 from barloom.functions.prices import change, change_percent, direction
+from barloom.functions.variants import computed_once
 from barloom.operators import joins, latest, quality, runlog, upsert
 from barloom.plans import history as hist
 from barloom.plans import indicators, ingest, status, watchlist
@@ -626,8 +627,7 @@ def _damaged(spark: SparkSession, sf: str) -> DataFrame:
     """Every payload with one kind of damage, chosen by symbol and year; some stay whole."""
     parts = F.split("payload_id", "/")
     number = F.substring(parts[0], 2, 18).cast("bigint")
-    kind = (number + parts[1].cast("bigint")) % 9
-    whole = F.col("payload")
+    whole, kind = F.col("payload"), F.col("kind")
     damage = {
         0: F.expr("left(payload, length(payload) - 1)"),
         1: F.concat(F.lit("["), whole, F.lit("]")),
@@ -641,7 +641,9 @@ def _damaged(spark: SparkSession, sf: str) -> DataFrame:
     damaged = whole
     for number_, text in damage.items():
         damaged = F.when(kind == number_, text).otherwise(damaged)
-    return _by_year(spark, sf).withColumn("payload", damaged)
+    chosen = (number + parts[1].cast("bigint")) % 9
+    made = computed_once(_by_year(spark, sf), ["payload_id", "arrived_at"], payload=whole, kind=chosen)
+    return made.withColumn("payload", damaged)
 
 
 @query
