@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions.calendar import within
 from barloom.operators.quality import BAR_RULES, assess, split
 from barloom.operators.runlog import (
     CLOSED,
@@ -104,11 +105,19 @@ def plan_outcome(
     return outcome.select(*OUTCOME.fieldNames())
 
 
-def _only(rows: DataFrame, tickers: DataFrame | None) -> DataFrame:
-    if tickers is None:
-        return rows
-    wanted = tickers.select(F.upper("ticker").alias("ticker")).distinct()
-    return rows.join(wanted, "ticker", "left_semi")
+def _asked_for(
+    parsed: DataFrame,
+    tickers: DataFrame | None,
+    date_from: dt.date | None,
+    date_to: dt.date | None,
+) -> DataFrame:
+    """Bars of the requested symbols and dates; faults are kept whatever their date."""
+    if tickers is not None:
+        wanted = tickers.select(F.upper("ticker").alias("ticker")).distinct()
+        parsed = parsed.join(wanted, "ticker", "left_semi")
+    day = F.col("trade_date")
+    start, end = F.lit(date_from).cast("date"), F.lit(date_to).cast("date")
+    return parsed.where(F.col("fault").isNotNull() | day.isNull() | within(day, start, end))
 
 
 def ingest(
@@ -150,11 +159,12 @@ def _run(
     tables, feed, provider, job_id, at, tickers, date_from, date_to, limit,
     whole_payloads, coalesce_nulls, resume,
 ) -> None:
-    rows = _only(pull_window(feed.rows, date_from, date_to, limit), tickers)
-    assessed = tables.stage(
-        assess(rows, BAR_RULES, known=F.col("parse_errors")), job_id, "assessed"
-    )
-    rejects = tables.stage(_only(feed.rejects, tickers), job_id, "rejects")
+    asked = _asked_for(feed.parsed, tickers, date_from, date_to)
+    parsed = tables.stage(assess(asked, BAR_RULES, known=F.col("parse_errors")), job_id, "parsed")
+    rejects = Feed(parsed).rejects
+    assessed = parsed.where(F.col("fault").isNull())
+    if limit is not None:
+        assessed = tables.stage(pull_window(assessed, limit=limit), job_id, "pulled")
     accepted = accepted_rows(assessed, whole_payloads)
     batch = tables.stage(batch_of(accepted), job_id, "batch")
     periods = tables.touched_periods(batch)
@@ -185,8 +195,9 @@ def _run(
 
 def quarantine(tables: MarketTables, job_id: str) -> DataFrame:
     """The rows a job did not accept, each with its reasons."""
-    schema = tables.spark.read.parquet(tables.path(f"staging/{job_id}/assessed")).schema
-    return split(tables.staged(job_id, "assessed", schema)).quarantine
+    path = tables.path(f"staging/{job_id}/parsed")
+    rows = tables.spark.read.parquet(path).where(F.col("fault").isNull())
+    return split(rows).quarantine.drop("parse_errors", "fault")
 
 
 def seed(

@@ -2,15 +2,16 @@
 
 Two JSON shapes exist. A *history* payload holds one symbol and the list of its
 bars; a *summary* payload holds one bar for each of many symbols. Both become
-one frame of typed rows plus one frame of payloads that could not be read.
+one frame: a typed row per bar, and one row with a ``fault`` for each payload
+that could not be read. A job that needs both reads the payloads once.
 
-A row keeps what went wrong with it in ``parse_errors``; the quality rules add
+A bar keeps what went wrong with it in ``parse_errors``; the quality rules add
 their own findings later.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,11 +58,23 @@ ARRIVAL = ["arrived_at", "payload_id", "position"]
 ROW_COLUMNS = [*ARRIVAL, *STOCK_COLUMNS, "trade_date", *FACTS, "source", "parse_errors"]
 
 
-class Feed(NamedTuple):
-    """Rows read from payloads, and the payloads that could not be read."""
+@dataclass(frozen=True)
+class Feed:
+    """What was read from a source: :data:`ROW_COLUMNS` and ``fault``."""
 
-    rows: DataFrame
-    rejects: DataFrame
+    parsed: DataFrame
+
+    @property
+    def rows(self) -> DataFrame:
+        """The bars."""
+        return self.parsed.where(F.col("fault").isNull()).select(*ROW_COLUMNS)
+
+    @property
+    def rejects(self) -> DataFrame:
+        """The payloads that could not be read, and why."""
+        return self.parsed.where(F.col("fault").isNotNull()).select(
+            "payload_id", "arrived_at", "ticker", F.col("fault").alias("reason")
+        )
 
 
 def landing_files(
@@ -119,27 +132,30 @@ def _typed(rows: DataFrame, names: dict[str, str], source: str) -> DataFrame:
     faults = [fault("trade_date", True)]
     faults += [fault(name, True) for name in REQUIRED_FACTS]
     faults += [fault(name, False) for name in OPTIONAL_FACTS if name in names]
+    readable = F.col("fault").isNull()
+    none = F.array().cast("array<string>")
     return typed.select(
         *ARRIVAL,
         *STOCK_COLUMNS,
         "trade_date",
         *FACTS,
         strip(F.lit(source)).alias("source"),
-        F.array_compact(F.array(*faults)).alias("parse_errors"),
+        F.when(readable, F.array_compact(F.array(*faults))).otherwise(none).alias("parse_errors"),
+        "fault",
     )
 
 
-def _explode_objects(docs: DataFrame, items: str, keep: list[str]) -> DataFrame:
-    """One row per list element that is an object; other elements are skipped."""
-    return docs.select(*keep, F.posexplode(items).alias("position", "item")).where(
-        is_object(F.col("item"))
-    )
-
+def _explode_objects(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per list element that is an object; other elements are skipped.
 
-def _rejects(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("fault").isNotNull()).select(
-        "payload_id", "arrived_at", "ticker", F.col("fault").alias("reason")
-    )
+    A document with a fault keeps one row, without an element.
+    """
+    readable = F.col("fault").isNull()
+    return docs.select(
+        *keep,
+        "fault",
+        F.posexplode_outer(F.when(readable, F.col("items"))).alias("position", "item"),
+    ).where(~readable | is_object(F.col("item")))
 
 
 def _kind_of_document(doc: Column) -> Column:
@@ -184,20 +200,15 @@ def read_history(payloads: DataFrame, source: str) -> Feed:
             F.when(text_is_blank(F.col("company_name")), "blank_company_name"),
         ),
     )
-    good = checked.where(F.col("fault").isNull()).select(
-        *arrival,
-        "ticker",
-        "company_name",
-        F.lit(None).cast("string").alias("sector"),
-        F.lit(None).cast("string").alias("subsector"),
-        "items",
-    )
-    identity = ["payload_id", "arrived_at", *STOCK_COLUMNS]
-    items = _explode_objects(good, "items", identity)
-    raw = items.select(
-        *identity, "position", *_bar_fields(F.col("item"), HISTORY_DATE, HISTORY_FIELDS)
+    no_text = F.lit(None).cast("string")
+    named = checked.withColumn("sector", no_text).withColumn("subsector", no_text)
+    raw = _explode_objects(named, [*arrival, *STOCK_COLUMNS]).select(
+        *ARRIVAL,
+        *STOCK_COLUMNS,
+        "fault",
+        *_bar_fields(F.col("item"), HISTORY_DATE, HISTORY_FIELDS),
     )
-    return Feed(_typed(raw, HISTORY_FIELDS, source), _rejects(checked))
+    return Feed(_typed(raw, HISTORY_FIELDS, source))
 
 
 def read_summary(payloads: DataFrame, source: str) -> Feed:
@@ -213,25 +224,27 @@ def read_summary(payloads: DataFrame, source: str) -> Feed:
         items=list_field(doc, "data"),
     ).select(
         *arrival,
-        F.lit(None).cast("string").alias("ticker"),
         F.coalesce(
             "document_fault", F.when(F.col("has_rows") & F.col("items").isNull(), "data_not_a_list")
         ).alias("fault"),
         "items",
     )
-    good = docs.where(F.col("fault").isNull())
-    items = _explode_objects(good, "items", ["payload_id", "arrived_at"])
+    items = _explode_objects(docs, arrival)
     item = F.col("item")
-    code = F.when(field(item, SUMMARY_CODE).isNull(), "").otherwise(text_field(item, SUMMARY_CODE))
+    # Absent code: blank, and so a bad ticker. No code at all where there is no item.
+    code = F.when(
+        item.isNotNull() & field(item, SUMMARY_CODE).isNull(), F.lit("")
+    ).otherwise(text_field(item, SUMMARY_CODE))
     raw = items.select(
         *ARRIVAL,
+        "fault",
         F.upper(code).alias("ticker"),
         text_field(item, SUMMARY_NAME).alias("given_name"),
         F.lit(None).cast("string").alias("sector"),
         F.lit(None).cast("string").alias("subsector"),
         *_bar_fields(item, SUMMARY_DATE, SUMMARY_FIELDS),
     ).withColumn("company_name", F.coalesce("given_name", "ticker"))
-    return Feed(_typed(raw, SUMMARY_FIELDS, source), _rejects(docs))
+    return Feed(_typed(raw, SUMMARY_FIELDS, source))
 
 
 def history_payloads(bars: DataFrame, stocks: DataFrame, chunk: Column) -> DataFrame:

@@ -81,7 +81,7 @@ class LandedProvider:
             return feed
         # A summary request names one date; rows without a readable date stay for quarantine.
         keep = F.col("trade_date").isNull() | (F.col("trade_date") == as_date(day))
-        return Feed(feed.rows.where(keep), feed.rejects)
+        return Feed(feed.parsed.where(keep))
 
 
 @dataclass(frozen=True)
@@ -102,11 +102,9 @@ class TableProvider:
             *FACTS,
             F.lit(self.name).alias("source"),
             F.array().cast("array<string>").alias("parse_errors"),
+            F.lit(None).cast("string").alias("fault"),
         )
-        rejects = rows.select(
-            "payload_id", "arrived_at", "ticker", F.lit("").alias("reason")
-        ).where(F.lit(False))
-        return Feed(rows, rejects)
+        return Feed(rows)
 
     def history(self) -> Feed:
         return self._feed(self.bars)

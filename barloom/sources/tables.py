@@ -26,7 +26,7 @@ from barloom.schema import (
 
 # Period number of a date by grain: 2024, 202403 or 20240315.
 GRAINS = {"year": "yyyy", "month": "yyyyMM", "day": "yyyyMMdd"}
-STOCK_SLOTS = 64
+STOCK_SLOTS = 16
 
 
 def period_of(day: Column, grain: str) -> Column:
