@@ -29,13 +29,12 @@ def scaled_points(values: Column) -> Column:
     Fewer than two finite values make no line: the result is then empty.
     """
     bad = (float("nan"), float("inf"), float("-inf"))
-    points = F.filter(values, lambda v: v.isNotNull() & ~v.isin(*bad))
-    low = F.array_min(points)
-    scaled = F.transform(
+    finite = F.filter(values, lambda v: v.isNotNull() & ~v.isin(*bad))
+    points = F.when(F.size(finite) >= 2, finite).otherwise(F.slice(finite, 1, 0))
+    low, spread = F.array_min(points), spread_of(points)
+    return F.transform(
         points,
         lambda v, i: F.struct(
-            (i / (F.size(points) - 1)).alias("position"),
-            ((v - low) / spread_of(points)).alias("level"),
+            (i / (F.size(points) - 1)).alias("position"), ((v - low) / spread).alias("level")
         ),
     )
-    return F.when(F.size(points) >= 2, scaled).otherwise(F.slice(scaled, 1, 0))
