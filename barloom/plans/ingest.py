@@ -79,19 +79,15 @@ def plan_outcome(
     Rejected payloads fail their symbol. Bad rows fail it only when payloads
     are taken whole; otherwise they just go to quarantine.
     """
-    failures = rejects.select(
-        F.coalesce("ticker", F.lit(UNKNOWN_TICKER)).alias("ticker"), F.col("reason").alias("error")
-    )
+    named = F.coalesce(F.nullif("ticker", F.lit("")), F.lit(UNKNOWN_TICKER)).alias("ticker")
+    failures = rejects.select(named, F.col("reason").alias("error"))
     if whole_payloads:
         bad = assessed.where(F.size("reasons") > 0)
         failures = failures.unionByName(
-            bad.select(
-                F.coalesce("ticker", F.lit(UNKNOWN_TICKER)).alias("ticker"),
-                F.array_join("reasons", ",").alias("error"),
-            )
+            bad.select(named, F.array_join("reasons", ",").alias("error"))
         )
     failed = failures.groupBy("ticker").agg(F.min("error").alias("error"))
-    seen = assessed.where(F.col("ticker").isNotNull()).select("ticker").distinct()
+    seen = assessed.select(named).distinct()
     outcome = counts.join(failed, "ticker", "full_outer").join(seen, "ticker", "full_outer")
     if tickers is not None:
         outcome = tickers.select(F.upper("ticker").alias("ticker")).distinct().join(
@@ -209,7 +205,12 @@ def seed(
     job_id: str,
     at: dt.datetime,
 ) -> None:
-    """First load of empty tables. Logs one succeeded run with the rows received."""
+    """First load of empty tables. Logs one succeeded run with the rows received.
+
+    A seed that is already in the log is not repeated.
+    """
+    if tables.runs().where(F.col("job_id") == job_id).first() is not None:
+        return
     now = as_instant(at)
     tables.overwrite_bars(
         bars.select(

@@ -10,7 +10,9 @@ from pyspark.sql import SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, java_options: str = ""
+) -> SparkSession:
     """Session for tests and benchmarks on one machine. A cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -18,6 +20,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.driver.extraJavaOptions", java_options)
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -17,7 +17,8 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, shuffle_partitions=4)
+    # Many tiny plans: the quick compiler pays off more than the optimising one.
+    session = local_session(8, shuffle_partitions=4, java_options="-XX:TieredStopAtLevel=1")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
@@ -28,9 +29,9 @@ def folder(spark):
     return working_folder(spark, "test")
 
 
-def bar_row(ticker, day, close=100, **facts):
+def bar_row(ticker, day, price=100, **facts):
     """A valid bar as a tuple in schema order; any column can be overridden."""
-    close = Decimal(str(close))
+    close = Decimal(str(price))
     values = {
         "open": close, "high": close + 2, "low": max(close - 2, Decimal(1)), "close": close,
         "previous": close - 1, "volume_shares": 3000, "value_idr": Decimal("5.00"),
