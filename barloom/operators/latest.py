@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from barloom.functions.calendar import as_date
+from barloom.operators.ranges import grain_of, in_range
+from barloom.schema import PERIOD_COLUMNS
 
 
 def newest_rows(
@@ -49,14 +50,24 @@ def latest_on_or_before(
     rows: DataFrame, day: Column | dt.date | str, columns: list[str]
 ) -> DataFrame:
     """As-of read: the newest row per ticker not after ``day``."""
-    return latest_row(rows.where(F.col("trade_date") <= as_date(day)), columns)
+    return latest_row(in_range(rows, date_to=day), columns)
 
 
 def latest_date(rows: DataFrame) -> DataFrame:
-    """One row: the newest trade date of all symbols, NULL when there is none."""
+    """One row: the newest trade date of all symbols, NULL when there is none.
+
+    Of stored bars only the newest partition is read; the subquery that finds it
+    reads no column.
+    """
+    grain = grain_of(rows)
+    if grain:
+        period = PERIOD_COLUMNS[grain]
+        rows = rows.where(F.col(period) == rows.agg(F.max(period)).scalar())
     return rows.agg(F.max("trade_date").alias("latest_trade_date"))
 
 
 def latest_dates(rows: DataFrame) -> DataFrame:
     """The newest trade date of each symbol."""
+    # Stated here so that every use gives the same plan, whose shuffle Spark can share.
+    rows = rows.where(F.col("ticker").isNotNull())
     return rows.groupBy("ticker").agg(F.max("trade_date").alias("latest_trade_date"))

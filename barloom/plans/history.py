@@ -20,14 +20,13 @@ from barloom.functions.calendar import (
     as_date,
     is_stale,
     window_start,
-    within,
 )
 from barloom.functions.frequency import frequency_raw
 from barloom.functions.prices import lots
 from barloom.operators.joins import bars_for_requests
 from barloom.operators.latest import latest_dates, newest_rows
 from barloom.operators.quality import check_request
-from barloom.sources.providers import in_range
+from barloom.operators.ranges import grain_of, in_range
 
 BAR_FACTS = [
     "trade_date", "open", "high", "low", "close", "previous",
@@ -96,18 +95,13 @@ def request_rows(resolved: DataFrame, bars: DataFrame) -> DataFrame:
 def prune_to_requests(bars: DataFrame, resolved: DataFrame) -> DataFrame:
     """Restrict stored bars to the dates any request can reach.
 
-    The bounds are scalar subqueries, which Spark runs first and then uses to
-    prune partitions and row groups of the scan. A request without a bound
-    opens the range on that side.
+    A request without a bound opens the range on that side.
     """
     reach = resolved.where("listed").agg(
         F.min(F.coalesce("start", as_date("0001-01-01"))).alias("first"),
         F.max(F.coalesce("date_to", as_date("9999-12-31"))).alias("last"),
     )
-    return bars.where(
-        (F.col("trade_date") >= reach.select("first").scalar())
-        & (F.col("trade_date") <= reach.select("last").scalar())
-    )
+    return in_range(bars, reach.select("first").scalar(), reach.select("last").scalar())
 
 
 def _header(
@@ -170,20 +164,35 @@ def universe_rows(
     """Bars of one common window for every symbol.
 
     Constant bounds stay plain filters and reach the scan. Only an open-ended
-    timeframe needs each symbol's latest date; the window that finds it shares
-    the partitioning by ticker with the row limit.
+    timeframe needs each symbol's latest date.
     """
     check_request(timeframe, row_limit)
+    days = TIMEFRAME_DAYS.get(timeframe)
+    if date_from is None and date_to is not None and days is not None:
+        date_from = F.date_sub(as_date(date_to), days)
     rows = in_range(bars, date_from, date_to)
-    if date_from is None and timeframe != UNBOUNDED:
-        days = TIMEFRAME_DAYS[timeframe]
-        if date_to is not None:
-            rows = rows.where(F.col("trade_date") >= F.date_sub(as_date(date_to), days))
-        else:
-            rows = window_of_result(rows, timeframe)
+    if date_from is None and days is not None:
+        rows = _since_latest(rows, days) if grain_of(rows) else window_of_result(rows, timeframe)
     return rows if row_limit is None else newest_rows(rows, row_limit)
 
 
+def _since_latest(rows: DataFrame, days: int) -> DataFrame:
+    """Stored bars not older than ``days`` before their symbol's latest date.
+
+    The latest dates are one row per symbol, from a scan of two columns. They
+    bound the partitions to read and then filter the bars by a join, so old
+    bars are neither read in full nor shuffled.
+    """
+    latest = latest_dates(rows)
+    oldest = latest.agg(F.date_sub(F.min("latest_trade_date"), days)).scalar()
+    return (
+        in_range(rows, oldest)
+        .join(latest, "ticker")
+        .where(F.col("trade_date") >= F.date_sub("latest_trade_date", days))
+        .drop("latest_trade_date")
+    )
+
+
 def universe_history(
     bars: DataFrame,
     stocks: DataFrame,
@@ -225,8 +234,6 @@ def window_of_result(rows: DataFrame, timeframe: str) -> DataFrame:
     last = F.max("trade_date").over(W.partitionBy("ticker"))
     return (
         rows.withColumn("_last", last)
-        .where(
-            within(F.col("trade_date"), F.date_sub("_last", TIMEFRAME_DAYS[timeframe]), None)
-        )
+        .where(F.col("trade_date") >= F.date_sub("_last", TIMEFRAME_DAYS[timeframe]))
         .drop("_last")
     )

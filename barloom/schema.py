@@ -42,16 +42,22 @@ BAR = T.StructType(
     ]
 )
 
-# A stored bar adds the audit instants and the partition column.
-STORED_BAR = T.StructType(
-    [
-        *BAR.fields,
-        T.StructField("ingested_at", T.TimestampType(), False),
-        T.StructField("created_at", T.TimestampType(), False),
-        T.StructField("updated_at", T.TimestampType(), False),
-        T.StructField("trade_period", T.IntegerType(), False),
-    ]
-)
+# Partition column of stored bars by grain. The name tells the grain.
+PERIOD_COLUMNS = {"year": "trade_year", "month": "trade_month", "day": "trade_day"}
+
+
+def stored_bar(grain: str) -> T.StructType:
+    """A stored bar adds the audit instants and the partition column."""
+    return T.StructType(
+        [
+            *BAR.fields,
+            T.StructField("ingested_at", T.TimestampType(), False),
+            T.StructField("created_at", T.TimestampType(), False),
+            T.StructField("updated_at", T.TimestampType(), False),
+            T.StructField(PERIOD_COLUMNS[grain], T.IntegerType(), False),
+        ]
+    )
+
 
 STOCK_COLUMNS = ["ticker", "company_name", "sector", "subsector"]
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.calendar import as_date
 from barloom.operators.latest import latest_on_or_before, newest_rows
+from barloom.operators.ranges import in_range
 from barloom.schema import FACTS, STOCK_COLUMNS
 from barloom.sources.payloads import Feed, landing_files, read_history, read_summary
 
@@ -35,17 +36,6 @@ class Provider(Protocol):
         """One row per symbol: its newest on or before ``day``."""
 
 
-def in_range(
-    rows: DataFrame, date_from: dt.date | str | None, date_to: dt.date | str | None
-) -> DataFrame:
-    """Rows in the inclusive date range; an absent bound does not restrict."""
-    if date_from is not None:
-        rows = rows.where(F.col("trade_date") >= as_date(date_from))
-    if date_to is not None:
-        rows = rows.where(F.col("trade_date") <= as_date(date_to))
-    return rows
-
-
 def pull_window(
     rows: DataFrame,
     date_from: dt.date | str | None = None,

@@ -1,6 +1,6 @@
 """Stored tables: plain parquet under one root, read with fixed schemas.
 
-Bars are partitioned by ``trade_period`` and sorted by (ticker, trade date)
+Bars are partitioned by year, month or day and sorted by (ticker, trade date)
 inside each file, so a date range prunes partitions and a ticker prunes row
 groups. A merge rewrites only the periods its batch touches; the finer the
 grain, the less a daily batch rewrites. Stocks are partitioned by a hash slot
@@ -16,30 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.functions.calendar import as_date
+from barloom.operators.ranges import in_range, period_of
 from barloom.schema import (
     BAR_COLUMNS,
+    PERIOD_COLUMNS,
     RUN_EVENT,
-    STORED_BAR,
     STORED_STOCK,
+    stored_bar,
 )
 
-# Period number of a date by grain: 2024, 202403 or 20240315.
-GRAINS = {"year": "yyyy", "month": "yyyyMM", "day": "yyyyMMdd"}
 STOCK_SLOTS = 16
 
 
-def period_of(day: Column, grain: str) -> Column:
-    year, month = F.year(day), F.month(day)
-    if grain == "year":
-        return year
-    if grain == "month":
-        return year * 100 + month
-    if grain == "day":
-        return year * 10000 + month * 100 + F.dayofmonth(day)
-    raise ValueError(f"grain must be one of {', '.join(GRAINS)}")
-
-
 def slot_of(ticker: Column) -> Column:
     return F.pmod(F.xxhash64(ticker), F.lit(STOCK_SLOTS)).cast("int")
 
@@ -52,13 +40,18 @@ class MarketTables:
     root: str
     grain: str = "month"
 
+    @property
+    def period(self) -> str:
+        """The partition column of the bars."""
+        return PERIOD_COLUMNS[self.grain]
+
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
     def create(self) -> MarketTables:
         """Create the empty tables that do not exist yet."""
         for name, schema, partition in (
-            ("bars", STORED_BAR, "trade_period"),
+            ("bars", stored_bar(self.grain), self.period),
             ("stocks", STORED_STOCK, "ticker_slot"),
             ("runs", RUN_EVENT, None),
         ):
@@ -75,22 +68,10 @@ class MarketTables:
         date_to: dt.date | str | None = None,
     ) -> DataFrame:
         """Stored bars; the bounds prune partitions and reach the parquet scan."""
-        rows = self._read("bars", STORED_BAR)
-        if date_from is not None:
-            start = as_date(date_from)
-            rows = rows.where(
-                (F.col("trade_date") >= start)
-                & (F.col("trade_period") >= period_of(start, self.grain))
-            )
-        if date_to is not None:
-            end = as_date(date_to)
-            rows = rows.where(
-                (F.col("trade_date") <= end) & (F.col("trade_period") <= period_of(end, self.grain))
-            )
-        return rows
+        return in_range(self._read("bars", stored_bar(self.grain)), date_from, date_to)
 
     def bars_in(self, periods: list[int]) -> DataFrame:
-        return self._read("bars", STORED_BAR).where(F.col("trade_period").isin(periods))
+        return self.bars().where(F.col(self.period).isin(periods))
 
     def stocks(self) -> DataFrame:
         return self._read("stocks", STORED_STOCK)
@@ -110,11 +91,11 @@ class MarketTables:
         joins small ones.
         """
         self._overwrite(
-            bars.withColumn("trade_period", period_of(F.col("trade_date"), self.grain)).select(
-                *STORED_BAR.fieldNames()
+            bars.withColumn(self.period, period_of(F.col("trade_date"), self.grain)).select(
+                *stored_bar(self.grain).fieldNames()
             ),
             "bars",
-            "trade_period",
+            self.period,
             ["ticker", "trade_date"],
         )
 

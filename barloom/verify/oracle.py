@@ -34,6 +34,9 @@ bars as (
          'fixture' as source
   from daily)"""
 
+EARLY_BARS = BARS.replace("bars as (", "all_bars as (") + f""",
+bars as (select * from all_bars where trade_date < {CUT})"""
+
 STOCKS = """
 stocks as (
   select concat('S', cast(s_suppkey as varchar)) as ticker, s_name as company_name,
@@ -220,6 +223,16 @@ answer as (
     and (start is null or trade_date >= start) and (date_to is null or trade_date <= date_to)),
 kept as (select * from answer where row_limit is null or rn <= row_limit)"""
 
+REQUEST_HEADER = f"""
+, span as (
+  select request_id, min(trade_date) as first_date, max(trade_date) as last_date, count(*) as n
+  from kept group by request_id)
+select request_id, ticker, company_name, coalesce(first_date, start) as date_from,
+       coalesce(last_date, date_to) as date_to, last_date as latest_trade_date,
+       last_date is null or last_date < {EXPECTED} as is_stale, false as is_mock,
+       'landing' as source, coalesce(n, 0) as n_bars
+from resolved left join span using (request_id)"""
+
 MERGE = """
 select coalesce(o.ticker, n.ticker) as ticker, coalesce(o.trade_date, n.trade_date) as trade_date,
   {prices},
@@ -334,15 +347,7 @@ from line where n >= 2""",
     "history_header_without_bars": _with(BARS, CUSTOMER_STOCKS) + _header("customer_stocks", 93),
     "history_requests": _with(BARS, STOCKS, REQUESTS, RESOLVED)
     + f"select request_id, ticker, company_name, {VIEW} from kept",
-    "history_requests_header": _with(BARS, STOCKS, REQUESTS, RESOLVED)
-    + f""", span as (
-  select request_id, min(trade_date) as first_date, max(trade_date) as last_date, count(*) as n
-  from kept group by request_id)
-select request_id, ticker, company_name, coalesce(first_date, start) as date_from,
-       coalesce(last_date, date_to) as date_to, last_date as latest_trade_date,
-       last_date is null or last_date < {EXPECTED} as is_stale, false as is_mock,
-       'landing' as source, coalesce(n, 0) as n_bars
-from resolved left join span using (request_id)""",
+    "history_requests_header": _with(BARS, STOCKS, REQUESTS, RESOLVED) + REQUEST_HEADER,
     "history_not_found": _with(STOCKS, REQUESTS)
     + """select request_id, upper(ticker) as ticker, timeframe from requests r
 where not exists (select 1 from stocks s where s.ticker = upper(r.ticker))""",
@@ -518,8 +523,21 @@ from counted full outer join spoilt s using (ticker)""",
 from bars where trade_date < {CUT}""",
     "stored_scan": _with(BARS)
     + """select ticker, trade_date, cast(close as double) as close,
-  cast(year(trade_date) as bigint) as trade_period
+  cast(year(trade_date) as bigint) as trade_year
 from bars where trade_date between date '1998-03-01' and date '1998-06-30'""",
+    "stored_history_3m": _with(EARLY_BARS, STOCKS)
+    + f""", windowed as (
+  select *, row_number() over (partition by ticker order by trade_date desc) as rn
+  from (select *, max(trade_date) over (partition by ticker) as last from bars)
+  where trade_date >= last - 93)
+select ticker, company_name, {VIEW} from windowed join stocks using (ticker) where rn <= 20""",
+    "stored_history_requests": _with(EARLY_BARS, STOCKS, REQUESTS, RESOLVED) + REQUEST_HEADER,
+    "stored_freshness": _with(EARLY_BARS)
+    + f"""select max(trade_date) as latest_trade_date, {EXPECTED} as expected_trade_date,
+  max(trade_date) < {EXPECTED} as is_stale, false as is_mock, 'STALE' as label, 'stale' as mode,
+  'landing' as provider, 'parquet' as repository, 'landing' as ingestion_provider,
+  'succeeded' as ingestion_status, '2024-01-01 08:00:00' as ingestion_finished_at,
+  count(*) as ingestion_rows_received from bars""",
     "stream_ingest": _with(BARS)
     + f"""select ticker, trade_date, {PRICE_DOUBLES},
   case when trade_date >= {OVERLAP} then volume_shares + 100 else volume_shares end

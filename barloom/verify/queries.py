@@ -754,7 +754,35 @@ def seed_load(spark, sf):
 @query
 def stored_scan(spark, sf):
     tables, _, _ = _seeded(spark, sf)
-    return tables.bars(*RANGE).select(*BAR_KEY, _double("close"), _long("trade_period"))
+    return tables.bars(*RANGE).select(*BAR_KEY, _double("close"), _long("trade_year"))
+
+
+@query
+def stored_history_3m(spark, sf):
+    tables, _, _ = _seeded(spark, sf)
+    found = hist.universe_history(
+        tables.bars(), tables.stocks(), as_of=AS_OF, provider=PROVIDER, timeframe="3M", row_limit=20
+    )
+    return _bar_rows(found.bars, "ticker", "company_name")
+
+
+@query
+def stored_history_requests(spark, sf):
+    tables, _, _ = _seeded(spark, sf)
+    requests = fixtures.order_requests(spark, sf, AS_OF)
+    found = hist.history(
+        tables.bars(), tables.stocks(), requests, provider=PROVIDER, prune=True
+    )
+    return _header_rows(found.header, "request_id", "ticker", "company_name")
+
+
+@query
+def stored_freshness(spark, sf):
+    tables, _, _ = _seeded(spark, sf)
+    found = status.freshness(
+        tables.bars(), tables.runs(), as_of=AS_OF, provider=PROVIDER, repository="parquet"
+    )
+    return found.withColumn("ingestion_finished_at", _instant("ingestion_finished_at"))
 
 
 @query

@@ -7,7 +7,9 @@ import pytest
 from conftest import bar_row
 from pyspark.sql import functions as F
 
+from barloom.operators.latest import latest_date, newest_rows
 from barloom.operators.runlog import latest_run
+from barloom.plans.history import universe_rows, window_of_result
 from barloom.plans.ingest import IngestError, ingest, quarantine, seed
 from barloom.sources.payloads import read_history, read_summary
 from barloom.sources.providers import LandedProvider, TableProvider
@@ -165,7 +167,7 @@ def test_merge_rewrites_only_touched_periods(spark, tables, landed):
     run(tables, landed(payload("AAA", item("2026-07-01"), item("2026-08-03"))), "one")
 
     def files(period):
-        path = tables.path(f"bars/trade_period={period}")
+        path = tables.path(f"bars/trade_month={period}")
         return {r.f for r in spark.read.parquet(path).select(
             F.col("_metadata.file_path").alias("f")).distinct().collect()}
 
@@ -180,11 +182,28 @@ def test_date_range_prunes_partitions(spark, tables, landed):
     rows = tables.bars("2026-08-01", "2026-08-31")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     filters = next(x for x in plan.splitlines() if "FileScan" in x)
-    assert "trade_period" in filters.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "trade_month" in filters.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert "GreaterThanOrEqual(trade_date" in filters
     assert rows.count() == 1
 
 
+def test_open_ended_window_reads_only_reachable_partitions(spark, tables, make_bars, make_stocks):
+    bars = make_bars(
+        *[bar_row("AAA", dt.date(2026, 8, 21) - dt.timedelta(days=7 * i)) for i in range(60)],
+        *[bar_row("BBB", dt.date(2026, 8, 3) - dt.timedelta(days=i)) for i in range(60)],
+    )
+    seed(tables, bars, make_stocks(("AAA",), ("BBB",)), provider="feed", job_id="seed", at=T0)
+    found = universe_rows(tables.bars(), "3M", row_limit=10)
+    expected = newest_rows(window_of_result(bars, "3M"), 10)
+    assert sorted(r[:2] for r in found.collect()) == sorted(r[:2] for r in expected.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [x.split("PartitionFilters")[1][:120] for x in plan.splitlines() if "FileScan" in x]
+    assert any("trade_month" in x and "Subquery" in x for x in scans)
+    newest = latest_date(tables.bars())
+    assert newest.first().latest_trade_date == dt.date(2026, 8, 21)
+    assert "trade_month" in newest._jdf.queryExecution().executedPlan().toString()
+
+
 def test_seed_and_providers(spark, tables, make_bars, make_stocks, folder):
     bars = make_bars(*[bar_row("AAA", f"2026-08-{d:02}") for d in range(1, 11)])
     stocks = make_stocks(("AAA", "Alpha", "S", "T"))
@@ -236,8 +255,6 @@ def test_stream_takes_late_and_restated_bars(spark, folder):
 
 
 def test_bucketed_copy_needs_no_shuffle(spark, folder, make_bars):
-    from barloom.plans.history import universe_rows
-
     bars = make_bars(*[bar_row(f"A{i % 5}", f"2026-08-{1 + i // 5:02}") for i in range(50)])
     publish_bucketed(bars, "bars_bucketed", f"{folder}/bucketed", buckets=4)
     rows = universe_rows(spark.table("bars_bucketed"), "1M", row_limit=3)
