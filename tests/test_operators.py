@@ -106,7 +106,7 @@ def test_merge_replaces_facts_and_keeps_first_instants(spark, make_bars):
     old = make_bars(
         bar_row("AAA", "2026-08-20", foreign_buy_shares=7), bar_row("AAA", "2026-08-19")
     )
-    new = make_bars(bar_row("AAA", "2026-08-20", close=200), bar_row("AAA", "2026-08-21"))
+    new = make_bars(bar_row("AAA", "2026-08-20", 200), bar_row("AAA", "2026-08-21"))
     merged = upsert.merge_bars(stored(old), batch(new), T1)
     rows = {str(r.trade_date): r for r in merged.collect()}
     assert [rows[d].close for d in sorted(rows)] == [100, 200, 100]
@@ -121,7 +121,7 @@ def test_merge_replaces_facts_and_keeps_first_instants(spark, make_bars):
 
 def test_merge_is_idempotent(make_bars):
     old = make_bars(*[bar_row("AAA", f"2026-08-{d:02}") for d in range(1, 11)])
-    new = batch(make_bars(*[bar_row("AAA", f"2026-08-{d:02}", close=50) for d in range(5, 21)]))
+    new = batch(make_bars(*[bar_row("AAA", f"2026-08-{d:02}", 50) for d in range(5, 21)]))
     once = upsert.merge_bars(stored(old), new, T1)
     twice = upsert.merge_bars(once, new, T1)
     assert sorted(once.collect()) == sorted(twice.collect()) and once.count() == 20
