@@ -4,22 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from barloom.functions.arrays import scaled_points
 from barloom.functions.prices import change, change_percent, direction
-from barloom.operators.latest import latest_row, newest_rows
+from barloom.operators.latest import latest_date, latest_row, newest_rows
+from barloom.operators.ranges import grain_of, in_range
 
 # Fixed value: sessions shown in a sparkline.
 SPARKLINE_DEPTH = 30
+# Calendar days in which a symbol that trades every week day has one session.
+DAYS_PER_SESSION = 2
 
 
-def recent_closes(bars: DataFrame, depth: int = SPARKLINE_DEPTH) -> DataFrame:
-    """Per ticker: the last session and the closes of the last ``depth`` sessions in order.
+def newest_of_stored(bars: DataFrame, stocks: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest stored bars of each of the given stocks, newest partitions first.
 
-    The top-n is cut inside the map tasks, so at most ``depth`` rows per ticker
-    and task are shuffled and at most ``depth`` are collected per ticker.
+    Most symbols have their ``n`` sessions in the newest partitions, and only
+    those are read for them. The others, such as new, halted or thinly traded
+    symbols, are then looked up in all partitions.
     """
-    recent = newest_rows(bars.select("ticker", "trade_date", "close", "previous"), depth)
+    since = latest_date(bars).select(
+        F.date_sub("latest_trade_date", n * DAYS_PER_SESSION)
+    ).scalar()
+    found = F.count("*").over(W.partitionBy("ticker"))
+    complete = (
+        newest_rows(in_range(bars, since), n)
+        .withColumn("_found", found)
+        .where(F.col("_found") == n)
+        .drop("_found")
+    )
+    rest = stocks.select("ticker").join(
+        complete.select("ticker").distinct(), "ticker", "left_anti"
+    )
+    looked_up = newest_rows(bars.join(rest, "ticker", "left_semi"), n)
+    return complete.unionByName(looked_up)
+
+
+def recent_closes(
+    bars: DataFrame, stocks: DataFrame, depth: int = SPARKLINE_DEPTH
+) -> DataFrame:
+    """Per stock: the last session and the closes of the last ``depth`` sessions in order.
+
+    At most ``depth`` rows are collected per ticker.
+    """
+    newest = newest_of_stored(bars, stocks, depth) if grain_of(bars) else newest_rows(bars, depth)
+    recent = newest.select("ticker", "trade_date", "close", "previous")
     sessions = F.sort_array(F.collect_list(F.struct("trade_date", "close", "previous")))
     last = F.try_element_at("sessions", F.lit(-1))
     return (
@@ -39,9 +69,9 @@ def watchlist(bars: DataFrame, stocks: DataFrame, depth: int = SPARKLINE_DEPTH)
     """One row per active stock; a stock without bars has NULLs and an empty sparkline."""
     close, previous = F.col("latest_close"), F.col("previous")
     moved = change(close, previous)
+    listed = stocks.where("is_active")
     return (
-        stocks.where("is_active")
-        .join(recent_closes(bars, depth), "ticker", "left")
+        listed.join(recent_closes(bars, listed, depth), "ticker", "left")
         .select(
             "ticker",
             "company_name",

@@ -1,7 +1,8 @@
 """Incremental ingest of newly landed payload files with Structured Streaming.
 
-Every micro-batch is one ingest job whose id comes from the batch number, so a
-replayed batch repeats the same job. The merge accepts bars of any age: a late
+Every micro-batch is one ingest job whose id comes from the batch number and
+the payloads in it, so a replayed batch repeats the same job, and another batch
+never passes for it, even if a new checkpoint starts to count again. The merge accepts bars of any age: a late
 or restated bar simply replaces the stored one, so there is no watermark.
 """
 
@@ -11,6 +12,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barloom.plans.ingest import ingest
@@ -22,6 +24,13 @@ def _utc_now() -> dt.datetime:
     return dt.datetime.now(dt.UTC)
 
 
+def batch_digest(payloads: DataFrame) -> str:
+    """The same for the same payloads, in whatever order they are read."""
+    key = F.xxhash64("payload_id", "arrived_at")
+    row = payloads.agg(F.bit_xor(key).alias("xor"), F.count("*").alias("n")).first()
+    return f"{row.n}-{(row.xor or 0) & (2**64 - 1):016x}"
+
+
 def start_ingest(
     tables: MarketTables,
     landing: str,
@@ -45,7 +54,7 @@ def start_ingest(
             tables,
             read(payloads, provider),
             provider=provider,
-            job_id=f"{stream}-{batch_id}",
+            job_id=f"{stream}-{batch_id}-{batch_digest(payloads)}",
             at=clock(),
             **options,
         )

@@ -324,6 +324,11 @@ from line where n >= 2""",
     "sparkline_range": _with(BARS, STOCKS, LATEST, SPARK_LINE)
     + """select distinct ticker, low, high,
   round(case when high = low then 1 else high - low end, 4) as spread from line""",
+    "sparkline_tail": _with(BARS, CUSTOMER_STOCKS, LATEST)
+    + """select s.ticker, max(case when rn = 1 then cast(close as double) end) as last_close,
+  count(rn) as n_tail, max(cast(close as double)) as tail_high
+from customer_stocks s left join (select * from ranked where rn <= 5) r using (ticker)
+where is_active group by s.ticker""",
     "latest_quote": _with(BARS, LATEST)
     + f"""select ticker, trade_date, cast(close as double) as close,
   cast(previous as double) as previous, cast(high as double) as high,
@@ -424,6 +429,12 @@ where ticker in (select ticker from stocks where is_active)""",
         "trade_date between date '1998-03-01' and date '1999-12-31'", 40
     ),
     "source_default_pull": _pull("true", 260),
+    "provider_conversions": """
+select o_orderkey, cast(o_orderdate as date) as iso_date, cast(o_orderdate as date) as basic_date,
+  cast(null as date) as other_date, o_custkey as whole, cast(null as bigint) as not_whole,
+  o_totalprice as price,
+  case when o_orderstatus not in ('P', 'F') then cast(o_custkey as double) end as finite,
+  substr(o_orderpriority, 1, 4) as label from orders""",
     "quality_reasons": _with(BARS, DIRTY)
     + """select ticker, trade_date, cast(copy as bigint) as copy, reasons from assessed
 where reasons <> ''""",
@@ -525,6 +536,7 @@ from bars where trade_date < {CUT}""",
     + """select ticker, trade_date, cast(close as double) as close,
   cast(year(trade_date) as bigint) as trade_year
 from bars where trade_date between date '1998-03-01' and date '1998-06-30'""",
+    "stored_watchlist": _with(EARLY_BARS, STOCKS, LATEST) + _watchlist("stocks"),
     "stored_history_3m": _with(EARLY_BARS, STOCKS)
     + f""", windowed as (
   select *, row_number() over (partition by ticker order by trade_date desc) as rn

@@ -11,8 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.functions.arrays import spread_of
+from barloom.functions import parsing
+from barloom.functions.arrays import last_of, spread_of, tail_of
 from barloom.functions.calendar import as_date
 from barloom.functions.frequency import frequency_log10, frequency_raw
 from barloom.functions.prices import change, change_percent, direction
@@ -20,7 +22,7 @@ from barloom.functions.variants import computed_once
 from barloom.operators import joins, latest, quality, runlog, upsert
 from barloom.plans import history as hist
 from barloom.plans import indicators, ingest, status, watchlist
-from barloom.schema import BAR_COLUMNS, BAR_KEY, FACTS
+from barloom.schema import BAR_COLUMNS, BAR_KEY, FACTS, PRICE
 from barloom.session import working_folder
 from barloom.sources import fixtures, payloads
 from barloom.sources.providers import pull_window
@@ -143,6 +145,18 @@ def sparkline_range(spark, sf):
     )
 
 
+@query
+def sparkline_tail(spark, sf):
+    listed = watchlist.watchlist(fixtures.bars(spark, sf), fixtures.customer_stocks(spark, sf))
+    line = F.col("sparkline").cast("array<double>")
+    return listed.select(
+        "ticker",
+        last_of(line).alias("last_close"),
+        F.size(tail_of(line, 5)).cast("bigint").alias("n_tail"),
+        F.round(F.array_max(tail_of(line, 5)), 4).alias("tail_high"),
+    )
+
+
 @query
 def latest_quote(spark, sf):
     return watchlist.latest_quotes(fixtures.bars(spark, sf)).select(
@@ -407,6 +421,28 @@ def source_default_pull(spark, sf):
     return pull_window(fixtures.bars(spark, sf)).select(*BAR_KEY, _double("close"))
 
 
+@query
+def provider_conversions(spark, sf):
+    """Order columns as provider text, and back."""
+    total = F.col("o_totalprice").cast("string")
+    return fixtures.table(spark, sf, "orders").select(
+        "o_orderkey",
+        parsing.parse_iso_date(F.col("o_orderdate").cast("string")).alias("iso_date"),
+        parsing.parse_iso_date(F.date_format("o_orderdate", "yyyyMMdd")).alias("basic_date"),
+        parsing.parse_iso_date(F.date_format("o_orderdate", "MM/dd/yyyy")).alias("other_date"),
+        parsing.parse_number(F.col("o_custkey").cast("string"), T.LongType()).alias("whole"),
+        parsing.parse_number(total, T.LongType()).alias("not_whole"),
+        parsing.parse_number(total, PRICE).cast("double").alias("price"),
+        parsing.finite(
+            F.when(F.col("o_orderstatus") == "P", "NaN")
+            .when(F.col("o_orderstatus") == "F", "-Infinity")
+            .otherwise(F.col("o_custkey").cast("string"))
+        ).alias("finite"),
+        parsing.clipped(parsing.strip(F.concat(F.lit("\t "), "o_orderpriority", F.lit(" \n"))), 4)
+        .alias("label"),
+    )
+
+
 # --- quality -------------------------------------------------------------------------
 
 
@@ -757,6 +793,12 @@ def stored_scan(spark, sf):
     return tables.bars(*RANGE).select(*BAR_KEY, _double("close"), _long("trade_year"))
 
 
+@query
+def stored_watchlist(spark, sf):
+    tables, _, _ = _seeded(spark, sf)
+    return _watchlist_rows(watchlist.watchlist(tables.bars(), tables.stocks()))
+
+
 @query
 def stored_history_3m(spark, sf):
     tables, _, _ = _seeded(spark, sf)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.operators.latest import latest_date, newest_rows
 from barloom.operators.runlog import latest_run
 from barloom.plans.history import universe_rows, window_of_result
+from barloom.plans.watchlist import watchlist
 from barloom.plans.ingest import IngestError, ingest, quarantine, seed
 from barloom.sources.payloads import read_history, read_summary
 from barloom.sources.providers import LandedProvider, TableProvider
@@ -204,6 +205,26 @@ def test_open_ended_window_reads_only_reachable_partitions(spark, tables, make_b
     assert "trade_month" in newest._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stored_watchlist_looks_further_back_where_needed(tables, make_bars, make_stocks):
+    """AAA trades daily, BBB monthly, CCC stopped long ago, DDD is new, EEE never traded."""
+    end = dt.date(2026, 8, 21)
+
+    def series(ticker, n, step, last=end):
+        return [bar_row(ticker, last - dt.timedelta(days=step * i), 50 + i) for i in range(n)]
+
+    bars = make_bars(
+        *series("AAA", 90, 1), *series("BBB", 9, 31), *series("DDD", 2, 1),
+        *series("CCC", 12, 1, dt.date(2025, 1, 20)),
+    )
+    stocks = make_stocks(*[(t,) for t in ("AAA", "BBB", "CCC", "DDD", "EEE")])
+    seed(tables, bars, stocks, provider="feed", job_id="seed", at=T0)
+    for depth in (1, 5, 10):
+        stored = watchlist(tables.bars(), tables.stocks(), depth).collect()
+        assert sorted(stored) == sorted(watchlist(bars, stocks, depth).collect())
+    lines = {r.ticker: len(r.sparkline) for r in stored}
+    assert lines == {"AAA": 10, "BBB": 9, "CCC": 10, "DDD": 2, "EEE": 0}
+
+
 def test_seed_and_providers(spark, tables, make_bars, make_stocks, folder):
     bars = make_bars(*[bar_row("AAA", f"2026-08-{d:02}") for d in range(1, 11)])
     stocks = make_stocks(("AAA", "Alpha", "S", "T"))
@@ -250,8 +271,15 @@ def test_stream_takes_late_and_restated_bars(spark, folder):
     drain()
     rows = {r.trade_date.day: int(r.close) for r in tables.bars().collect()}
     assert rows == {3: 120, 4: 100, 5: 100}
-    closed = tables.runs().where("event_seq = 1").orderBy("job_id").collect()
-    assert [(r.rows_inserted, r.rows_updated) for r in closed] == [(2, 0), (1, 1)]
+    # A new checkpoint counts its batches from zero, but its jobs are not taken for old ones.
+    land(spark, folder, payload("AAA", item("2026-08-06")))
+    start_ingest(
+        tables, f"{folder}/landing", f"{folder}/checkpoint2", provider="feed", stream="eod",
+        one_per_line=True,
+    ).awaitTermination()
+    assert tables.bars().count() == 4
+    closed = tables.runs().where("event_seq = 1").orderBy("started_at").collect()
+    assert [(r.rows_inserted, r.rows_updated) for r in closed] == [(2, 0), (1, 1), (1, 4)]
 
 
 def test_bucketed_copy_needs_no_shuffle(spark, folder, make_bars):
