@@ -60,10 +60,10 @@ def close_runs(
 ) -> DataFrame:
     """One closing event per opened run.
 
-    ``outcome`` holds ticker, counts and error; a run with an error has failed
-    and its counts are zero.
+    ``outcome`` holds ticker, counts, error and ``failed``. The counts of a failed
+    run are zero.
     """
-    failed = F.col("error").isNotNull()
+    failed = F.col("failed")
     kept = opened.select(
         "run_id", "job_id", "provider", "ticker", "started_at", "requested_date"
     )

@@ -55,7 +55,9 @@ def merge_counts(batch: DataFrame, stored: DataFrame) -> DataFrame:
     Inserted counts distinct new dates; every other row is an update, also one
     that repeats the stored values. ``batch`` comes from :func:`last_wins`.
     """
-    held = stored.select(*BAR_KEY).withColumn("held", F.lit(True))
+    # The table is reduced to the batch first, so a small batch can be broadcast to it.
+    held = stored.select(*BAR_KEY).join(batch.select(*BAR_KEY), BAR_KEY, "left_semi")
+    held = held.withColumn("held", F.lit(True))
     return (
         batch.select(*BAR_KEY, "copies")
         .join(held, BAR_KEY, "left")

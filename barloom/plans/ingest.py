@@ -37,6 +37,7 @@ OUTCOME = T.StructType(
         T.StructField("rows_inserted", T.LongType(), True),
         T.StructField("rows_updated", T.LongType(), True),
         T.StructField("error", T.StringType(), True),
+        T.StructField("failed", T.BooleanType(), False),
     ]
 )
 UNKNOWN_TICKER = "?"
@@ -46,13 +47,29 @@ class IngestError(RuntimeError):
     """Raised in fail-fast mode when any symbol of the batch failed."""
 
 
-def accepted_rows(assessed: DataFrame, whole_payloads: bool) -> DataFrame:
-    """Valid rows. With ``whole_payloads`` one bad row discards its payload."""
+def failures_of(assessed: DataFrame, rejects: DataFrame, whole_payloads: bool) -> DataFrame:
+    """One error per symbol that has a rejected payload.
+
+    With ``whole_payloads`` a payload with a bad row counts as rejected too, for
+    every symbol in it.
+    """
+    named = F.coalesce(F.nullif("ticker", F.lit("")), F.lit(UNKNOWN_TICKER)).alias("ticker")
+    failures = rejects.select(named, F.col("reason").alias("error"))
+    if whole_payloads:
+        spoilt = (
+            assessed.where(F.size("reasons") > 0)
+            .groupBy("payload_id")
+            .agg(F.min(F.array_join("reasons", ",")).alias("error"))
+        )
+        inside = assessed.select("payload_id", named).distinct().join(spoilt, "payload_id")
+        failures = failures.unionByName(inside.select("ticker", "error"))
+    return failures.groupBy("ticker").agg(F.min("error").alias("error"))
+
+
+def accepted_rows(assessed: DataFrame, failures: DataFrame, whole_payloads: bool) -> DataFrame:
+    """Valid rows. With ``whole_payloads`` a symbol that failed contributes none."""
     valid = split(assessed).valid
-    if not whole_payloads:
-        return valid
-    spoilt = assessed.where(F.size("reasons") > 0).select("payload_id").distinct()
-    return valid.join(spoilt, "payload_id", "left_anti")
+    return valid.join(failures, "ticker", "left_anti") if whole_payloads else valid
 
 
 def batch_of(rows: DataFrame) -> DataFrame:
@@ -69,36 +86,27 @@ def stocks_of(rows: DataFrame) -> DataFrame:
 
 def plan_outcome(
     assessed: DataFrame,
-    rejects: DataFrame,
+    failures: DataFrame,
     counts: DataFrame,
-    whole_payloads: bool,
     tickers: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per symbol of the job: its counts, and its error if it failed.
+    """One row per symbol of the job: its counts, its error and whether it failed.
 
-    Rejected payloads fail their symbol. Bad rows fail it only when payloads
-    are taken whole; otherwise they just go to quarantine.
+    A symbol has failed when it has an error and nothing of it was accepted; an
+    error beside accepted rows stays as a message. Rows in quarantine alone are
+    no failure.
     """
     named = F.coalesce(F.nullif("ticker", F.lit("")), F.lit(UNKNOWN_TICKER)).alias("ticker")
-    failures = rejects.select(named, F.col("reason").alias("error"))
-    if whole_payloads:
-        bad = assessed.where(F.size("reasons") > 0)
-        failures = failures.unionByName(
-            bad.select(named, F.array_join("reasons", ",").alias("error"))
-        )
-    failed = failures.groupBy("ticker").agg(F.min("error").alias("error"))
     seen = assessed.select(named).distinct()
-    outcome = counts.join(failed, "ticker", "full_outer").join(seen, "ticker", "full_outer")
+    outcome = counts.join(failures, "ticker", "full_outer").join(seen, "ticker", "full_outer")
     if tickers is not None:
-        outcome = tickers.select(F.upper("ticker").alias("ticker")).distinct().join(
+        absent = F.when(F.col("found").isNull(), F.lit("no payload for ticker"))
+        wanted = tickers.select(F.upper("ticker").alias("ticker")).distinct()
+        outcome = wanted.join(
             outcome.withColumn("found", F.lit(True)), "ticker", "left"
-        ).withColumn(
-            "error",
-            F.when(F.col("found").isNull(), F.lit("no payload for ticker")).otherwise(
-                F.col("error")
-            ),
-        )
-    return outcome.select(*OUTCOME.fieldNames())
+        ).withColumn("error", F.coalesce(absent, "error"))
+    failed = F.col("error").isNotNull() & F.col("rows_received").isNull()
+    return outcome.withColumn("failed", failed).select(*OUTCOME.fieldNames())
 
 
 def _asked_for(
@@ -133,8 +141,8 @@ def ingest(
 ) -> DataFrame:
     """Validate a feed, merge it into the tables and log one run per symbol.
 
-    Returns the runs of the job. ``whole_payloads`` rejects a payload for one
-    bad row; ``fail_fast`` also raises, after logging, when a symbol failed.
+    Returns the runs of the job. ``whole_payloads`` fails a symbol for one bad row;
+    ``fail_fast`` also raises, after logging, when a symbol failed.
     """
     log = tables.runs().where(F.col("job_id") == job_id)
     reached = log.agg(F.max("event_seq").alias("seq")).first().seq
@@ -161,7 +169,8 @@ def _run(
     assessed = parsed.where(F.col("fault").isNull())
     if limit is not None:
         assessed = tables.stage(pull_window(assessed, limit=limit), job_id, "pulled")
-    accepted = accepted_rows(assessed, whole_payloads)
+    failures = failures_of(assessed, rejects, whole_payloads)
+    accepted = accepted_rows(assessed, failures, whole_payloads)
     batch = tables.stage(batch_of(accepted), job_id, "batch")
     periods = tables.touched_periods(batch)
     stored = tables.bars_in(periods)
@@ -171,7 +180,7 @@ def _run(
     else:
         counts = merge_counts(batch, stored)
         outcome = tables.stage(
-            plan_outcome(assessed, rejects, counts, whole_payloads, tickers), job_id, "outcome"
+            plan_outcome(assessed, failures, counts, tickers), job_id, "outcome"
         )
         tables.append_runs(
             open_runs(outcome.select("ticker"), job_id, provider, at, date_to)

@@ -2,8 +2,10 @@
 
 Every micro-batch is one ingest job whose id comes from the batch number and
 the payloads in it, so a replayed batch repeats the same job, and another batch
-never passes for it, even if a new checkpoint starts to count again. The merge accepts bars of any age: a late
-or restated bar simply replaces the stored one, so there is no watermark.
+never passes for it, even if a new checkpoint starts to count again.
+
+The merge accepts bars of any age: a late or restated bar simply replaces the
+stored one, so there is no watermark.
 """
 
 from __future__ import annotations

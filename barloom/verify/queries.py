@@ -61,7 +61,9 @@ def _long(name: str) -> Column:
 
 
 def _instant(name: str) -> Column:
-    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+    """An instant as UTC text, whatever the time zone of the session."""
+    utc = F.convert_timezone(None, F.lit("UTC"), F.col(name).cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
 def _bar_rows(rows: DataFrame, *keys: str) -> DataFrame:
@@ -668,7 +670,11 @@ def _damaged(spark: SparkSession, sf: str) -> DataFrame:
         0: F.expr("left(payload, length(payload) - 1)"),
         1: F.concat(F.lit("["), whole, F.lit("]")),
         2: F.concat(F.lit('{"data":['), whole, F.lit("]}")),
-        3: F.concat(F.lit('{"data":'), F.replace(whole, F.lit('"unit":"shares"'), F.lit('"unit":"lots"')), F.lit("}")),
+        3: F.concat(
+            F.lit('{"data":'),
+            F.replace(whole, F.lit('"unit":"shares"'), F.lit('"unit":"lots"')),
+            F.lit("}"),
+        ),
         4: F.replace(whole, F.lit('"items":['), F.lit('"items":null,"was":[')),
         5: F.replace(whole, F.lit('"code":"S'), F.lit('"code":"S-')),
         6: F.concat(F.lit('{"data":'), whole, F.lit("}")),
@@ -707,8 +713,9 @@ def _run_events(bars: DataFrame, stocks: DataFrame) -> DataFrame:
         .withColumn("rows_inserted", F.col("rows_received"))
         .withColumn("rows_updated", F.lit(0))
         .withColumn("error", F.when(~F.col("is_active"), F.repeat("company_name", 80)))
+        .withColumn("failed", ~F.col("is_active"))
         .withColumn("finished", upsert.as_instant(T0) + later)
-        .select("ticker", "rows_received", "rows_inserted", "rows_updated", "error", "finished")
+        .drop(*[c for c in stocks.columns if c != "ticker"])
     )
     closed = runlog.close_runs(opened, outcome, F.col("finished"))
     return opened.unionByName(closed)

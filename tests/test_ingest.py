@@ -122,12 +122,36 @@ def test_bad_rows_go_to_quarantine(tables, landed):
 
 
 def test_whole_payloads_and_fail_fast(tables, landed):
-    frame = landed(payload("AAA", item("2026-08-03"), item("2026-08-04", close=0)), payload("BBB", *august(2)))
+    spoilt = payload("AAA", item("2026-08-03"), item("2026-08-04", close=0))
+    frame = landed(spoilt, payload("BBB", *august(2)))
     with pytest.raises(IngestError, match="^AAA: .*close_not_positive"):
         run(tables, frame, "one", whole_payloads=True, fail_fast=True)
     assert {r.ticker for r in tables.bars().collect()} == {"BBB"}
 
 
+def test_one_bad_row_of_a_summary_fails_all_its_symbols(tables, landed):
+    def row(code, volume):
+        return {
+            "Date": "2026-08-03", "StockCode": code, "StockName": code, "OpenPrice": 1, "High": 1,
+            "Low": 1, "Close": 1, "Previous": 1, "Volume": volume, "Value": 1, "Frequency": 1,
+        }
+
+    frame = landed({"data": [row("AAA", 1), row("BBB", -1)]}, {"data": [row("CCC", 1)]})
+    got = counts(run(tables, frame, "one", read=read_summary, whole_payloads=True))
+    assert got == {
+        "AAA": ("failed", 0, 0, 0), "BBB": ("failed", 0, 0, 0), "CCC": ("succeeded", 1, 1, 0),
+    }
+    assert [r.ticker for r in tables.bars().collect()] == ["CCC"]
+
+
+def test_rejected_payload_beside_a_good_one(tables, landed):
+    good, bad = payload("AAA", *august(2)), payload("AAA", *august(3), unit="lots")
+    got = run(tables, landed(good, bad), "one").first()
+    assert (got.status, got.rows_inserted, got.error_message) == ("succeeded", 2, "unit_not_shares")
+    whole = counts(run(tables, landed(good, bad), "two", whole_payloads=True))
+    assert whole == {"AAA": ("failed", 0, 0, 0)}
+
+
 def test_symbol_with_only_bad_rows_writes_nothing(tables, landed):
     got = counts(run(tables, landed(payload("AAA", item("2026-08-03", frequency=-1))), "one"))
     assert got == {"AAA": ("succeeded", 0, 0, 0)}

@@ -165,8 +165,9 @@ def test_run_log(spark):
     opened = runlog.open_runs(tickers, "job", "feed", T0, dt.date(2026, 8, 21))
     assert runlog.latest_run(opened).first().status == "running"
     outcome = spark.createDataFrame(
-        [("AAA", 5, 3, 2, None), ("BBB", 5, 3, 2, "x" * 1500)],
-        "ticker string, rows_received long, rows_inserted long, rows_updated long, error string",
+        [("AAA", 5, 3, 2, None, False), ("BBB", 5, 3, 2, "x" * 1500, True)],
+        "ticker string, rows_received long, rows_inserted long, rows_updated long, error string,"
+        "failed boolean",
     )
     events = opened.unionByName(runlog.close_runs(opened, outcome, T1))
     state = {r.ticker: r for r in runlog.current_state(events).collect()}
