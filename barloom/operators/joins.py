@@ -33,7 +33,11 @@ def bars_for_requests(
     ``per_slice`` and its bars are copied once per slice, so the work of a hot
     symbol spreads over as many tasks as it needs. A symbol with few requests
     has one slice and no copies; symbols nobody asks for leave the plan early.
+
+    The join gives many times the rows it takes. The number of partitions is
+    fixed, because the adaptive planner would merge them by their small input.
     """
+    partitions = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = requests.groupBy("ticker").agg(
         F.ceil(F.count("*") / per_slice).cast("int").alias("slices")
     )
@@ -41,6 +45,7 @@ def bars_for_requests(
         requests.join(slices, "ticker")
         .withColumn("slice", F.pmod(F.xxhash64("request_id"), F.col("slices")).cast("int"))
         .drop("slices")
+        .repartition(partitions, "ticker", "slice")
         .alias("request")
     )
     offered = (

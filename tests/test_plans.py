@@ -111,6 +111,12 @@ def test_hot_symbol_is_sliced_without_loss(spark, market):
     assert plain.count() == 60 * 10 + 30 * 1
     assert plain.exceptAll(sliced).count() == 0 and sliced.exceptAll(plain).count() == 0
 
+    def tasks(rows):
+        hot = rows.where("ticker = 'AAA'")
+        return hot.select(F.spark_partition_id().alias("p")).distinct().count()
+
+    assert tasks(plain) == 1 and tasks(sliced) > 1
+
 
 def test_old_end_date_is_stale_and_future_end_date_anchors(spark, market):
     bars, stocks = market
