@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barloom.session import working_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Byte map that lowers A-Z only.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
-WHITE = " \t\n\r\x0b\x0c"
+#: Applications whose workers have the package.
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,14 +49,22 @@ def unsigned_hash_mod(value: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(parts)).cast("int")
 
 
-def map_rows(
-    frame: DataFrame, schema: str, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch | pa.Table]]
-) -> DataFrame:
-    """mapInArrow with one function for one batch of rows."""
+def with_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package wherever it lies: once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return spark
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in each(batch):
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
+def map_batches(
+    frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
+) -> DataFrame:
+    with_package(frame.sparkSession)
     return frame.mapInArrow(run, schema)

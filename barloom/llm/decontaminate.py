@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER_BYTES, text_bytes
+from barloom.llm.common import LOWER_BYTES, map_batches, text_bytes
 
 WINDOW = 10
 #: Pattern bytes of one automaton, which takes about 60 times that in memory.
@@ -135,7 +135,7 @@ def scan(
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[doc_id, "n_words", "n_hit", "items", "spans"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, {RESULT}")
+    return map_batches(docs.select(doc_id, text), run, f"`{doc_id}` {kind}, {RESULT}")
 
 
 def _scanner(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int):
@@ -174,7 +174,7 @@ def clean(
         for batch in batches:
             yield batch.filter(pa.array([not s.runs for s in apply(batch.column(place))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import staged
+from barloom.llm.common import map_batches, staged
 
 CAPACITY, OPEN_BINS, SHARE = 2048, 4096, 250_000
 END = 0
@@ -109,7 +109,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, {PIECES}" + ", ids array<long>" * keep_ids)
+    return map_batches(docs.select(doc_id, text), run, f"`{doc_id}` {kind}, {PIECES}" + ", ids array<long>" * keep_ids)
 
 
 class OpenBins:
@@ -170,13 +170,13 @@ def pack(cut: DataFrame, *, doc_id: str = "doc_id", capacity: int = CAPACITY, op
             )
 
     order = F.xxhash64(doc_id, "piece")
-    return (
+    dealt = (
         cut.select(*names, order.alias("at"))
         .repartition(tasks, "at")
         .withColumn("task", F.spark_partition_id().cast("long"))
         .sortWithinPartitions("at", doc_id, "piece", "start", "ids_crc32")
-        .mapInArrow(run, f"`{doc_id}` {kind}, {PIECES}, sequence_id long, offset long")
     )
+    return map_batches(dealt, run, f"`{doc_id}` {kind}, {PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, files: tuple[str, str] | None = None) -> DataFrame:

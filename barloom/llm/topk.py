@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import staged
+from barloom.llm.common import staged, with_package
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
 #: Bits of a score below the bin of each pass; the last pass has bins of one score.
@@ -121,6 +121,7 @@ def top_k(
     everyone = staged(quantised(candidates, vec_id, embedding, scale).withColumn("width", F.size("z")), "vectors")
     asked = quantised(queries, vec_id, embedding, scale).groupBy("vec_id").agg(F.min("z").alias("z"))
     asked = staged(asked.withColumn("width", F.size("z")), "queries")
+    with_package(candidates.sparkSession)
     blocks = lambda frame, rows: max(1, -(-frame.count() // rows))
     q_blocks, c_blocks = blocks(asked, QUERY_BLOCK), blocks(everyone, CANDIDATE_BLOCK)
     spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")

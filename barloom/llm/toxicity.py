@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER_BYTES, text_bytes
+from barloom.llm.common import LOWER_BYTES, map_batches, text_bytes
 
 ROWS, SAMPLE_BYTES = 3000, {1: 5_000_000, 0: 8_000_000}
 LEVEL, MIN_MATCH = 3, 4
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=[doc_id, "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, score double")
+    return map_batches(docs.select(doc_id, text), run, f"`{doc_id}` {kind}, score double")
 
 
 def harmless(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -213,4 +213,4 @@ def harmless(docs: DataFrame, model: Model, *, text: str = "text", threshold: fl
             keep = [scorer.score(text_bytes(t.as_py())) < threshold for t in batch.column(place)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
