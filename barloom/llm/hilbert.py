@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names of working columns; a caller's column of such a name would clash.
-CELL, SALT, RANK, START = "_hilbert", "_salt", "_rank", "_offset"
+CODE, CELL, SALT, RANK, START = "_code", "_hilbert", "_salt", "_rank", "_offset"
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,11 @@ class Dimension:
     kind: str = "category"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hilbert_index(cells: list[Column], bits: int) -> Column:
     """Place on the Hilbert curve of a point given by cell numbers below 2**bits."""
     n = len(cells)
@@ -51,30 +56,39 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
             .otherwise(x),
         )
 
-    point = F.array(*[c.cast("int") for c in cells])
-    if bits > 1:
-        point = F.aggregate(steps, point, turn)
-
-    def gray(p: Column) -> Column:
-        xored = F.transform(
-            F.sequence(F.lit(1), F.lit(n)),
-            lambda k: F.aggregate(F.slice(p, 1, k), F.lit(0), lambda a, x: a.bitwiseXOR(x)),
+    def gray(point: Column) -> Column:
+        """Every coordinate xored with those before it."""
+        empty = F.array().cast("array<int>")
+        return F.aggregate(
+            point, empty, lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)).bitwiseXOR(x)))
         )
+
+    def flipped(xored: Column) -> Column:
+        levels = F.array(*[F.lit(1 << level) for level in range(max(1, bits - 1), 0, -1)])
+        last = F.element_at(xored, n)
         flip = F.aggregate(
-            F.array(*[F.lit(1 << level) for level in range(bits - 1, 0, -1)]) if bits > 1 else F.array(F.lit(0)),
-            F.lit(0),
-            lambda t, q: F.when(F.element_at(xored, n).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t),
+            levels, F.lit(0), lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t)
         )
-        return F.transform(xored, lambda x: x.bitwiseXOR(flip))
-
-    places = F.array(*[F.lit(level) for level in range(bits - 1, -1, -1)])
-    return F.aggregate(
-        places,
-        F.lit(0).cast("long"),
-        lambda out, level: F.aggregate(
-            gray(point), out, lambda o, x: o * 2 + F.call_function("getbit", x.cast("long"), level).cast("long")
-        ),
-    )
+        return _let(flip, lambda t: F.transform(xored, lambda x: x.bitwiseXOR(t)))
+
+    def woven(point: Column) -> Column:
+        places = F.array(*[F.lit(level) for level in range(bits - 1, -1, -1)])
+        bit = lambda x, level: F.call_function("getbit", x.cast("long"), level).cast("long")
+        return F.aggregate(
+            places, F.lit(0).cast("long"), lambda out, level: F.aggregate(point, out, lambda o, x: o * 2 + bit(x, level))
+        )
+
+    point = F.array(*[c.cast("int") for c in cells])
+    turned = F.aggregate(steps, point, turn) if bits > 1 else point
+    return _let(_let(_let(turned, gray), flipped), woven)
+
+
+def curve(spark: SparkSession, dimensions: int, bits: int) -> DataFrame:
+    """The place on the curve of every cell: 2**(dimensions * bits) rows, whatever the data."""
+    code = F.col("id")
+    mask = F.lit((1 << bits) - 1)
+    cells = [F.shiftright(code, bits * d).bitwiseAND(mask) for d in range(dimensions)]
+    return spark.range(1 << (bits * dimensions)).select(code.alias(CODE), hilbert_index(cells, bits).alias(CELL))
 
 
 def _edges(frame: DataFrame, dimension: Dimension, bits: int) -> list:
@@ -116,8 +130,16 @@ def hilbert_shards(
     """
     if not dimensions or bits < 1 or bits * len(dimensions) > 20:
         raise ValueError("between 1 and 20 bits in all")
-    index = hilbert_index([_cell(frame, d, bits) for d in dimensions], bits)
-    placed = frame.withColumn(CELL, index).withColumn(SALT, F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    code = F.lit(0).cast("long")
+    for d, dimension in enumerate(dimensions):
+        code = code + F.shiftleft(_cell(frame, dimension, bits).cast("long"), bits * d)
+    # The curve is joined, not computed for each row: its size depends on the parameters only.
+    placed = (
+        frame.withColumn(CODE, code)
+        .withColumn(SALT, F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+        .join(curve(frame.sparkSession, len(dimensions), bits), CODE)
+        .drop(CODE)
+    )
     counts = placed.groupBy(CELL, SALT).agg(F.count(F.lit(1)).alias("n"))
     within = Window.partitionBy(CELL).orderBy(SALT).rowsBetween(Window.unboundedPreceding, -1)
     per_cell = counts.groupBy(CELL).agg(F.sum("n").alias("cell_n"))

@@ -37,6 +37,8 @@ LEVEL, MIN_MATCH = 3, 4
 MEASURES = ((16384, 8, 0), (16384, 12, 4), (32768, 8, 4))
 #: A fragment counts if toxic text has it so many times as often as ordinary text, in this share of toxic documents at least.
 RATIO, SHARE, LEAST, FRAGMENTS = 12.0, 0.03, 8, 64
+#: Windows of the sample that a dictionary is trained on.
+DICTIONARY_WINDOWS = 80_000
 THRESHOLD = 0.7
 
 
@@ -65,8 +67,9 @@ def toxic_fragments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> li
     ours, n_ours = _contexts(toxic)
     theirs, n_theirs = _contexts(ordinary)
     least = max(LEAST, SHARE * len(toxic))
+    # By what a fragment tells and the bytes that a match of it saves.
     ranked = sorted(
-        (-n * math.log(ratio), f)
+        (-n * math.log(ratio) * (len(f) - 3), f)
         for f, n in ours.items()
         if n >= least and (ratio := n / n_ours / ((theirs[f] + 0.5) / n_theirs)) >= RATIO
     )
@@ -137,11 +140,13 @@ def fit(rows: list[tuple[bytes, int]], share_toxic: float) -> Model:
     cut = {label: [words(t) for t, x in rows if x == label] for label in (0, 1)}
     if not cut[0] or not cut[1]:
         return Model(())
-    fragments = b"".join(toxic_fragments(cut[1], cut[0]))
-    samples = [x for w in cut[0] for x in windows(w, MEASURES[0][1], 0)]
+    fragments = toxic_fragments(cut[1], cut[0])
+    # What ordinary text has of these fragments by chance must not make them cheap.
+    samples = [x for w in cut[0] for x in windows(w, MEASURES[0][1], 0) if not any(f in x for f in fragments)]
     random.Random(1).shuffle(samples)
+    del samples[DICTIONARY_WINDOWS:]
     plain = {size: _dictionary(samples, size) for size, _, _ in MEASURES}
-    model = Model(tuple((plain[size], plain[size] + fragments) for size, _, _ in MEASURES))
+    model = Model(tuple((plain[size], plain[size] + b"".join(fragments)) for size, _, _ in MEASURES))
     scorer = model.scorer()
     x = np.array([scorer.features(t) for t, _ in rows])
     y = np.array([float(label) for _, label in rows])
