@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, hilbert, packing, simhash, topk, toxicity
+from barloom.llm import decontaminate, hilbert, packing, simhash, spans, topk, toxicity
 from barloom.llm.common import table
 
 #: Dimensions of the curve over `documents`.
 DIMENSIONS = [hilbert.Dimension("lang"), hilbert.Dimension("source"), hilbert.Dimension("n_chars", "number")]
 
 
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -64,6 +68,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_spans": op1_sentence_spans,
     "op2_exact_topk": op2_exact_topk,
     "op3_simhash": op3_simhash,
     "op5_decontaminate": op5_decontaminate,
