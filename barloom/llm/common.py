@@ -41,6 +41,17 @@ def text_bytes(value: str | None) -> bytes:
     return (value or "").encode("utf-8", "replace")
 
 
+def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text between ASCII white space, A-Z lowered, about `size` bytes of text at a time."""
+    lowered, at = text.translate(LOWER_BYTES), 0
+    while at < len(lowered):
+        end = at + size
+        while end < len(lowered) and not lowered[end : end + 1].isspace():  # chunks end between words
+            end += 1
+        yield lowered[at:end].split()
+        at = end
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

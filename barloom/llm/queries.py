@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, hilbert, packing, simhash, spans, topk, toxicity
+from barloom.llm import decontaminate, hilbert, kneser_ney, packing, simhash, spans, topk, toxicity
 from barloom.llm.common import table
 
 #: Dimensions of the curve over `documents`.
@@ -46,6 +46,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(toxicity.fold(F.col("doc_id"), 7) == 2, F.lit(False))
+    model = kneser_ney.train(docs.where(~out))
+    return kneser_ney.score(docs, model).select(
+        "doc_id",
+        out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -74,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_hilbert_shards": op10_hilbert_shards,
 }

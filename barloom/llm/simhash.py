@@ -25,15 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER_BYTES, map_batches, staged, text_bytes
+from barloom.llm.common import map_batches, staged, text_bytes, word_chunks
 from barloom.llm.components import components
 
 BITS, BYTES, DISTANCE = 64, 8, 3
 SHARED = BYTES - DISTANCE
 #: Members from which on a list is split by a further byte, or looked up instead of compared.
 LONG_LIST = 4096
-#: Bytes of a text that are hashed at a time.
-CHUNK = 1 << 20
 
 
 def _position_sets() -> list[tuple[int, ...]]:
@@ -49,14 +47,9 @@ POSITIONS = _position_sets()
 
 def fingerprint(text: bytes, words_in_shingle: int) -> int:
     """SimHash over word shingles, repeats included, unsigned; 0 without words."""
-    lowered = text.translate(LOWER_BYTES)
-    ones, total, carried, at = np.zeros(BITS, np.int64), 0, [], 0
-    while at < len(lowered):
-        end = at + CHUNK
-        while end < len(lowered) and not lowered[end : end + 1].isspace():  # chunks end between words
-            end += 1
-        words = carried + lowered[at:end].split()
-        at = end
+    ones, total, carried = np.zeros(BITS, np.int64), 0, []
+    for chunk in word_chunks(text):
+        words = carried + chunk
         joined = b" ".join(words)
         starts = np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
         hashes = [
