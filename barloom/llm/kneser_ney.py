@@ -18,21 +18,17 @@ Words and bigrams are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import os
-import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.arrays import Files, by_shard, mapped, new_files, write
 from barloom.llm.common import map_batches, text_bytes, word_chunks
-from barloom.session import working_folder
 
 #: Tokens after which a task hands on its sums.
 FLUSH = 3_000_000
@@ -71,36 +67,6 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[np.
         yield held
 
 
-@dataclass(frozen=True)
-class Files:
-    """Sorted arrays by shard; a shard is the top `bits` bits of a hash."""
-
-    folder: str
-    bits: int
-
-    def path(self, name: str, shard: int) -> Path:
-        return Path(self.folder) / f"{name}-{shard}"
-
-
-def _write(path: Path, chunks: list[np.ndarray]) -> None:
-    """Whole or not at all, so that a task that runs twice does no harm."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    own = path.with_name(f"{path.name}.{uuid.uuid4().hex}")
-    with open(own, "wb") as out:
-        for chunk in chunks:
-            chunk.tofile(out)
-    os.replace(own, path)
-
-
-def _shard(hash_: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(hash_, 64 - bits).cast("int")
-
-
-def _by_shard(frame: DataFrame, bits: int) -> DataFrame:
-    """Every shard whole in one task, sorted by hash; within a shard signed order is unsigned order."""
-    return frame.repartition(1 << bits, _shard(F.col("hash"), bits)).sortWithinPartitions("hash")
-
-
 def _writer(files: Files, name: str, columns: int, kind: np.dtype):
     """Writes shards as they come, summing equal hashes, and reports how often small sums occur."""
 
@@ -111,8 +77,8 @@ def _writer(files: Files, name: str, columns: int, kind: np.dtype):
 
         def close() -> None:
             if held:
-                _write(files.path(f"{name}-hash", current), [h for h, _ in held])
-                _write(files.path(f"{name}-data", current), [d for _, d in held])
+                write(files.path(f"{name}-hash", current), [h for h, _ in held])
+                write(files.path(f"{name}-data", current), [d for _, d in held])
                 held.clear()
 
         def add(hashes: np.ndarray, sums: np.ndarray) -> None:
@@ -126,12 +92,10 @@ def _writer(files: Files, name: str, columns: int, kind: np.dtype):
             tokens = hashes != np.uint64(BEFORE)
             totals[5] += (sums[0] * tokens).sum()
             totals[6] += tokens.sum()
-            shards = (hashes >> np.uint64(64 - files.bits)).astype(int) if files.bits else np.zeros(len(hashes), int)
-            edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True]).tolist()
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if shards[a] != current:
+            for shard, a, b in files.runs(hashes):
+                if shard != current:
                     close()
-                    current = int(shards[a])
+                    current = shard
                 held.append((hashes[a:b], data[a:b]))
 
         for batch in batches:
@@ -155,52 +119,8 @@ def _writer(files: Files, name: str, columns: int, kind: np.dtype):
 _STATS = ", ".join(f"t{i} double" for i in range(8))
 
 
-class Mapped:
-    """Arrays of a name, mapped when first read."""
-
-    def __init__(self, files: Files, name: str, kind: np.dtype):
-        self.files, self.name, self.kind = files, name, kind
-        self.shards: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        if shard not in self.shards:
-            path = self.files.path(f"{self.name}-hash", shard)
-            there = path.exists() and path.stat().st_size
-            self.shards[shard] = (
-                (np.memmap(path, np.uint64, "r"), np.memmap(self.files.path(f"{self.name}-data", shard), self.kind, "r"))
-                if there
-                else (np.zeros(0, np.uint64), np.zeros(0, self.kind))
-            )
-        return self.shards[shard]
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The entries of sorted hashes; zeros where there is none."""
-        out = np.zeros(len(hashes), self.kind)
-        shards = hashes >> np.uint64(64 - self.files.bits) if self.files.bits else np.zeros(len(hashes), np.uint64)
-        edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True]) if len(hashes) else [0]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            keys, data = self._of(int(shards[a]))
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
-                hit = keys[at] == hashes[a:b]
-                out[a:b][hit] = data[at[hit]]
-        return out
-
-
-_open: dict[tuple[Files, str], Mapped] = {}
-
-
-def mapped(files: Files, name: str, kind: np.dtype) -> Mapped:
-    if (files, name) not in _open:
-        for old in [k for k in _open if k[0] != files]:  # a worker keeps one model
-            del _open[old]
-        _open[files, name] = Mapped(files, name, kind)
-    return _open[files, name]
-
-
 def _bigram_counts(files: Files, hashes: np.ndarray) -> np.ndarray:
-    unique, at = np.unique(hashes, return_inverse=True)
-    return mapped(files, "bigram", np.dtype("<u4")).find(unique)[at]
+    return mapped(files, "bigram", np.dtype("<u4")).find_any(hashes)[1]
 
 
 def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,20 +170,15 @@ class Model:
 
 def train(docs: DataFrame, *, text: str = "text") -> Model:
     """Count, and write the arrays. The number of shards grows with the input's partitions. No text, no counts."""
-    spark = docs.sparkSession
-    folder = working_folder(spark, "kneser-ney")
-    scheme = re.match(r"(\w+):/", folder)
-    if scheme and scheme[1] != "file":
-        raise ValueError("arrays are mapped by the workers: spark.checkpoint.dir must be a mounted folder")
-    bits = max(3, (4 * docs.rdd.getNumPartitions() - 1).bit_length())
-    files = Files(re.sub(r"^file:/+", "/", folder), bits)
+    files = new_files(docs, "kneser-ney")
+    bits = files.bits
     texts = docs.select(text)
-    counted = _by_shard(map_batches(texts, _count_bigrams, "hash long, n int"), bits)
+    counted = by_shard(map_batches(texts, _count_bigrams, "hash long, n int"), bits)
     sums = [F.sum(f"t{i}") for i in range(8)]
     pairs = [x or 0.0 for x in map_batches(counted, _writer(files, "bigram", 1, np.dtype("<u4")), _STATS).agg(*sums).first()]
     kinds = "hash long, count long, kinds double, n1 double, n2 double, n3 double"
     by_word = map_batches(texts, _sum_words(files), kinds).groupBy("hash").agg(*[F.sum(c).alias(c) for c in WORD.names])
-    words = [x or 0.0 for x in map_batches(_by_shard(by_word, bits), _writer(files, "word", 5, WORD), _STATS).agg(*sums).first()]
+    words = [x or 0.0 for x in map_batches(by_shard(by_word, bits), _writer(files, "word", 5, WORD), _STATS).agg(*sums).first()]
     d = discounts(words[:4])
     more = words[6] - words[0] - words[1]
     mass = (d[0] * words[0] + d[1] * words[1] + d[2] * more) / words[4] if words[4] else 1.0
@@ -280,7 +195,7 @@ def _log_probabilities(model: Model, group: list[np.ndarray]) -> tuple[np.ndarra
     both = [bigram_hashes(t) for t in group]
     words, before = np.concatenate(group), np.concatenate([b for b, _ in both])
     unique, at = np.unique(np.concatenate([words, before]), return_inverse=True)
-    found = mapped(model.files, "word", WORD).find(unique)
+    found = mapped(model.files, "word", WORD).find(unique)[1]
     word, context = found[at[: len(words)]], found[at[len(words) :]]
     pair = _bigram_counts(model.files, np.concatenate([h for _, h in both])).astype(np.float64)
     low = model.word_mass / (model.vocabulary + 1)
