@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, hilbert, kneser_ney, packing, simhash, spans, topk, toxicity
+from barloom.llm import decontaminate, hilbert, kneser_ney, packing, simhash, spans, suffix_dedup, topk, toxicity
 from barloom.llm.common import table
 
 #: Dimensions of the curve over `documents`.
@@ -27,6 +27,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_exact_topk": op2_exact_topk,
     "op3_simhash": op3_simhash,
+    "op4_suffix_array": op4_suffix_array,
     "op5_decontaminate": op5_decontaminate,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
