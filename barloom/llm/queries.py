@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, hilbert, kneser_ney, packing, simhash, spans, suffix_dedup, topk, toxicity
+from barloom.llm import decontaminate, hilbert, kneser_ney, packing, pii, simhash, spans, suffix_dedup, topk, toxicity
 from barloom.llm.common import table
 
 #: Dimensions of the curve over `documents`.
@@ -50,6 +50,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A deployment passes its own secret; surrogates can't be traced without it.
+PII_KEY = "public demonstration key"
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    collided = pii.collisions(docs, key=PII_KEY).where("n_pairs <> n_entities or n_pairs <> n_surrogates").collect()
+    if collided:
+        raise ValueError(f"surrogates collide: {collided}")
+    return pii.surrogates(docs, key=PII_KEY)
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = F.coalesce(toxicity.fold(F.col("doc_id"), 7) == 2, F.lit(False))
@@ -94,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
