@@ -106,9 +106,15 @@ def permuted(symbols: Column, label: str, key: str, alphabets: list[str]) -> Col
     pair = _let(
         symbols, lambda s: F.struct(F.slice(s, 1, half(s)).alias("a"), F.slice(s, half(s) + 1, F.size(s)).alias("b"))
     )
-    for number in (1, 3):
-        pair = _let(pair, lambda p, n=number: F.struct(shift(p["a"], p["b"], n).alias("a"), p["b"].alias("b")))
-        pair = _let(pair, lambda p, n=number: F.struct(p["a"].alias("a"), shift(p["b"], p["a"], n + 1).alias("b")))
+
+    def left(number: int):
+        return lambda p: F.struct(shift(p["a"], p["b"], number).alias("a"), p["b"].alias("b"))
+
+    def right(number: int):
+        return lambda p: F.struct(p["a"].alias("a"), shift(p["b"], p["a"], number).alias("b"))
+
+    for step in (left(1), right(2), left(3), right(4)):
+        pair = _let(pair, step)
     return _let(pair, lambda p: F.concat(p["a"], p["b"]))
 
 
@@ -141,9 +147,15 @@ def _ip(e: Column, key: str) -> Column:
 
     octets = F.transform(F.split(e, r"\."), lambda x: x.cast("int"))
     pair = _let(octets, lambda o: F.struct((o[0] * 256 + o[1]).alias("a"), (o[2] * 256 + o[3]).alias("b")))
-    for number in (1, 3):
-        pair = _let(pair, lambda p, n=number: F.struct(F.pmod(p["a"] + half(p["b"], n), F.lit(65536)).alias("a"), p["b"].alias("b")))
-        pair = _let(pair, lambda p, n=number: F.struct(p["a"].alias("a"), F.pmod(p["b"] + half(p["a"], n + 1), F.lit(65536)).alias("b")))
+
+    def left(number: int):
+        return lambda p: F.struct(F.pmod(p["a"] + half(p["b"], number), F.lit(65536)).alias("a"), p["b"].alias("b"))
+
+    def right(number: int):
+        return lambda p: F.struct(p["a"].alias("a"), F.pmod(p["b"] + half(p["a"], number), F.lit(65536)).alias("b"))
+
+    for step in (left(1), right(2), left(3), right(4)):
+        pair = _let(pair, step)
     whole = lambda x: F.floor(x / 256).cast("int").cast("string")
     rest = lambda x: F.pmod(x, F.lit(256)).cast("string")
     return _let(pair, lambda p: F.concat_ws(".", whole(p["a"]), rest(p["a"]), whole(p["b"]), rest(p["b"])))

@@ -1,0 +1,91 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from barloom.llm import pii
+from barloom.llm.queries import PII_KEY, QUERIES
+
+SMALL = "/root/testdata/sf0.01"
+TEXT = (
+    "Call +1 (511) 555-6887 or 511-555-6887, mail Jo.81@mail7.example.com and JO.81@MAIL7.EXAMPLE.COM, x.9@a.org. "
+    "IP 146.47.206.184. Cards 4363361756619572, 4111111111111111, 4111-1111-1111-1111. SSN 123-45-6789, "
+    'token = "65f8700754a1d8161928a1d0cca87ca77d0abcde". Mrs. Anna Müller met Mr Anton Müller and Frau Schmidt \u0001\u0002.'
+)
+
+
+def luhn(number):
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10
+
+
+def one(spark, text, key="k"):
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return pii.surrogates(frame, key=key).first()
+
+
+def test_forms_are_kept(spark):
+    row = one(spark, TEXT)
+    kinds = [e.kind for e in row.entities]
+    assert kinds == ["phone", "phone", "email", "email", "email", "ip", "card", "card", "card", "ssn", "secret", "name", "name", "name"]
+    new = [e.surrogate for e in row.entities]
+    shape = lambda s: re.sub(r"[a-zäöü]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s)))
+    old = re.findall(r"\+1 \(511\) 555-6887|511-555-6887|\S+@\S+?(?=[, ]|\. )|\d{4}-?\d{4}-?\d{4}-?\d{4}|123-45-6789", TEXT)
+    for e in old:
+        assert e not in row.text
+    assert shape(new[0]) == shape("+1 (511) 555-6887") and new[0].startswith("+1 ")
+    assert re.sub(r"\D", "", new[0])[1:] == re.sub(r"\D", "", new[1])  # one number, written twice
+    assert new[2].lower() == new[3].lower() and new[3].isupper() and new[2].endswith(".example.com") and new[4].endswith(".org")
+    assert all(0 <= int(x) <= 255 for x in new[5].split("."))
+    assert luhn(new[7]) == 0 and new[8].replace("-", "") == new[7] and luhn(new[6]) == luhn("4363361756619572") and new[6][0] == "4"
+    assert re.fullmatch(r"[0-9a-f]{40}", new[10])
+    assert new[11].startswith("Mrs. ") and new[11].split()[1][-1] == "a" and new[12].startswith("Mr ") and new[12].split()[1][-1] == "n"
+    assert new[11].split()[-1] == new[12].split()[-1] != "Müller"
+    assert row.text.endswith(" \u0001\u0002.") and row.n_entities == 14
+    # All but the entities stays.
+    rest = row.text
+    for s in new:
+        rest = rest.replace(s, "*", 1)
+    assert rest == re.sub("|".join(map(re.escape, [*old, "146.47.206.184", "65f8700754a1d8161928a1d0cca87ca77d0abcde", "Mrs. Anna Müller", "Mr Anton Müller", "Frau Schmidt"])), "*", TEXT)
+
+
+def test_key_matters_and_results_repeat(spark):
+    assert one(spark, TEXT).text == one(spark, TEXT).text != one(spark, TEXT, key="other").text
+
+
+@pytest.mark.parametrize("alphabets", [pii.DIGITS, pii.ANY])
+def test_permutation_maps_no_two_values_to_one(spark, alphabets):
+    values = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
+    got = {r[0]: r[1] for r in values.select("v", pii._permuted_string(F.col("v"), "x", "k", alphabets)).collect()}
+    assert len(set(got.values())) == 1000 == len(got)
+    values = spark.createDataFrame([(a + b,) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"], "v string")
+    got = {r[0]: r[1] for r in values.select("v", pii._permuted_string(F.col("v"), "x", "k", pii.NAME)).collect()}
+    assert len(set(got.values())) == 26 * 26
+
+
+def test_addresses_are_permuted(spark):
+    values = spark.range(2000).select(F.concat(F.lit("10.1."), (F.col("id") / 256).cast("int"), F.lit("."), F.col("id") % 256).alias("v"))
+    got = [r[0] for r in values.select(pii._ip(F.col("v"), "k")).collect()]
+    assert len(set(got)) == 2000
+
+
+def test_clean_texts_stay(spark):
+    texts = [None, "", "plain", "Version 1.2.3.4.5 of 2024-01-02, 12:30", "a@b", "x" * 200_000, "é 中文 \u0001 \u0002a\u0002b 7", "word 12 " * 30_000]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, entities int")
+    got = {r.doc_id: r.text for r in pii.replace_entities(docs.unionByName(docs), key="k").collect()}
+    assert got == dict(enumerate(texts))
+    assert pii.replace_entities(docs.where("false"), key="k").count() == 0
+    assert pii.replace_entities(docs, key="k").columns == docs.columns
+
+
+def test_query_keeps_distinctness_and_coreference(spark):
+    got = QUERIES["op8_pii_surrogates"](spark, SMALL)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert got.count() == docs.count() and got.where("n_entities > 0").count() > 0
+    for r in pii.collisions(docs, key=PII_KEY).collect():
+        assert r.n_entities == r.n_surrogates == r.n_pairs
+    left = got.join(docs.select("doc_id", F.col("text").alias("old")), "doc_id")
+    assert left.where("n_entities = 0 and text <> old").count() == 0
+    mail = r"[a-z]+\.\d+@[a-z]+\d\.example\.com"
+    old, new = (set(re.findall(mail, " ".join(r[0] for r in left.select(c).collect()))) for c in ("old", "text"))
+    assert old and len(old) == len(new) and not old & new
