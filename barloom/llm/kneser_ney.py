@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from barloom.llm.arrays import Files, by_shard, mapped, new_files, write
 from barloom.llm.common import map_batches, text_bytes, word_chunks
 
-#: Tokens after which a task hands on its sums.
-FLUSH = 3_000_000
+#: Tokens after which a task hands on its counts, its sums, and its scores.
+COUNTED, SUMMED, SCORED = 2_000_000, 1_000_000, 300_000
 #: No word holds a space, so these hash like no word.
 BEFORE, END = (xxhash.xxh3_64_intdigest(x) for x in (b" before", b" end"))
 
@@ -53,16 +54,15 @@ def bigram_hashes(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, x ^ (x >> np.uint64(31))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[np.ndarray]]:
-    """Token hashes of the texts, about FLUSH of them at a time."""
+def _groups(texts: Iterator[pa.Scalar], most: int) -> Iterator[list[np.ndarray]]:
+    """Token hashes of the texts, about `most` of them at a time."""
     held, size = [], 0
-    for batch in batches:
-        for text in batch.column(column):
-            held.append(token_hashes(text_bytes(text.as_py())))
-            size += len(held[-1])
-            if size >= FLUSH:
-                yield held
-                held, size = [], 0
+    for text in texts:
+        held.append(token_hashes(text_bytes(text.as_py())))
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
     if held:
         yield held
 
@@ -124,14 +124,14 @@ def _bigram_counts(files: Files, hashes: np.ndarray) -> np.ndarray:
 
 
 def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in _groups(batches, 0):
+    for group in _groups(chain.from_iterable(b.column(0) for b in batches), COUNTED):
         hashes, n = np.unique(np.concatenate([bigram_hashes(t)[1] for t in group]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int32))], names=["hash", "n"])
 
 
 def _sum_words(files: Files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 0):
+        for group in _groups(chain.from_iterable(b.column(0) for b in batches), SUMMED):
             both = [bigram_hashes(t) for t in group]
             words, before = np.concatenate(group), np.concatenate([b for b, _ in both])
             c = _bigram_counts(files, np.concatenate([h for _, h in both])).astype(np.float64)
@@ -224,8 +224,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], []]
-            one = pa.RecordBatch.from_arrays([batch.column(1)], names=["text"])
-            for group in _groups(iter([one]), 0):
+            for group in _groups(iter(batch.column(1)), SCORED):
                 count, logs = _log_probabilities(model, group)
                 start = np.cumsum([0, *map(len, group[:-1])])
                 base = np.log10((count + 1) / (model.tokens + model.vocabulary + 1))
