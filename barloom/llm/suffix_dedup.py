@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -39,8 +40,8 @@ from barloom.llm.arrays import Files, by_shard, mapped, new_files, write
 from barloom.llm.common import map_batches, text_bytes
 
 WINDOW, PIECE = 100, 50
-#: Windows of a segment at most; longer runs, as in periodic text, are cut.
-LONGEST = 128
+#: Windows of a segment at most: as many as can share one piece. Longer runs, as in periodic text, are cut.
+LONGEST = WINDOW - PIECE + 1
 #: Bytes of a text that are looked at together, windows across the end included.
 CHUNK = 1 << 18
 #: Bytes of strings of one construction.
@@ -49,6 +50,8 @@ BATCH = 2_000_000
 HOT = 20_000
 #: Places that a map task holds before it hands on the first ones.
 HELD = 1_000_000
+#: Segments that are looked up together.
+LOOKED_UP = 200_000
 
 FIRST = np.dtype([("doc", "<i8"), ("start", "<i8"), ("kind", "<i8")])
 SPAN = np.dtype([("start", "<i8"), ("end", "<i8")])
@@ -195,13 +198,42 @@ def _write_repeated(files: Files):
     return run
 
 
-def _repeated(files: Files, text: bytes, inner: bool = False) -> tuple[np.ndarray, ...]:
-    """The segments of a text whose keys occur again somewhere."""
-    found = segments(text, inner)
-    if not len(found[0]):
-        return found
-    there, _ = mapped(files, "repeated", np.dtype("u1")).find_any(found[0])
-    return tuple(x[there] for x in found)
+@dataclass(frozen=True)
+class Segments:
+    """Segments of one text whose keys occur again somewhere, and, if asked for, what is known of each."""
+
+    doc: int
+    text: bytes
+    keys: np.ndarray
+    starts: np.ndarray
+    counts: np.ndarray
+    twice: np.ndarray
+    ids: np.ndarray
+    first: np.ndarray
+
+
+def _repeated(files: Files, batch: pa.RecordBatch, inner: bool = False, first: bool = False) -> Iterator[Segments]:
+    """The repeated segments of every text of a batch. Lookups are made for many texts together."""
+    docs, texts = _ids_of(batch).tolist(), batch.column(1)
+    at = 0
+    while at < len(docs):
+        held, size = [], 0
+        while at < len(docs) and size < LOOKED_UP:
+            text = text_bytes(texts[at].as_py())
+            held.append((docs[at], text, segments(text, inner=True) if inner else (*segments(text), None)))
+            size += len(held[-1][2][0])
+            at += 1
+        keys = np.concatenate([x[2][0] for x in held])
+        there, _ = mapped(files, "repeated", np.dtype("u1")).find_any(keys)
+        chosen = []
+        for (doc, text, (k, s, n, twice)), mask in zip(held, np.split(there, np.cumsum([len(x[2][0]) for x in held])[:-1]), strict=True):
+            k, s, n = k[mask], s[mask], n[mask]
+            chosen.append((doc, text, k, s, n, twice[mask] if inner else None, segment_ids(text, k, s, n)))
+        ids = np.concatenate([x[6] for x in chosen])
+        known = mapped(files, "first", FIRST).find_any(ids)[1] if first else ids
+        ends = np.cumsum([len(x[6]) for x in chosen])[:-1]
+        for one, own in zip(chosen, np.split(known, ends), strict=True):
+            yield Segments(*one, own)
 
 
 # Step 2: the first place of each segment, and which segments have company.
@@ -211,11 +243,9 @@ def _first_places(files: Files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for doc, text in zip(_ids_of(batch).tolist(), batch.column(1), strict=True):
-                text = text_bytes(text.as_py())
-                keys, starts, counts = _repeated(files, text)
-                held.append((keys, segment_ids(text, keys, starts, counts), np.full(len(keys), doc), starts))
-                size += len(keys)
+            for x in _repeated(files, batch):
+                held.append((x.keys, x.ids, np.full(len(x.keys), x.doc), x.starts))
+                size += len(x.keys)
                 if size >= HELD:
                     yield _firsts(held)
                     held, size = [], 0
@@ -270,17 +300,13 @@ def _strings(files: Files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [])
-            for doc, text in zip(_ids_of(batch).tolist(), batch.column(1), strict=True):
-                text = text_bytes(text.as_py())
-                keys, starts, counts, twice = _repeated(files, text, inner=True)
-                if not len(keys):
-                    continue
-                _, first = mapped(files, "first", FIRST).find_any(segment_ids(text, keys, starts, counts))
-                own = (twice | (first["kind"] != ALONE)) & (first["doc"] == doc) & (first["start"] == starts)
+            for seg in _repeated(files, batch, inner=True, first=True):
+                doc, text, first = seg.doc, seg.text, seg.first
+                own = (seg.twice | (first["kind"] != ALONE)) & (first["doc"] == doc) & (first["start"] == seg.starts)
                 for i in np.flatnonzero(own).tolist():
-                    s, n = int(starts[i]), int(counts[i])
+                    s, n = int(seg.starts[i]), int(seg.counts[i])
                     if first["kind"][i] != CROWDED:
-                        rows = [(int(keys[i]), s, text[s : s + n + WINDOW - 1])]
+                        rows = [(int(seg.keys[i]), s, text[s : s + n + WINDOW - 1])]
                     else:
                         windows = ((s + w, text[s + w : s + w + WINDOW]) for w in range(n))
                         rows = [(xxhash.xxh3_64_intdigest(x, 1), at, x) for at, x in windows]
@@ -377,14 +403,14 @@ def _write_spans(files: Files):
     return run
 
 
-def removed(files: Files, doc: int, text: bytes) -> list[tuple[int, int]]:
-    """Maximal stretches of the text's bytes that go."""
-    keys, starts, counts = _repeated(files, text)
-    if not len(keys):
+def removed(files: Files, seg: Segments) -> list[tuple[int, int]]:
+    """Maximal stretches of a text's bytes that go."""
+    if not len(seg.keys):
         return []
-    _, first = mapped(files, "first", FIRST).find_any(segment_ids(text, keys, starts, counts))
+    doc, first, starts = seg.doc, seg.first, seg.starts
     later = (first["doc"] < doc) | (first["doc"] == doc) & (first["start"] < starts)
-    stretches = [(int(s), int(s + n + WINDOW - 1)) for s, n in zip(starts[later], counts[later], strict=True)]
+    ends = starts[later] + seg.counts[later] + WINDOW - 1
+    stretches = list(zip(starts[later].tolist(), ends.tolist(), strict=True))
     own = doc_hash(np.array([doc], np.int64))
     hashes, data = mapped(files, "span", SPAN).of(int(files.shards(own)[0]))
     a, b = np.searchsorted(hashes, own[0], "left"), np.searchsorted(hashes, own[0], "right")
@@ -402,9 +428,8 @@ def _results(files: Files, keep_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [])
-            for doc, text in zip(_ids_of(batch).tolist(), batch.column(1), strict=True):
-                text = text_bytes(text.as_py())
-                spans, kept, at = removed(files, doc, text), [], 0
+            for seg in _repeated(files, batch, first=True):
+                text, spans, kept, at = seg.text, removed(files, seg), [], 0
                 for a, b in spans:
                     kept.append(text[at:a])
                     at = b
