@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Accepted ISO date forms and the ticker forms, matched in full.
-ISO_EXTENDED = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
-ISO_BASIC = r"\A[0-9]{8}\z"
+# A time may follow a date behind a T or white space; anything else may not.
+ISO_EXTENDED = r"(?s)\A[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T\s].*)?\z"
+ISO_BASIC = r"(?s)\A[0-9]{8}(?:[T\s].*)?\z"
 TICKER = r"\A[A-Z0-9]{1,12}\z"
 TICKER_ANY_CASE = r"\A[A-Za-z0-9]{1,12}\z"
 
@@ -23,10 +24,9 @@ def parse_number(text: Column, kind: T.DataType) -> Column:
 
 
 def parse_iso_date(text: Column) -> Column:
-    """Date from the first ten characters of an ISO date or date-time."""
-    head = F.substring(text, 1, 10)
-    return F.when(head.rlike(ISO_EXTENDED), F.try_to_date(head, "yyyy-MM-dd")).when(
-        head.rlike(ISO_BASIC), F.try_to_date(head, "yyyyMMdd")
+    """Date of an ISO date or date-time; NULL for text of any other form."""
+    return F.when(text.rlike(ISO_EXTENDED), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")).when(
+        text.rlike(ISO_BASIC), F.try_to_date(F.substring(text, 1, 8), "yyyyMMdd")
     )
 
 

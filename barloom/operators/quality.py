@@ -78,9 +78,11 @@ BAR_RULES: list[Rule] = [
     Rule("blank_source", ("source",), lambda: text_is_blank(F.col("source"))),
 ]
 
+COMPANY_NAME = Rule("blank_company_name", ("company_name",), lambda: text_is_blank(F.col("company_name")))
+
 STOCK_RULES: list[Rule] = [
     Rule("bad_ticker", ("ticker",), lambda: ticker_is_bad(F.col("ticker"))),
-    Rule("blank_company_name", ("company_name",), lambda: text_is_blank(F.col("company_name"))),
+    COMPANY_NAME,
 ]
 
 RUN_RULES: list[Rule] = [

@@ -12,7 +12,7 @@ from barloom.operators.latest import latest_row
 from barloom.operators.upsert import as_instant
 from barloom.schema import RUN_EVENT
 
-# Fixed value: characters kept of an error message.
+# Fixed value: characters shown of an error message. The log holds all of it.
 ERROR_LENGTH = 1000
 OPENED, CLOSED = 0, 1
 COUNTS = ["rows_received", "rows_inserted", "rows_updated"]
@@ -56,9 +56,12 @@ def open_runs(
 
 
 def close_runs(
-    opened: DataFrame, outcome: DataFrame, finished_at: Column | dt.datetime
+    opened: DataFrame,
+    outcome: DataFrame,
+    finished_at: Column | dt.datetime,
+    event_seq: int = CLOSED,
 ) -> DataFrame:
-    """One closing event per opened run.
+    """One closing event per opened run; a run that is closed again needs a greater ``event_seq``.
 
     ``outcome`` holds ticker, counts, error and ``failed``. The counts of a failed
     run are zero.
@@ -70,18 +73,23 @@ def close_runs(
     return _conform(
         kept.join(outcome, "ticker").select(
             *kept.columns,
-            F.lit(CLOSED).alias("event_seq"),
+            F.lit(event_seq).alias("event_seq"),
             as_instant(finished_at).alias("finished_at"),
             F.when(failed, "failed").otherwise("succeeded").alias("status"),
             *[
                 F.when(failed, 0).otherwise(F.coalesce(F.col(name), F.lit(0))).alias(name)
                 for name in COUNTS
             ],
-            clipped(F.col("error"), ERROR_LENGTH).alias("error_message"),
+            F.nullif("error", F.lit("")).alias("error_message"),
         )
     )
 
 
+def shown_error(message: Column) -> Column:
+    """An error message as a reader sees it."""
+    return clipped(message, ERROR_LENGTH)
+
+
 def current_state(events: DataFrame) -> DataFrame:
     """The last event of each run."""
     columns = [f.name for f in RUN_EVENT.fields if f.name not in ("run_id", "event_seq")]

@@ -25,7 +25,7 @@ from barloom.functions.frequency import frequency_raw
 from barloom.functions.prices import lots
 from barloom.operators.joins import bars_for_requests
 from barloom.operators.latest import latest_dates, newest_rows
-from barloom.operators.quality import check_request
+from barloom.operators.quality import REQUEST_RULES, assess, check_request, split
 from barloom.operators.ranges import grain_of, in_range
 
 BAR_FACTS = [
@@ -35,10 +35,11 @@ BAR_FACTS = [
 
 
 class History(NamedTuple):
-    """One header row per request, and the bars of all requests."""
+    """One header row per request, the bars of all requests, and the requests that break a rule, with reasons."""
 
     header: DataFrame
     bars: DataFrame
+    rejected: DataFrame | None = None
 
 
 def bar_view(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -138,14 +139,51 @@ def history(
     """Answer a frame of requests (:data:`barloom.schema.HISTORY_REQUEST`).
 
     ``prune`` suits stored bars, where the dates reachable by the requests cut
-    partitions. Requests for unknown symbols are in :func:`not_found`.
+    partitions. Requests that break a rule are not answered but returned; those
+    for unknown symbols are in :func:`not_found`.
     """
-    resolved = resolve(requests, bars, stocks)
+    valid, rejected = split(assess(requests, REQUEST_RULES))
+    resolved = resolve(valid, bars, stocks)
     rows = request_rows(resolved, prune_to_requests(bars, resolved) if prune else bars)
     header = _header(
         resolved.where("listed"), rows, "request_id", F.col("as_of"), provider, is_mock
     )
-    return History(header, bar_view(rows, ["request_id", "ticker", "company_name"]))
+    return History(header, bar_view(rows, ["request_id", "ticker", "company_name"]), rejected)
+
+
+def symbol_history(
+    bars: DataFrame,
+    stocks: DataFrame,
+    ticker: str,
+    *,
+    timeframe: str = DEFAULT_TIMEFRAME,
+    date_from: dt.date | str | None = None,
+    date_to: dt.date | str | None = None,
+    row_limit: int | None = None,
+) -> DataFrame:
+    """The bars of one symbol, oldest first; a row limit keeps the newest of the window.
+
+    The ticker is a plain filter that reaches the scan, and so are all bounds: an
+    open-ended window is anchored by one look at the symbol's own dates. An
+    unknown symbol is an error. A symbol has at most one bar a day, which bounds
+    the sort.
+    """
+    check_request(timeframe, row_limit)
+    name = ticker.upper()
+    stock = stocks.where(F.col("ticker") == name).select("company_name").first()
+    if stock is None:
+        raise LookupError(f"unknown ticker {name}")
+    own = bars.where(F.col("ticker") == name)
+    days = TIMEFRAME_DAYS.get(timeframe)
+    if date_from is None and days is not None:
+        last = date_to or own.agg(F.max("trade_date")).first()[0]
+        if last is not None:
+            date_from = F.date_sub(as_date(last), days)
+    rows = in_range(own, date_from, date_to)
+    if row_limit is not None:
+        rows = rows.orderBy(F.desc("trade_date")).limit(row_limit)
+    named = rows.withColumn("company_name", F.lit(stock.company_name))
+    return bar_view(named, ["ticker", "company_name"]).orderBy("trade_date")
 
 
 def not_found(requests: DataFrame, stocks: DataFrame) -> DataFrame:

@@ -1,22 +1,26 @@
 """Batch ingest of all symbols of a feed in one job.
 
-Order of the writes: staged rows, planned counts, opening run events, bars,
-stocks, closing run events. The closing events are the commit marker. A job
-that is run again after a crash finds its opening events and takes the counts
-planned before the tables changed, so nothing is counted twice; a job that was
-closed is not repeated.
+Order of the writes: opening event of the job, staged rows, merged rows and
+planned counts, opening run events, bars, stocks, closing run events, closing
+event of the job. The last one is the commit marker. Nothing is merged from a
+table that is being overwritten: the merged rows are staged first, and a job that
+is run again after a crash writes them from there, with the counts planned
+before the tables changed. So no stored bar is lost between two partitions, and
+nothing is counted twice. A job that throws is closed as failed and may be run
+again; a job that succeeded is not repeated.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.calendar import within
-from barloom.operators.quality import BAR_RULES, assess, split
+from barloom.operators.quality import BAR_RULES, COMPANY_NAME, assess, split, ticker_is_bad
 from barloom.operators.runlog import (
     CLOSED,
     OPENED,
@@ -28,7 +32,7 @@ from barloom.operators.upsert import as_instant, last_wins, merge_bars, merge_co
 from barloom.schema import BAR_COLUMNS, BAR_KEY, RUN_EVENT, STOCK_COLUMNS
 from barloom.sources.payloads import ARRIVAL, Feed
 from barloom.sources.providers import pull_window
-from barloom.sources.tables import MarketTables, slot_of
+from barloom.sources.tables import MarketTables
 
 OUTCOME = T.StructType(
     [
@@ -102,9 +106,13 @@ def plan_outcome(
     if tickers is not None:
         absent = F.when(F.col("found").isNull(), F.lit("no payload for ticker"))
         wanted = tickers.select(F.upper("ticker").alias("ticker")).distinct()
-        outcome = wanted.join(
-            outcome.withColumn("found", F.lit(True)), "ticker", "left"
-        ).withColumn("error", F.coalesce(absent, "error"))
+        # A payload whose ticker can't be read may be anyone's: it is reported whatever was asked for.
+        unknown = outcome.where(ticker_is_bad(F.col("ticker"))).select("ticker")
+        outcome = (
+            wanted.unionByName(unknown)
+            .join(outcome.withColumn("found", F.lit(True)), "ticker", "left")
+            .withColumn("error", F.coalesce(absent, "error"))
+        )
     failed = F.col("error").isNotNull() & F.col("rows_received").isNull()
     return outcome.withColumn("failed", failed).select(*OUTCOME.fieldNames())
 
@@ -115,10 +123,14 @@ def _asked_for(
     date_from: dt.date | None,
     date_to: dt.date | None,
 ) -> DataFrame:
-    """Bars of the requested symbols and dates; faults are kept whatever their date."""
+    """Bars of the requested symbols and dates; faults are kept whatever their date, or if no ticker could be read."""
     if tickers is not None:
-        wanted = tickers.select(F.upper("ticker").alias("ticker")).distinct()
-        parsed = parsed.join(wanted, "ticker", "left_semi")
+        wanted = tickers.select(F.upper("ticker").alias("ticker"), F.lit(True).alias("wanted")).distinct()
+        parsed = (
+            parsed.join(wanted, "ticker", "left")
+            .where(F.col("wanted") | ticker_is_bad(F.col("ticker")))
+            .drop("wanted")
+        )
     day = F.col("trade_date")
     start, end = F.lit(date_from).cast("date"), F.lit(date_to).cast("date")
     return parsed.where(F.col("fault").isNotNull() | day.isNull() | within(day, start, end))
@@ -131,6 +143,7 @@ def ingest(
     provider: str,
     job_id: str,
     at: dt.datetime,
+    clock: Callable[[], dt.datetime] | None = None,
     tickers: DataFrame | None = None,
     date_from: dt.date | None = None,
     date_to: dt.date | None = None,
@@ -142,16 +155,34 @@ def ingest(
     """Validate a feed, merge it into the tables and log one run per symbol.
 
     Returns the runs of the job. ``whole_payloads`` fails a symbol for one bad row;
-    ``fail_fast`` also raises, after logging, when a symbol failed.
+    ``fail_fast`` also raises, after logging, when a symbol failed. ``clock`` gives
+    the instant at which the job ends, which is ``at`` without it.
     """
+    finish = clock or (lambda: at)
     log = tables.runs().where(F.col("job_id") == job_id)
-    reached = log.agg(F.max("event_seq").alias("seq")).first().seq
-    if reached != CLOSED:
-        _run(
-            tables, feed, provider, job_id, at, tickers, date_from, date_to, limit,
-            whole_payloads, coalesce_nulls, resume=reached == OPENED,
-        )
-    runs = current_state(tables.runs().where(F.col("job_id") == job_id))
+    job = log.where(F.col("ticker").isNull()).agg(
+        F.max("event_seq").alias("seq"),
+        F.bool_or(F.col("status") == "succeeded").alias("done"),
+        F.min("started_at").alias("since"),
+    ).first()
+    if not job.done:
+        if job.seq is None:
+            tables.append_runs(_job_event(tables, job_id, provider, at, date_to, OPENED, "running"))
+        resume = not log.where(F.col("ticker").isNotNull()).isEmpty()
+        try:
+            closing = (job.seq or OPENED) + 1
+            _run(
+                tables, feed, provider, job_id, at, finish, tickers, date_from, date_to, limit,
+                whole_payloads, coalesce_nulls, resume, closing,
+            )
+            tables.append_runs(
+                _job_event(tables, job_id, provider, at, date_to, closing, "succeeded", finish())
+            )
+            tables.drop_staged(job_id)
+        except Exception as error:
+            _close_as_failed(tables, job_id, provider, at, date_to, closing, finish(), error)
+            raise
+    runs = runs_of(tables, job_id)
     if fail_fast:
         failed = runs.where(F.col("status") == "failed").orderBy("ticker").first()
         if failed is not None:
@@ -159,12 +190,76 @@ def ingest(
     return runs
 
 
+def runs_of(tables: MarketTables, job_id: str) -> DataFrame:
+    """The runs of a job's symbols, without the run of the job itself."""
+    log = tables.runs().where((F.col("job_id") == job_id) & F.col("ticker").isNotNull())
+    return current_state(log)
+
+
+def _job_event(
+    tables, job_id, provider, at, date_to, seq, status, finished=None, received=None, error=None
+) -> DataFrame:
+    """An event of the job as a whole: a run without a ticker."""
+    none = tables.spark.range(1).select(F.lit(None).cast("string").alias("ticker"))
+    opened = open_runs(none, f"{job_id}", provider, at, date_to)
+    return opened.select(
+        F.lit(f"{job_id}/").alias("run_id"),
+        *[c for c in opened.columns if c not in ("run_id", "event_seq", "status", "finished_at", "rows_received", "error_message")],
+        F.lit(seq).cast("int").alias("event_seq"),
+        F.lit(status).alias("status"),
+        F.lit(finished).cast("timestamp").alias("finished_at"),
+        F.lit(received or 0).cast("bigint").alias("rows_received"),
+        F.lit(error).cast("string").alias("error_message"),
+    )
+
+
+def _close_as_failed(tables, job_id, provider, at, date_to, seq, finished, error) -> None:
+    """Closing events with zero counts for every run that is still open, and for the job."""
+    text = f"{type(error).__name__}: {error}"
+    state = runs_of(tables, job_id).where(F.col("status") == "running")
+    outcome = state.select(
+        "ticker",
+        *[F.lit(0).cast("bigint").alias(name) for name in ("rows_received", "rows_inserted", "rows_updated")],
+        F.lit(text).alias("error"),
+        F.lit(True).alias("failed"),
+    )
+    opened = tables.runs().where(
+        (F.col("job_id") == job_id) & F.col("ticker").isNotNull() & (F.col("event_seq") == OPENED)
+    )
+    tables.append_runs(
+        close_runs(opened, outcome, finished, seq).unionByName(
+            _job_event(tables, job_id, provider, at, date_to, seq, "failed", finished, error=text).select(
+                *RUN_EVENT.fieldNames()
+            )
+        )
+    )
+
+
 def _run(
-    tables, feed, provider, job_id, at, tickers, date_from, date_to, limit,
-    whole_payloads, coalesce_nulls, resume,
+    tables, feed, provider, job_id, at, finish, tickers, date_from, date_to, limit,
+    whole_payloads, coalesce_nulls, resume, closing,
 ) -> None:
+    if resume:  # all that is needed was staged before the runs were opened
+        outcome = tables.staged(job_id, "outcome", OUTCOME)
+    else:
+        outcome = _plan(
+            tables, feed, job_id, at, tickers, date_from, date_to, limit, whole_payloads, coalesce_nulls
+        )
+        tables.append_runs(open_runs(outcome.select("ticker"), job_id, provider, at, date_to))
+    tables.overwrite_staged(job_id)
+    opened = tables.runs().where(
+        (F.col("job_id") == job_id) & F.col("ticker").isNotNull() & (F.col("event_seq") == OPENED)
+    )
+    tables.append_runs(close_runs(opened, outcome, finish(), closing))
+
+
+def _plan(
+    tables, feed, job_id, at, tickers, date_from, date_to, limit, whole_payloads, coalesce_nulls
+) -> DataFrame:
+    """Stage the merged periods, the merged stocks and, last, the outcome of every symbol."""
     asked = _asked_for(feed.parsed, tickers, date_from, date_to)
-    parsed = tables.stage(assess(asked, BAR_RULES, known=F.col("parse_errors")), job_id, "parsed")
+    rules = [*BAR_RULES, COMPANY_NAME]
+    parsed = tables.stage(assess(asked, rules, known=F.col("parse_errors")), job_id, "parsed")
     rejects = Feed(parsed).rejects
     assessed = parsed.where(F.col("fault").isNull())
     if limit is not None:
@@ -174,34 +269,22 @@ def _run(
     batch = tables.stage(batch_of(accepted), job_id, "batch")
     periods = tables.touched_periods(batch)
     stored = tables.bars_in(periods)
-
-    if resume:
-        outcome = tables.staged(job_id, "outcome", OUTCOME)
-    else:
-        counts = merge_counts(batch, stored)
-        outcome = tables.stage(
-            plan_outcome(assessed, failures, counts, tickers), job_id, "outcome"
-        )
-        tables.append_runs(
-            open_runs(outcome.select("ticker"), job_id, provider, at, date_to)
-        )
-
-    if periods:
-        tables.overwrite_bars(merge_bars(stored, batch, at, coalesce_nulls))
-        # Only the slots of the batch are read and rewritten.
-        fresh = stocks_of(accepted).withColumn("ticker_slot", slot_of(F.col("ticker")))
-        slots = [r.ticker_slot for r in fresh.select("ticker_slot").distinct().collect()]
-        known = tables.stocks().where(F.col("ticker_slot").isin(slots))
-        tables.overwrite_stocks(merge_stocks(known, fresh, at, coalesce_nulls))
-
-    opened = tables.runs().where((F.col("job_id") == job_id) & (F.col("event_seq") == OPENED))
-    tables.append_runs(close_runs(opened, outcome, at))
+    # Only the slots of the batch are read and rewritten.
+    fresh = stocks_of(accepted).withColumn("ticker_slot", tables.slot_of(F.col("ticker")))
+    slots = [r.ticker_slot for r in fresh.select("ticker_slot").distinct().collect()]
+    known = tables.stocks().where(F.col("ticker_slot").isin(slots))
+    tables.stage(merge_bars(stored, batch, at, coalesce_nulls), job_id, "merged_bars")
+    tables.stage(merge_stocks(known, fresh, at, coalesce_nulls), job_id, "merged_stocks")
+    counts = merge_counts(batch, stored)
+    return tables.stage(plan_outcome(assessed, failures, counts, tickers), job_id, "outcome")
 
 
 def quarantine(tables: MarketTables, job_id: str) -> DataFrame:
-    """The rows a job did not accept, each with its reasons."""
-    path = tables.path(f"staging/{job_id}/parsed")
-    rows = tables.spark.read.parquet(path).where(F.col("fault").isNull())
+    """The rows a job did not accept, each with its reasons; a rejected payload is one row with its fault."""
+    rows = tables.spark.read.parquet(tables.path(f"staging/{job_id}/parsed"))
+    faulty = F.col("fault").isNotNull()
+    reasons = F.when(faulty, F.array("fault")).otherwise(F.col("reasons"))
+    rows = rows.withColumn("reasons", reasons)
     return split(rows).quarantine.drop("parse_errors", "fault")
 
 
@@ -213,16 +296,29 @@ def seed(
     provider: str,
     job_id: str,
     at: dt.datetime,
+    clock: Callable[[], dt.datetime] | None = None,
 ) -> None:
     """First load of empty tables. Logs one succeeded run with the rows received.
 
-    A seed that is already in the log is not repeated.
+    Bars that break a rule go to quarantine, and of a repeated key one stays, the
+    greatest row. A table that holds bars of another job is not seeded again. A seed that
+    succeeded is not repeated; one that was interrupted starts over.
     """
-    if tables.runs().where(F.col("job_id") == job_id).first() is not None:
+    log = tables.runs().where(F.col("job_id") == job_id)
+    if not log.where(F.col("status") == "succeeded").isEmpty():
         return
+    if log.isEmpty():
+        if not tables.bars().isEmpty() or not tables.stocks().isEmpty():
+            raise IngestError("only empty tables can be seeded")
+        tables.append_runs(_job_event(tables, job_id, provider, at, None, OPENED, "running"))
     now = as_instant(at)
+    none = F.array().cast("array<string>")
+    judged = assess(bars.select(*BAR_COLUMNS), BAR_RULES)
+    judged = judged.withColumns({"parse_errors": none, "fault": F.lit(None).cast("string")})
+    parsed = tables.stage(judged, job_id, "parsed")
+    valid = split(parsed.drop("parse_errors", "fault")).valid
     tables.overwrite_bars(
-        bars.select(
+        last_wins(valid, BAR_KEY, []).select(
             *BAR_COLUMNS,
             now.alias("ingested_at"),
             now.alias("created_at"),
@@ -234,20 +330,9 @@ def seed(
             *STOCK_COLUMNS, "is_active", now.alias("created_at"), now.alias("updated_at")
         )
     )
-    received = tables.bars().agg(F.count("*").alias("rows_received"))
-    run = received.select(
-        F.lit(f"{job_id}/").alias("run_id"),
-        F.lit(job_id).alias("job_id"),
-        F.lit(CLOSED).alias("event_seq"),
-        F.lit(provider).alias("provider"),
-        F.lit(None).cast("string").alias("ticker"),
-        now.alias("started_at"),
-        now.alias("finished_at"),
-        F.lit("succeeded").alias("status"),
-        F.lit(None).cast("date").alias("requested_date"),
-        "rows_received",
-        F.lit(0).cast("bigint").alias("rows_inserted"),
-        F.lit(0).cast("bigint").alias("rows_updated"),
-        F.lit(None).cast("string").alias("error_message"),
+    received = valid.count()
+    tables.append_runs(
+        _job_event(
+            tables, job_id, provider, at, None, CLOSED, "succeeded", (clock or (lambda: at))(), received
+        )
     )
-    tables.append_runs(run.select(*RUN_EVENT.fieldNames()))

@@ -122,3 +122,8 @@ def latest_quotes(bars: DataFrame) -> DataFrame:
         change_percent(close, previous).alias("change_percent"),
         direction(moved).alias("direction"),
     )
+
+
+def by_ticker(listed: DataFrame) -> DataFrame:
+    """A watchlist or stocks in the order a reader sees them: for the last step before display only."""
+    return listed.orderBy("ticker")

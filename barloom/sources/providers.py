@@ -20,9 +20,6 @@ from barloom.operators.ranges import in_range
 from barloom.schema import FACTS, STOCK_COLUMNS
 from barloom.sources.payloads import Feed, landing_files, read_history, read_summary
 
-# Bars per ticker that one pull asks for, and may at most ask for.
-DEFAULT_PULL, MAX_PULL = 260, 2000
-
 
 class Provider(Protocol):
     """What the ingest job needs from a source."""
@@ -40,14 +37,15 @@ def pull_window(
     rows: DataFrame,
     date_from: dt.date | str | None = None,
     date_to: dt.date | str | None = None,
-    limit: int | None = DEFAULT_PULL,
-    at_most: int | None = MAX_PULL,
+    limit: int | None = None,
 ) -> DataFrame:
-    """What one pull returns: the range first, then the newest bars per ticker."""
+    """What one pull returns: the range first, then the newest bars per ticker if a limit is given."""
     rows = in_range(rows, date_from, date_to)
     if limit is None:
         return rows
-    return newest_rows(rows, limit if at_most is None else min(limit, at_most))
+    if limit < 1:
+        raise ValueError("a pull limit must be positive")
+    return newest_rows(rows, limit)
 
 
 @dataclass(frozen=True)

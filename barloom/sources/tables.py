@@ -25,12 +25,6 @@ from barloom.schema import (
     stored_bar,
 )
 
-STOCK_SLOTS = 16
-
-
-def slot_of(ticker: Column) -> Column:
-    return F.pmod(F.xxhash64(ticker), F.lit(STOCK_SLOTS)).cast("int")
-
 
 @dataclass(frozen=True)
 class MarketTables:
@@ -39,6 +33,11 @@ class MarketTables:
     spark: SparkSession
     root: str
     grain: str = "month"
+    #: Partitions of the stocks. Fixed for a table once it holds rows.
+    stock_slots: int = 16
+
+    def slot_of(self, ticker: Column) -> Column:
+        return F.pmod(F.xxhash64(ticker), F.lit(self.stock_slots)).cast("int")
 
     @property
     def period(self) -> str:
@@ -102,7 +101,7 @@ class MarketTables:
     def overwrite_stocks(self, stocks: DataFrame) -> None:
         """Replace exactly the ticker slots that ``stocks`` covers."""
         self._overwrite(
-            stocks.withColumn("ticker_slot", slot_of(F.col("ticker"))).select(
+            stocks.withColumn("ticker_slot", self.slot_of(F.col("ticker"))).select(
                 *STORED_STOCK.fieldNames()
             ),
             "stocks",
@@ -135,6 +134,21 @@ class MarketTables:
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def overwrite_staged(self, job_id: str) -> None:
+        """Write the merged periods and slots of a job from their staged copies, however often."""
+        bars = self.staged(job_id, "merged_bars", T.StructType([f for f in stored_bar(self.grain) if f.name != self.period]))
+        stocks = self.staged(job_id, "merged_stocks", T.StructType([f for f in STORED_STOCK if f.name != "ticker_slot"]))
+        if not bars.isEmpty():
+            self.overwrite_bars(bars)
+            self.overwrite_stocks(stocks)
+
+    def drop_staged(self, job_id: str) -> None:
+        """Remove what a closed job no longer needs; its parsed rows stay for :func:`quarantine`."""
+        jvm = self.spark._jvm
+        for name in ("pulled", "batch", "merged_bars", "merged_stocks", "outcome"):
+            path = jvm.org.apache.hadoop.fs.Path(self.path(f"staging/{job_id}/{name}"))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def staged(self, job_id: str, name: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(f"staging/{job_id}/{name}"))
 

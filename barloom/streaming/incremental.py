@@ -58,6 +58,7 @@ def start_ingest(
             provider=provider,
             job_id=f"{stream}-{batch_id}-{batch_digest(payloads)}",
             at=clock(),
+            clock=clock,
             **options,
         )
 

@@ -133,7 +133,7 @@ runs as (
          case when s.is_active then coalesce(n, 0) else 0 end as rows_received,
          case when s.is_active then coalesce(n, 0) else 0 end as rows_inserted,
          cast(0 as bigint) as rows_updated,
-         case when not s.is_active then substr(repeat(company_name, 80), 1, 1000) end
+         case when not s.is_active then repeat(company_name, 80) end
            as error_message,
          '2024-01-01 08:00:00' as started_at,
          strftime(timestamp '2024-01-01 08:00:00'
@@ -246,8 +246,14 @@ select coalesce(o.ticker, n.ticker) as ticker, coalesce(o.trade_date, n.trade_da
   case when o.ticker is not null then '{t0}' else '{t1}' end as ingested_at,
   case when o.ticker is not null then '{t0}' else '{t1}' end as created_at,
   case when n.ticker is not null then '{t1}' else '{t0}' end as updated_at
-from stored o full outer join restated n
-  on o.ticker = n.ticker and o.trade_date = n.trade_date"""
+from (
+  select n.ticker as new_ticker, n.trade_date as new_date, o.ticker as old_ticker, o.trade_date as old_date
+  from restated n left join stored o on o.ticker = n.ticker and o.trade_date = n.trade_date
+  union all
+  select null, null, o.ticker, o.trade_date
+  from stored o anti join restated n on o.ticker = n.ticker and o.trade_date = n.trade_date) k
+  left join restated n on n.ticker = k.new_ticker and n.trade_date = k.new_date
+  left join stored o on o.ticker = k.old_ticker and o.trade_date = k.old_date"""
 
 
 def _merge(sells: str) -> str:
@@ -428,7 +434,8 @@ where ticker in (select ticker from stocks where is_active)""",
     "source_pull_window": _pull(
         "trade_date between date '1998-03-01' and date '1999-12-31'", 40
     ),
-    "source_default_pull": _pull("true", 260),
+    "source_default_pull": _with(BARS)
+    + "select ticker, trade_date, cast(close as double) as close from bars",
     "provider_conversions": """
 select o_orderkey, cast(o_orderdate as date) as iso_date, cast(o_orderdate as date) as basic_date,
   cast(null as date) as other_date, o_custkey as whole, cast(null as bigint) as not_whole,
@@ -458,6 +465,16 @@ where ticker not in (select ticker from stocks)""",
     case when request_id % 19 = 0 then 'unknown_timeframe' end,
     case when (row_limit - 3) * 400 not between 1 and 2000
          then 'row_limit_out_of_range' end) as reasons from requests) where reasons <> ''""",
+    "history_rejected_requests": _with(REQUESTS)
+    + """select request_id, reasons from (
+  select request_id, concat_ws(',',
+    case when request_id % 17 = 0 then 'bad_ticker' end,
+    case when request_id % 19 = 0 then 'unknown_timeframe' end,
+    case when (row_limit - 3) * 400 not between 1 and 2000
+         then 'row_limit_out_of_range' end) as reasons from requests) where reasons <> ''""",
+    "stock_violations": """
+select concat('S', cast(c_custkey as varchar)) as ticker, 'blank_company_name' as reasons
+from customer where c_custkey % 5 = 0 or c_custkey % 7 = 0""",
     "run_log_violations": """
 select run_id, reasons from (
   select o_orderkey as run_id, concat_ws(',',
@@ -531,22 +548,31 @@ from counted full outer join spoilt s using (ticker)""",
     "seed_load": _with(BARS)
     + f"""select 'seed' as job_id, 'succeeded' as status, count(*) as rows_received,
   cast(0 as bigint) as rows_inserted, cast(0 as bigint) as rows_updated
-from bars where trade_date < {CUT}""",
+from bars""",
+    "ingest_asked_for": _with(BARS, DAMAGE)
+    + """select distinct payload_id, case kind when 0 then 'malformed_json'
+  when 1 then 'not_an_object' when 2 then 'data_not_an_object' when 3 then 'unit_not_shares'
+  when 4 then 'items_not_a_list' else 'bad_ticker' end as reason
+from parts where kind <= 5""",
+    "symbol_history": _with(BARS, STOCKS)
+    + f"""select ticker, company_name, {VIEW} from bars join stocks using (ticker)
+where ticker = (select min(ticker) from stocks)""",
     "stored_scan": _with(BARS)
     + """select ticker, trade_date, cast(close as double) as close,
   cast(year(trade_date) as bigint) as trade_year
 from bars where trade_date between date '1998-03-01' and date '1998-06-30'""",
-    "stored_watchlist": _with(EARLY_BARS, STOCKS, LATEST) + _watchlist("stocks"),
-    "stored_history_3m": _with(EARLY_BARS, STOCKS)
+    "stored_watchlist": _with(BARS, STOCKS, LATEST) + _watchlist("stocks"),
+    "stored_history_3m": _with(BARS, STOCKS)
     + f""", windowed as (
-  select *, row_number() over (partition by ticker order by trade_date desc) as rn
-  from (select *, max(trade_date) over (partition by ticker) as last from bars)
+  select * from (select *, max(trade_date) over (partition by ticker) as last from bars)
   where trade_date >= last - 93)
-select ticker, company_name, {VIEW} from windowed join stocks using (ticker) where rn <= 20""",
-    "stored_history_requests": _with(EARLY_BARS, STOCKS, REQUESTS, RESOLVED) + REQUEST_HEADER,
-    "stored_freshness": _with(EARLY_BARS)
+select ticker, company_name, {VIEW} from windowed join stocks using (ticker)""",
+    "stored_history_requests": _with(BARS, STOCKS, REQUESTS, RESOLVED) + REQUEST_HEADER,
+    "stored_freshness": _with(BARS)
     + f"""select max(trade_date) as latest_trade_date, {EXPECTED} as expected_trade_date,
-  max(trade_date) < {EXPECTED} as is_stale, false as is_mock, 'STALE' as label, 'stale' as mode,
+  max(trade_date) < {EXPECTED} as is_stale, false as is_mock,
+  case when max(trade_date) < {EXPECTED} then 'STALE' else 'EOD CURRENT' end as label,
+  case when max(trade_date) < {EXPECTED} then 'stale' else 'current' end as mode,
   'landing' as provider, 'parquet' as repository, 'landing' as ingestion_provider,
   'succeeded' as ingestion_status, '2024-01-01 08:00:00' as ingestion_finished_at,
   count(*) as ingestion_rows_received from bars""",

@@ -480,16 +480,40 @@ def orphan_bars(spark, sf):
     return rows.select(*BAR_KEY, _long("copy"))
 
 
-@query
-def request_violations(spark, sf):
-    requests = fixtures.order_requests(spark, sf, AS_OF).select(
+def _faulty_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.order_requests(spark, sf, AS_OF).select(
         "request_id",
+        "date_from",
+        "date_to",
+        "as_of",
         F.when(F.col("request_id") % 17 == 0, F.concat("ticker", F.lit("-X")))
         .otherwise(F.col("ticker"))
         .alias("ticker"),
         F.when(F.col("request_id") % 19 == 0, "5Y").otherwise(F.col("timeframe")).alias("timeframe"),
         ((F.col("row_limit") - 3) * 400).alias("row_limit"),
     )
+
+
+@query
+def history_rejected_requests(spark, sf):
+    requests = _faulty_requests(spark, sf)
+    found = hist.history(fixtures.bars(spark, sf), fixtures.stocks(spark, sf), requests, provider=PROVIDER)
+    return found.rejected.select("request_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def stock_violations(spark, sf):
+    """Customers as stocks, some with a name of white space or none."""
+    number = F.substring("ticker", 2, 18).cast("bigint")
+    name = F.when(number % 5 == 0, " \t ").when(number % 7 != 0, F.col("company_name"))
+    stocks = fixtures.customer_stocks(spark, sf).withColumn("company_name", name)
+    found = quality.split(quality.assess(stocks, quality.STOCK_RULES)).quarantine
+    return found.select("ticker", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def request_violations(spark, sf):
+    requests = _faulty_requests(spark, sf)
     rows = quality.split(quality.assess(requests, quality.REQUEST_RULES)).quarantine
     return rows.select("request_id", F.array_join("reasons", ",").alias("reasons"))
 
@@ -739,12 +763,14 @@ def latest_ingestion(spark, sf):
     )
 
 
-def _seeded(spark: SparkSession, sf: str) -> tuple[MarketTables, DataFrame, DataFrame]:
-    """Tables in the working folder that hold the bars before the cut."""
+def _seeded(
+    spark: SparkSession, sf: str, before: str | None = None
+) -> tuple[MarketTables, DataFrame, DataFrame]:
+    """Tables in the working folder that hold all bars, or those before a date."""
     tables = MarketTables(spark, working_folder(spark, "market"), grain="year").create()
     bars, stocks = fixtures.bars(spark, sf), fixtures.stocks(spark, sf)
-    early = bars.where(F.col("trade_date") < as_date(CUT))
-    ingest.seed(tables, early, stocks, provider=PROVIDER, job_id="seed", at=T0)
+    held = bars if before is None else bars.where(F.col("trade_date") < as_date(before))
+    ingest.seed(tables, held, stocks, provider=PROVIDER, job_id="seed", at=T0)
     return tables, bars, stocks
 
 
@@ -757,7 +783,7 @@ def _late_payloads(bars: DataFrame, stocks: DataFrame) -> DataFrame:
 
 @query
 def batch_ingest(spark, sf):
-    tables, bars, stocks = _seeded(spark, sf)
+    tables, bars, stocks = _seeded(spark, sf, CUT)
     feed = payloads.read_history(_late_payloads(bars, stocks), PROVIDER)
     runs = ingest.ingest(tables, feed, provider=PROVIDER, job_id="late", at=T1)
     return runs.select(
@@ -767,7 +793,7 @@ def batch_ingest(spark, sf):
 
 @query
 def batch_ingest_whole_payloads(spark, sf):
-    tables, bars, stocks = _seeded(spark, sf)
+    tables, bars, stocks = _seeded(spark, sf, CUT)
     spoilt = _late_payloads(bars, stocks).withColumn(
         "payload",
         F.when(
@@ -791,7 +817,22 @@ def batch_ingest_whole_payloads(spark, sf):
 @query
 def seed_load(spark, sf):
     tables, _, _ = _seeded(spark, sf)
-    return tables.runs().select("job_id", "status", "rows_received", "rows_inserted", "rows_updated")
+    return runlog.current_state(tables.runs()).select(
+        "job_id", "status", "rows_received", "rows_inserted", "rows_updated"
+    )
+
+
+@query
+def ingest_asked_for(spark, sf):
+    """Damaged payloads are reported whatever tickers were asked for, also if theirs can't be read."""
+    tables = MarketTables(spark, working_folder(spark, "market"), grain="year").create()
+    stocks = fixtures.stocks(spark, sf)
+    feed = payloads.read_history(_damaged(spark, sf), PROVIDER)
+    ingest.ingest(
+        tables, feed, provider=PROVIDER, job_id="asked", at=T0, tickers=stocks.select(F.lower("ticker").alias("ticker"))
+    )
+    found = ingest.quarantine(tables, "asked")
+    return found.select("payload_id", F.element_at("reasons", 1).alias("reason")).distinct()
 
 
 @query
@@ -810,7 +851,7 @@ def stored_watchlist(spark, sf):
 def stored_history_3m(spark, sf):
     tables, _, _ = _seeded(spark, sf)
     found = hist.universe_history(
-        tables.bars(), tables.stocks(), as_of=AS_OF, provider=PROVIDER, timeframe="3M", row_limit=20
+        tables.bars(), tables.stocks(), as_of=AS_OF, provider=PROVIDER, timeframe="3M"
     )
     return _bar_rows(found.bars, "ticker", "company_name")
 
@@ -825,6 +866,15 @@ def stored_history_requests(spark, sf):
     return _header_rows(found.header, "request_id", "ticker", "company_name")
 
 
+@query
+def symbol_history(spark, sf):
+    """The whole history of the symbol that comes first, from stored bars."""
+    tables, _, stocks = _seeded(spark, sf)
+    name = stocks.agg(F.min("ticker")).first()[0]
+    found = hist.symbol_history(tables.bars(), tables.stocks(), name.lower(), timeframe="ALL")
+    return _bar_rows(found, "ticker", "company_name")
+
+
 @query
 def stored_freshness(spark, sf):
     tables, _, _ = _seeded(spark, sf)

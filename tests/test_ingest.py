@@ -1,18 +1,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
 import json
+import shutil
 
 import pytest
 from conftest import bar_row
 from pyspark.sql import functions as F
 
 from barloom.operators.latest import latest_date, newest_rows
-from barloom.operators.runlog import latest_run
+from barloom.operators.runlog import current_state, latest_run
 from barloom.plans.history import universe_rows, window_of_result
 from barloom.plans.watchlist import watchlist
 from barloom.plans.ingest import IngestError, ingest, quarantine, seed
-from barloom.sources.payloads import read_history, read_summary
+from barloom.sources.payloads import Feed, read_history, read_summary
 from barloom.sources.providers import LandedProvider, TableProvider
 from barloom.sources.tables import MarketTables, publish_bucketed
 from barloom.streaming.incremental import start_ingest
@@ -79,7 +81,9 @@ def test_job_that_ran_is_not_repeated(tables, landed):
     run(tables, frame, "one")
     again = run(tables, landed(payload("AAA", *august(9))), "one", T1)
     assert counts(again) == {"AAA": ("succeeded", 3, 3, 0)}
-    assert tables.bars().count() == 3 and tables.runs().count() == 2
+    assert tables.bars().count() == 3
+    # The job and its one symbol, each opened and closed.
+    assert tables.runs().count() == 4
 
 
 @pytest.mark.parametrize("step", ["overwrite_bars", "overwrite_stocks"])
@@ -96,11 +100,71 @@ def test_rerun_after_a_crash_counts_once(tables, landed, monkeypatch, step):
     with pytest.raises(OSError):
         run(tables, frame, "one")
     monkeypatch.setattr(MarketTables, step, real)
-    assert latest_run(tables.runs().where("job_id = 'one'")).first().status == "running"
+    log = tables.runs().where("job_id = 'one'")
+    assert {r.status for r in current_state(log).collect()} == {"failed"}
+    assert log.where("error_message like '%executor lost%'").count() == 2
     assert counts(run(tables, frame, "one", T1)) == {"AAA": ("succeeded", 5, 3, 2)}
     assert tables.bars().count() == 5 and tables.stocks().count() == 1
 
 
+def test_rerun_restores_a_period_lost_inside_the_commit(tables, landed, monkeypatch):
+    """The write is stopped between the deletion of an old partition and the move of the new one."""
+    run(tables, landed(payload("AAA", *august(6))), "zero")
+    real = MarketTables.overwrite_bars
+
+    def lose_the_period(self, rows):
+        for folder in glob.glob(f"{self.path('bars').removeprefix('file:')}/trade_*=*"):
+            shutil.move(folder, f"{folder}.lost".replace("/bars/", "/bars-"))
+        raise OSError("driver lost")
+
+    monkeypatch.setattr(MarketTables, "overwrite_bars", lose_the_period)
+    frame = landed(payload("AAA", item("2026-08-25")))
+    with pytest.raises(OSError):
+        run(tables, frame, "one")
+    monkeypatch.setattr(MarketTables, "overwrite_bars", real)
+    assert tables.bars().count() == 0
+    assert counts(run(tables, frame, "one", T1))["AAA"][0] == "succeeded"
+    assert tables.bars().count() == 7
+
+
+def test_a_job_that_fails_while_parsing_is_logged_and_may_run_again(tables, landed):
+    frame = landed(payload("AAA", *august(2)))
+    feed = read_history(frame, "feed")
+    broken = Feed(feed.parsed.withColumn("open", F.raise_error(F.lit("no such disk")).cast("decimal(18,2)")))
+    with pytest.raises(Exception, match="no such disk"):
+        ingest(tables, broken, provider="feed", job_id="one", at=T0, clock=lambda: T1)
+    last = latest_run(tables.runs()).first()
+    assert last.status == "failed" and last.finished_at > T0.replace(tzinfo=None)
+    assert counts(run(tables, frame, "one", T1)) == {"AAA": ("succeeded", 2, 2, 0)}
+
+
+def test_finish_is_taken_from_the_clock(tables, landed):
+    runs = run(tables, landed(payload("AAA", *august(2))), "one", clock=lambda: T1)
+    row = runs.first()
+    assert row.finished_at > row.started_at
+
+
+def test_damaged_payloads_are_kept_when_tickers_are_asked_for(tables, landed, spark):
+    frame = landed(payload("AAA", *august(2)), "{broken", payload("B-B", item("2026-08-01")), payload("CCC", *august(1)))
+    wanted = spark.createDataFrame([("aaa",), ("ddd",)], "ticker string")
+    got = counts(run(tables, frame, "one", tickers=wanted))
+    assert got["AAA"] == ("succeeded", 2, 2, 0) and got["DDD"][0] == "failed" and "CCC" not in got
+    assert got["?"][0] == "failed"
+    assert {r.reasons[0] for r in quarantine(tables, "one").collect()} == {"malformed_json", "bad_ticker"}
+
+
+def test_a_blank_company_name_is_not_stored(tables, landed):
+    frame = landed(payload("AAA", *august(2), name="  "))
+    assert counts(run(tables, frame, "one"))["AAA"][0] in ("failed", "succeeded")
+    assert tables.stocks().count() == 0 and tables.bars().count() == 0
+    assert {tuple(r.reasons) for r in quarantine(tables, "one").collect()} == {("blank_company_name",)}
+
+
+def test_an_explicit_limit_is_honoured(tables, landed):
+    frame = landed(payload("AAA", *august(30)))
+    assert counts(run(tables, frame, "one", limit=29))["AAA"][1] == 29
+
+
 def test_bad_rows_go_to_quarantine(tables, landed):
     frame = landed(
         payload("AAA", item("2026-08-03"), item("2026-08-04", volume=-1), item("x"), 7),
@@ -113,7 +177,10 @@ def test_bad_rows_go_to_quarantine(tables, landed):
     }
     errors = {r.ticker: r.error_message for r in tables.runs().where("event_seq = 1").collect()}
     assert (errors["BBB"], errors["?"]) == ("unit_not_shares", "malformed_json")
-    bad = {str(r.trade_date): r.reasons for r in quarantine(tables, "one").collect()}
+    rejected = quarantine(tables, "one").collect()
+    faults = ("unit_not_shares", "malformed_json")
+    assert {r.reasons[0] for r in rejected if r.reasons[0] in faults} == set(faults)
+    bad = {str(r.trade_date): r.reasons for r in rejected if r.reasons[0] not in faults}
     assert bad == {
         "2026-08-04": ["volume_shares_negative"],
         "None": ["trade_date_unreadable", "no_trade_date"],
@@ -254,8 +321,11 @@ def test_seed_and_providers(spark, tables, make_bars, make_stocks, folder):
     stocks = make_stocks(("AAA", "Alpha", "S", "T"))
     seed(tables, bars, stocks, provider="feed", job_id="seed", at=T0)
     seed(tables, bars, stocks, provider="feed", job_id="seed", at=T1)
-    log = tables.runs().collect()
+    log = current_state(tables.runs()).collect()
     assert [(r.status, r.rows_received, r.rows_inserted) for r in log] == [("succeeded", 10, 0)]
+    with pytest.raises(IngestError):
+        seed(tables, bars, stocks, provider="feed", job_id="second", at=T1)
+    assert tables.bars().count() == 10
     source = TableProvider("mirror", bars, stocks)
     other = MarketTables(spark, f"{folder}/other").create()
     runs = ingest(other, source.history(), provider=source.name, job_id="m", at=T0, limit=260)
@@ -267,6 +337,15 @@ def test_seed_and_providers(spark, tables, make_bars, make_stocks, folder):
     assert [r.trade_date for r in source.summary(day).rows.collect()] == [day]
 
 
+def test_seed_checks_its_rows(tables, make_bars, make_stocks):
+    good = bar_row("AAA", "2026-08-03")
+    bars = make_bars(good, good, bar_row("AAA", "2026-08-04", volume_shares=-1))
+    seed(tables, bars, make_stocks(("AAA",)), provider="feed", job_id="seed", at=T0)
+    assert tables.bars().count() == 1
+    assert {tuple(r.reasons) for r in quarantine(tables, "seed").collect()} == {("volume_shares_negative",)}
+    assert latest_run(tables.runs()).first().rows_received == 2
+
+
 def test_landed_provider(spark, folder):
     text = json.dumps(payload("AAA", *august(2)))
     spark.createDataFrame([(text,)], "value string").write.text(f"{folder}/in")
@@ -302,7 +381,7 @@ def test_stream_takes_late_and_restated_bars(spark, folder):
         one_per_line=True,
     ).awaitTermination()
     assert tables.bars().count() == 4
-    closed = tables.runs().where("event_seq = 1").orderBy("started_at").collect()
+    closed = tables.runs().where("event_seq = 1 and ticker is not null").orderBy("started_at").collect()
     assert [(r.rows_inserted, r.rows_updated) for r in closed] == [(2, 0), (1, 1), (1, 4)]
 
 

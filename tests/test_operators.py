@@ -146,8 +146,10 @@ def test_newest_rows_and_pull_window(make_bars):
 
     assert days(latest.newest_rows(bars, 3)) == [8, 9, 10]
     assert days(pull_window(bars, "2026-08-03", "2026-08-06", limit=2)) == [5, 6]
-    assert days(pull_window(bars, limit=5, at_most=4)) == [7, 8, 9, 10]
-    assert days(pull_window(bars, limit=None)) == list(range(1, 11))
+    assert days(pull_window(bars, limit=4)) == [7, 8, 9, 10]
+    assert days(pull_window(bars)) == list(range(1, 11))
+    with pytest.raises(ValueError):
+        pull_window(bars, limit=0)
 
 
 def test_latest_on_or_before(make_bars):
@@ -173,7 +175,9 @@ def test_run_log(spark):
     state = {r.ticker: r for r in runlog.current_state(events).collect()}
     assert (state["AAA"].status, state["AAA"].rows_inserted) == ("succeeded", 3)
     assert (state["BBB"].status, state["BBB"].rows_received) == ("failed", 0)
-    assert len(state["BBB"].error_message) == 1000 and state["AAA"].error_message is None
+    assert len(state["BBB"].error_message) == 1500 and state["AAA"].error_message is None
+    shown = runlog.current_state(events).select(runlog.shown_error(F.col("error_message")).alias("e"))
+    assert {len(r.e) for r in shown.collect() if r.e} == {1000}
     assert assess(events, quality.RUN_RULES).where(F.size("reasons") > 0).count() == 0
     newest = runlog.latest_run(events).first()
     assert (newest.provider, newest.status) == ("feed", "failed")

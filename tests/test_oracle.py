@@ -36,4 +36,5 @@ def test_entry(spark):
     import __spark_entry__ as contract
 
     assert contract.entry(spark).count() > 0
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert set(REGISTRY) <= contract.queries().keys()
+    assert set(ORACLE) <= contract.oracle_sql().keys() <= contract.queries().keys()

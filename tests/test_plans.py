@@ -228,3 +228,39 @@ def test_universe_window_adds_no_shuffle(spark):
     base = plan_of(REGISTRY["candles"](spark, SMALL)).count("Exchange hashpartitioning")
     rows = plan_of(REGISTRY["result_window_3m"](spark, SMALL))
     assert rows.count("Exchange hashpartitioning") <= base + 1
+
+
+def test_symbol_history_pushes_the_ticker_and_takes_the_newest(spark, folder, make_bars, make_stocks):
+    from barloom.plans.history import symbol_history
+    from barloom.plans.ingest import seed
+    from barloom.sources.tables import MarketTables
+
+    tables = MarketTables(spark, folder, grain="month").create()
+    bars = make_bars(*[bar_row(t, f"2026-08-{d:02}") for t in ("AAA", "BBB") for d in range(1, 21)])
+    at = dt.datetime(2026, 8, 21, tzinfo=dt.UTC)
+    seed(tables, bars, make_stocks(("AAA",), ("BBB",)), provider="feed", job_id="seed", at=at)
+    found = symbol_history(tables.bars(), tables.stocks(), "aaa", timeframe="1M", row_limit=3)
+    assert [r.trade_date.day for r in found.collect()] == [18, 19, 20]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(ticker,AAA)" in plan and "TakeOrderedAndProject" in plan
+    with pytest.raises(LookupError):
+        symbol_history(tables.bars(), tables.stocks(), "ZZZ")
+    with pytest.raises(ValueError):
+        symbol_history(tables.bars(), tables.stocks(), "AAA", row_limit=2001)
+
+
+def test_history_returns_rejected_requests(spark, make_bars, make_stocks):
+    from barloom.plans.history import history
+    from barloom.schema import HISTORY_REQUEST
+
+    day = dt.date(2026, 8, 21)
+    names = HISTORY_REQUEST.fieldNames()
+    row = lambda **x: tuple({"date_from": None, "date_to": None, "row_limit": None, "as_of": day, **x}.get(n) for n in names)
+    requests = spark.createDataFrame(
+        [row(request_id=1, ticker="AAA", timeframe="1M"), row(request_id=2, ticker="AAA", timeframe="5Y"), row(request_id=3, ticker="AAA", timeframe="1M", row_limit=0)],
+        HISTORY_REQUEST,
+    )
+    bars = make_bars(bar_row("AAA", "2026-08-03"))
+    found = history(bars, make_stocks(("AAA",)), requests, provider="feed")
+    assert [r.request_id for r in found.bars.collect()] == [1]
+    assert {(r.request_id, r.reasons[0]) for r in found.rejected.collect()} == {(2, "unknown_timeframe"), (3, "row_limit_out_of_range")}
