@@ -22,6 +22,13 @@ def period_of(day: Column, grain: str) -> Column:
     raise ValueError(f"grain must be one of {', '.join(PERIOD_COLUMNS)}")
 
 
+def periods_between(first: Column, last: Column, grain: str) -> Column:
+    """All period numbers from one date to another."""
+    step = {"year": "interval 1 year", "month": "interval 1 month", "day": "interval 1 day"}[grain]
+    start = F.trunc(first, grain) if grain != "day" else first
+    return F.transform(F.sequence(start, last, F.expr(step)), lambda day: period_of(day, grain))
+
+
 def grain_of(rows: DataFrame) -> str | None:
     """Grain of the partition column, or None for rows that are not from stored bars."""
     return next((g for g, name in PERIOD_COLUMNS.items() if name in rows.columns), None)

@@ -26,7 +26,8 @@ from barloom.functions.prices import lots
 from barloom.operators.joins import bars_for_requests
 from barloom.operators.latest import latest_dates, newest_rows
 from barloom.operators.quality import REQUEST_RULES, assess, check_request, split
-from barloom.operators.ranges import grain_of, in_range
+from barloom.operators.ranges import grain_of, in_range, periods_between
+from barloom.schema import PERIOD_COLUMNS
 
 BAR_FACTS = [
     "trade_date", "open", "high", "low", "close", "previous",
@@ -217,16 +218,24 @@ def universe_rows(
 def _since_latest(rows: DataFrame, days: int) -> DataFrame:
     """Stored bars not older than ``days`` before their symbol's latest date.
 
-    The latest dates are one row per symbol, from a scan of two columns. They
-    bound the partitions to read and then filter the bars by a join, so old
-    bars are neither read in full nor shuffled.
+    The latest dates are one row per symbol, from a scan of two columns. Each
+    symbol needs the periods of its own window only: bars are joined to the
+    (symbol, period) pairs, and partitions that no pair names are not read. A
+    symbol that stopped long ago adds its own last periods, not all since then.
+    Only the distinct periods reach the driver; the calendar bounds them.
     """
+    grain = grain_of(rows)
+    period = PERIOD_COLUMNS[grain]
     latest = latest_dates(rows)
-    oldest = latest.agg(F.date_sub(F.min("latest_trade_date"), days)).scalar()
+    since = F.date_sub("latest_trade_date", days)
+    pairs = latest.select(
+        "ticker", "latest_trade_date", F.explode(periods_between(since, F.col("latest_trade_date"), grain)).alias(period)
+    )
+    needed = sorted(r[0] for r in pairs.select(period).distinct().collect())
     return (
-        in_range(rows, oldest)
-        .join(latest, "ticker")
-        .where(F.col("trade_date") >= F.date_sub("latest_trade_date", days))
+        rows.where(F.col(period).isin(needed))
+        .join(pairs, ["ticker", period])
+        .where(F.col("trade_date") >= since)
         .drop("latest_trade_date")
     )
 

@@ -15,7 +15,9 @@ from barloom.functions.calendar import (
     last_weekday,
 )
 from barloom.operators.latest import latest_date, latest_dates, latest_on_or_before
+from barloom.operators.ranges import grain_of, in_range
 from barloom.operators.runlog import latest_run
+from barloom.plans.watchlist import newest_of_stored
 from barloom.schema import FACTS, STOCK_COLUMNS
 
 
@@ -61,9 +63,14 @@ def freshness_by_ticker(
     bars: DataFrame, stocks: DataFrame, *, as_of: dt.date | str, is_mock: bool = False
 ) -> DataFrame:
     """Freshness of each stock; a stock without bars is stale."""
+    if grain_of(bars):
+        latest = newest_of_stored(bars, stocks, 1)
+        latest = latest.select("ticker", F.col("trade_date").alias("latest_trade_date"))
+    else:
+        latest = latest_dates(bars)
     return (
         stocks.select("ticker")
-        .join(latest_dates(bars), "ticker", "left")
+        .join(latest, "ticker", "left")
         .select(
             "ticker",
             "latest_trade_date",
@@ -85,5 +92,9 @@ def stock_detail(stocks: DataFrame, ticker: str) -> DataFrame:
 
 def summary_as_of(bars: DataFrame, stocks: DataFrame, day: dt.date | str) -> DataFrame:
     """The newest bar on or before ``day`` of every stock that has one."""
-    newest = latest_on_or_before(bars, as_date(day), ["trade_date", *FACTS])
+    facts = ["trade_date", *FACTS]
+    if grain_of(bars):
+        newest = newest_of_stored(in_range(bars, date_to=day), stocks, 1).select("ticker", *facts)
+    else:
+        newest = latest_on_or_before(bars, as_date(day), facts)
     return newest.join(stocks.select("ticker", "company_name"), "ticker")

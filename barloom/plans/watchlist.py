@@ -110,12 +110,16 @@ def sparkline_scaled(listed: DataFrame) -> DataFrame:
     )
 
 
-def latest_quotes(bars: DataFrame) -> DataFrame:
-    """The quote header of each symbol, from its last bar."""
+def latest_quotes(bars: DataFrame, stocks: DataFrame | None = None) -> DataFrame:
+    """The quote header of each symbol, from its last bar. With ``stocks``, stored bars are read newest first."""
     quote = ["trade_date", "close", "previous", "high", "low", "volume_shares", "frequency"]
     close, previous = F.col("close"), F.col("previous")
     moved = change(close, previous)
-    return latest_row(bars, quote).select(
+    if stocks is not None and grain_of(bars):
+        last = newest_of_stored(bars, stocks, 1)
+    else:
+        last = latest_row(bars, quote)
+    return last.select(
         "ticker",
         *quote,
         moved.alias("change"),

@@ -264,3 +264,25 @@ def test_history_returns_rejected_requests(spark, make_bars, make_stocks):
     found = history(bars, make_stocks(("AAA",)), requests, provider="feed")
     assert [r.request_id for r in found.bars.collect()] == [1]
     assert {(r.request_id, r.reasons[0]) for r in found.rejected.collect()} == {(2, "unknown_timeframe"), (3, "row_limit_out_of_range")}
+
+
+def test_a_symbol_that_stopped_does_not_widen_the_others(spark, folder, make_bars, make_stocks):
+    from barloom.plans.ingest import seed
+    from barloom.sources.tables import MarketTables
+
+    tables = MarketTables(spark, folder, grain="month").create()
+    days = [f"{y}-{m:02}-10" for y in range(2015, 2027) for m in range(1, 9)]
+    bars = make_bars(*[bar_row("AAA", d) for d in days], bar_row("OLD", "2015-03-10"), bar_row("OLD", "2015-03-12"))
+    stocks = make_stocks(("AAA",), ("OLD",))
+    seed(tables, bars, stocks, provider="feed", job_id="seed", at=dt.datetime(2026, 8, 21, tzinfo=dt.UTC))
+    rows = hist.universe_rows(tables.bars(), "1M")
+    got = sorted((r.ticker, str(r.trade_date)) for r in rows.collect())
+    assert got == [("AAA", "2026-07-10"), ("AAA", "2026-08-10"), ("OLD", "2015-03-10"), ("OLD", "2015-03-12")]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "IN (201502,201503,202607,202608)" in plan.replace(" IN ", " IN ")
+    quotes = {r.ticker: str(r.trade_date) for r in watchlist.latest_quotes(tables.bars(), tables.stocks()).collect()}
+    assert quotes == {"AAA": "2026-08-10", "OLD": "2015-03-12"}
+    early = {r.ticker: str(r.trade_date) for r in status.summary_as_of(tables.bars(), tables.stocks(), dt.date(2015, 3, 11)).collect()}
+    assert early == {"AAA": "2015-03-10", "OLD": "2015-03-10"}
+    fresh = status.freshness_by_ticker(tables.bars(), tables.stocks(), as_of=dt.date(2026, 8, 10))
+    assert {r.ticker: r.is_stale for r in fresh.collect()} == {"AAA": False, "OLD": True}
