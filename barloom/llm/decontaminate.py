@@ -28,6 +28,8 @@ from barloom.llm.common import LOWER_BYTES, map_batches, text_bytes
 WINDOW = 10
 #: Pattern bytes of one automaton, which takes about 60 times that in memory.
 BLOCK_BYTES = 4_000_000
+#: Bytes of texts whose words are held at a time.
+HELD_BYTES = 2_000_000
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A-Z lowered; whatever is no letter, digit or part of a longer UTF-8 sequence becomes a space.
 NORMAL = bytes(
@@ -150,8 +152,7 @@ def _scanner(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: in
         for b in range(count)
     ]
 
-    def apply(texts: pa.Array) -> list[Scan]:
-        scans = [Scan(text_bytes(t.as_py())) for t in texts]
+    def scanned(scans: list[Scan]) -> list[Scan]:
         for name, part in shared:
             if part.value:
                 automaton = _automaton(name, part.value)
@@ -160,6 +161,16 @@ def _scanner(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: in
                         s.apply(automaton)
         return scans
 
+    def apply(texts: pa.Array) -> Iterator[Scan]:
+        held, size = [], 0
+        for t in texts:
+            held.append(Scan(text_bytes(t.as_py())))
+            size += len(held[-1].text)
+            if size >= HELD_BYTES:
+                yield from scanned(held)
+                held, size = [], 0
+        yield from scanned(held)
+
     return apply
 
 
