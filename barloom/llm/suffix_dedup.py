@@ -49,9 +49,9 @@ BATCH = 2_000_000
 #: Different segments of a key from which on its windows are dealt out one by one.
 HOT = 20_000
 #: Places that a map task holds before it hands on the first ones.
-HELD = 1_000_000
+HELD = 500_000
 #: Segments that are looked up together.
-LOOKED_UP = 200_000
+LOOKED_UP = 100_000
 
 FIRST = np.dtype([("doc", "<i8"), ("start", "<i8"), ("kind", "<i8")])
 SPAN = np.dtype([("start", "<i8"), ("end", "<i8")])
