@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Requests for one symbol that share a copy of its bars in the join.
-REQUESTS_PER_SLICE = 4096
+# Shares into which the requests of a symbol are dealt by their ids.
+SALTS = 16
+
+
+def salted(requests: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Requests with their ``slice``: (ticker, slice) spreads a symbol that most requests name."""
+    return requests.withColumn("slice", F.pmod(F.xxhash64("request_id"), F.lit(salts)).cast("int"))
 
 
 def bars_of_stocks(bars: DataFrame, stocks: DataFrame) -> DataFrame:
@@ -24,36 +29,23 @@ def bars_listed(bars: DataFrame, stocks: DataFrame) -> DataFrame:
 
 
 def bars_for_requests(
-    requests: DataFrame, bars: DataFrame, per_slice: int = REQUESTS_PER_SLICE
+    requests: DataFrame, bars: DataFrame, salts: int = SALTS
 ) -> DataFrame:
     """All bars of each request: equal ticker, date inside ``[start, date_to]``.
 
     Bars per symbol are bounded by the calendar, but any share of the requests
-    may name one symbol. The requests of such a symbol are cut into slices of
-    ``per_slice`` and its bars are copied once per slice, so the work of a hot
-    symbol spreads over as many tasks as it needs. A symbol with few requests
-    has one slice and no copies; symbols nobody asks for leave the plan early.
+    may name one symbol. Requests are dealt into ``salts`` slices by their ids, and
+    a symbol's bars are copied to the slices that ask for it, so a hot symbol
+    spreads over as many tasks. A symbol with few requests has few copies; symbols
+    nobody asks for leave the plan early. Requests are never shuffled by ticker alone.
 
     The join gives many times the rows it takes. The number of partitions is
     fixed, because the adaptive planner would merge them by their small input.
     """
     partitions = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = requests.groupBy("ticker").agg(
-        F.ceil(F.count("*") / per_slice).cast("int").alias("slices")
-    )
-    asked = (
-        requests.join(slices, "ticker")
-        .withColumn("slice", F.pmod(F.xxhash64("request_id"), F.col("slices")).cast("int"))
-        .drop("slices")
-        .repartition(partitions, "ticker", "slice")
-        .alias("request")
-    )
-    offered = (
-        bars.join(slices, "ticker")
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        .drop("slices")
-        .alias("bar")
-    )
+    dealt = salted(requests, salts)
+    asked = dealt.repartition(partitions, "ticker", "slice").alias("request")
+    offered = bars.join(dealt.select("ticker", "slice").distinct(), "ticker").alias("bar")
     same = (F.col("request.ticker") == F.col("bar.ticker")) & (
         F.col("request.slice") == F.col("bar.slice")
     )

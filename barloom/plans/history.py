@@ -23,7 +23,7 @@ from barloom.functions.calendar import (
 )
 from barloom.functions.frequency import frequency_raw
 from barloom.functions.prices import lots
-from barloom.operators.joins import bars_for_requests
+from barloom.operators.joins import bars_for_requests, salted
 from barloom.operators.latest import latest_dates, newest_rows
 from barloom.operators.quality import REQUEST_RULES, assess, check_request, split
 from barloom.operators.ranges import grain_of, in_range, periods_between
@@ -69,9 +69,13 @@ def resolve(requests: DataFrame, bars: DataFrame, stocks: DataFrame) -> DataFram
     ).select("ticker").distinct()
     latest = latest_dates(bars.join(open_ended, "ticker", "left_semi"))
     anchor = F.coalesce("date_to", "latest_trade_date", "as_of")
+    # What is known of a symbol goes to its slices, so requests aren't shuffled by ticker alone.
+    dealt = salted(asked)
+    facts = (
+        dealt.select("ticker", "slice").distinct().join(known, "ticker", "left").join(latest, "ticker", "left")
+    )
     return (
-        asked.join(known, "ticker", "left")
-        .join(latest, "ticker", "left")
+        dealt.join(facts, ["ticker", "slice"])
         .select(
             *requests.columns,
             "company_name",

@@ -106,8 +106,8 @@ def test_hot_symbol_is_sliced_without_loss(spark, market):
         F.lit(LAST - 9 * DAY).alias("start"),
         F.lit(None).cast("date").alias("date_to"),
     )
-    plain = bars_for_requests(asked, bars, per_slice=10_000)
-    sliced = bars_for_requests(asked, bars, per_slice=7)
+    plain = bars_for_requests(asked, bars, salts=1)
+    sliced = bars_for_requests(asked, bars, salts=8)
     assert plain.count() == 60 * 10 + 30 * 1
     assert plain.exceptAll(sliced).count() == 0 and sliced.exceptAll(plain).count() == 0
 
