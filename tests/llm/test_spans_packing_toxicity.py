@@ -123,3 +123,25 @@ def test_near_duplicates_leave_one_of_each(spark, long_list):
     kept = near_dedup.one_of_each(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [*range(8), 200, 202] and kept.columns == docs.columns
     assert near_dedup.one_of_each(docs.where("false")).count() == 0
+
+
+def test_near_duplicates_are_those_of_jaccard_08(spark):
+    """Against brute force: 4 of 5 and 9 of 10 shingles are near, 5 of 7 aren't, also in texts of a few words."""
+    rng = np.random.default_rng(7)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    texts = []
+    for n, more in [(8, 1)] * 40 + [(9, 2)] * 40 + [(5, 1), (13, 1), (40, 9), (40, 8), (68, 16), (68, 17), (200, 49), (200, 50), (200, 60)] * 8:
+        own = [word() for _ in range(n)]
+        texts += [own, own + [word() for _ in range(more)]]
+    line = [word() for _ in range(12)]
+    texts += [[word() for _ in range(20)] + line for _ in range(60)] + [[word() for _ in range(6)] * 40 for _ in range(3)]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    keeper = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(keeper[a], keeper[b]), min(keeper[a], keeper[b])
+                keeper = [new if k == old else k for k in keeper]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for long_list in (5, near_dedup.LONG_LIST):
+        assert {r.id: r.keeper for r in near_dedup.groups(docs, long_list=long_list).collect()} == dict(enumerate(keeper))
