@@ -18,7 +18,9 @@ Between the steps lie sorted arrays in the shared folder, which workers map. No
 text is shuffled but that of the segments of step 3.
 
 A key with very many different segments (`HOT` or more) isn't put into one batch:
-its windows are compared one by one, as strings of their own, dealt out by a hash.
+its windows are compared one by one, as strings of their own: equal ones by 128 bits of
+hash. Their first places are reduced in the map tasks and looked up by every place, so
+a window that very many texts hold gathers nowhere.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import bwt
 from barloom.llm.arrays import Files, by_shard, mapped, new_files, write
-from barloom.llm.common import map_batches, text_bytes
+from barloom.llm.common import map_batches, staged, text_bytes
 
 WINDOW, PIECE = 100, 50
 #: Windows of a segment at most: as many as can share one piece. Longer runs, as in periodic text, are cut.
@@ -54,6 +56,8 @@ HELD = 500_000
 LOOKED_UP = 100_000
 
 FIRST = np.dtype([("doc", "<i8"), ("start", "<i8"), ("kind", "<i8")])
+#: First place of a window with the second half of its hash.
+PLACE = np.dtype([("check", "<i8"), ("doc", "<i8"), ("start", "<i8")])
 SPAN = np.dtype([("start", "<i8"), ("end", "<i8")])
 #: What is to be done with a segment beyond its copies: nothing, a batch, or window by window.
 ALONE, SHARED, CROWDED = 0, 1, 2
@@ -295,34 +299,36 @@ def _write_firsts(files: Files, hot: int):
 
 
 def _strings(files: Files):
-    """The segments that have company, at their first places; those of crowded keys as single windows."""
+    """The segments that have company, at their first places; those of crowded keys as hashes of single windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for seg in _repeated(files, batch, inner=True, first=True):
                 doc, text, first = seg.doc, seg.text, seg.first
                 own = (seg.twice | (first["kind"] != ALONE)) & (first["doc"] == doc) & (first["start"] == seg.starts)
                 for i in np.flatnonzero(own).tolist():
                     s, n = int(seg.starts[i]), int(seg.counts[i])
                     if first["kind"][i] != CROWDED:
-                        rows = [(int(seg.keys[i]), s, text[s : s + n + WINDOW - 1])]
+                        rows = [(int(seg.keys[i]), s, text[s : s + n + WINDOW - 1], 0)]
                     else:
-                        windows = ((s + w, text[s + w : s + w + WINDOW]) for w in range(n))
-                        rows = [(xxhash.xxh3_64_intdigest(x, 1), at, x) for at, x in windows]
-                    for h, at, x in rows:
+                        windows = ((at, xxhash.xxh3_128_intdigest(text[at : at + WINDOW], 1)) for at in range(s, s + n))
+                        rows = [(x >> 64, at, None, x & (1 << 64) - 1) for at, x in windows]
+                    for h, at, x, check in rows:
                         out[0].append(h)
                         out[1].append(doc)
                         out[2].append(at)
                         out[3].append(x)
+                        out[4].append(check)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.array(out[0], np.uint64).view(np.int64)),
                     pa.array(out[1], pa.int64()),
                     pa.array(out[2], pa.int64()),
                     pa.array(out[3], pa.binary()),
+                    pa.array(np.array(out[4], np.uint64).view(np.int64)),
                 ],
-                names=["hash", "doc", "start", "bytes"],
+                names=["hash", "doc", "start", "bytes", "check"],
             )
 
     return run
@@ -374,6 +380,37 @@ def _construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _write_windows(files: Files):
+    """Rows come by hash: the first places of windows that occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            data = np.rec.fromarrays([batch.column(i).to_numpy() for i in (1, 2, 3)], PLACE)
+            for shard, a, b in files.runs(hashes):
+                held.setdefault(shard, []).append((hashes[a:b], data[a:b]))
+        for shard, parts in held.items():
+            write(files.path("window-hash", shard), [h for h, _ in parts])
+            write(files.path("window-data", shard), [d for _, d in parts])
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)])], names=["n"])
+
+    return run
+
+
+def _later_windows(files: Files):
+    """Stretches of the windows that have an earlier place. Rows are looked up where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, check, docs, starts = (batch.column(i).to_numpy() for i in range(4))
+            there, first = mapped(files, "window", PLACE).find_any(hashes.view(np.uint64))
+            later = there & (first["check"] == check) & ((first["doc"] != docs) | (first["start"] != starts))
+            yield _spans(docs[later], starts[later])
+
+    return run
+
+
 # Steps 4 and 5: what goes of each document.
 
 
@@ -469,9 +506,18 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     finish(by_shard(map_batches(source, _count_keys, "hash long, n tinyint"), bits), _write_repeated(files))
     places = map_batches(source, _first_places(files), "hash long, id long, doc long, start long")
+    first = F.min(F.struct("doc", "start")).alias("first")
+    places = places.groupBy("hash", "id").agg(first).select("hash", "id", "first.doc", "first.start")
     finish(by_shard(places, bits, "id", "doc", "start"), _write_firsts(files, hot))
-    strings = map_batches(source, _strings(files), "hash long, doc long, start long, bytes binary")
-    spans = map_batches(by_shard(strings, bits, "doc", "start"), _construct, "doc long, start long, end long")
+    strings = staged(map_batches(source, _strings(files), "hash long, doc long, start long, bytes binary, check long"), "strings")
+    segment_strings = strings.where("bytes is not null").drop("check")
+    windows = strings.where("bytes is null").select("hash", "check", "doc", "start")
+    repeated = windows.groupBy("hash", "check").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
+    finish(by_shard(repeated.select("hash", "check", "first.doc", "first.start"), bits), _write_windows(files))
+    span = "doc long, start long, end long"
+    spans = map_batches(by_shard(segment_strings, bits, "doc", "start"), _construct, span).unionByName(
+        map_batches(windows, _later_windows(files), span)
+    )
     finish(by_shard(map_batches(spans, _with_hash, "hash long, doc long, start long, end long"), bits), _write_spans(files))
     result = f"id {kind}, n_bytes long, removed array<struct<start: long, end: long>>, kept_sha256 string" + ", kept binary" * keep_bytes
     return map_batches(source, _results(files, keep_bytes), result).withColumnRenamed("id", doc_id)

@@ -74,3 +74,22 @@ def test_segments_do_not_depend_on_the_chunk(monkeypatch):
     keys, starts, counts = suffix_dedup.segments(text)
     assert counts.sum() == len(text) - 99
     assert np.array_equal(np.repeat(keys, counts), whole)
+
+
+def test_a_window_in_many_surroundings_gathers_nowhere(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, n))
+    core = word(101)
+    rows = [(i, word(40) + core + word(40)) for i in range(300)]
+    gathered, real = [], suffix_dedup.by_shard
+
+    def spy(frame, *rest):
+        if "bytes" in frame.columns:
+            gathered.append(frame.groupBy("hash").count().agg({"count": "max"}).first()[0] or 0)
+        return real(frame, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "by_shard", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    result = suffix_dedup.digest(suffix_dedup.remove_repeats(docs, hot=20))
+    assert key(tuple(r) for r in result.collect()) == key(plain(rows))
+    assert len(gathered) == 1 and gathered[0] < 20
