@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, hilbert, kneser_ney, packing, pii, simhash, spans, suffix_dedup, topk, toxicity
+from barloom.llm import decontaminate, hilbert, kneser_ney, packing, pii, simhash, spans, suffix_dedup, topk, toxicity, whitening
 from barloom.llm.common import table
 
 #: Dimensions of the curve over `documents`.
@@ -98,6 +98,10 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_exact_topk": op2_exact_topk,
@@ -109,4 +113,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
