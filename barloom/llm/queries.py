@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, hilbert, kneser_ney, packing, pii, simhash, spans, suffix_dedup, topk, toxicity, variants, whitening
+from barloom.llm import decontaminate, hilbert, kneser_ney, packing, pii, secret_scan, simhash, spans, suffix_dedup, topk, toxicity, variants, whitening
 from barloom.llm.common import table
 
 #: Dimensions of the curve over `documents`.
@@ -106,6 +106,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_exact_topk": op2_exact_topk,
@@ -119,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hilbert_shards": op10_hilbert_shards,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_secret_scan": op13_secret_scan,
 }
