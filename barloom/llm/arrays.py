@@ -68,7 +68,7 @@ def shard(hash_: Column, bits: int) -> Column:
 
 def by_shard(frame: DataFrame, bits: int, *order: str) -> DataFrame:
     """Every shard whole in one task, sorted by hash; within a shard signed order is unsigned order."""
-    return frame.repartition(1 << bits, shard(F.col("hash"), bits)).sortWithinPartitions("hash", *order)
+    return frame.repartitionById(1 << bits, shard(F.col("hash"), bits)).sortWithinPartitions("hash", *order)
 
 
 class Mapped:

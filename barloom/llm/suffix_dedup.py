@@ -118,7 +118,8 @@ def segments(text: bytes, inner: bool = False) -> tuple[np.ndarray, ...]:
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             left = np.repeat(length, pieces) - nth * LONGEST
             edge, length = np.repeat(edge, pieces) + nth * LONGEST, np.minimum(left, LONGEST)
-        keys.append(least[edge])
+        # The least of many hashes is nearly always small: mixed once more (no two keys merge), its top bits deal evenly.
+        keys.append(_mixed(least[edge] * _BASE))
         starts.append(edge + at)
         counts.append(length)
         if inner:

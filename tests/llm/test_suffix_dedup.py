@@ -73,7 +73,14 @@ def test_segments_do_not_depend_on_the_chunk(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
     keys, starts, counts = suffix_dedup.segments(text)
     assert counts.sum() == len(text) - 99
-    assert np.array_equal(np.repeat(keys, counts), whole)
+    assert np.array_equal(np.repeat(keys, counts), suffix_dedup._mixed(whole * suffix_dedup._BASE))
+
+
+def test_keys_fill_all_shards_evenly():
+    rng = np.random.default_rng(6)
+    keys = suffix_dedup.segments(bytes(rng.integers(97, 123, 400_000, dtype=np.uint8)))[0]
+    shares = np.bincount((keys >> np.uint64(57)).astype(np.int64), minlength=128) / len(keys)
+    assert 0.004 < shares.min() and shares.max() < 0.014
 
 
 def test_a_window_in_many_surroundings_gathers_nowhere(spark, monkeypatch):
