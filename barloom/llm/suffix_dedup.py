@@ -85,49 +85,108 @@ def window_keys(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The key of each window, which is the least of its pieces' hashes, and these, which depend on their bytes only."""
     up, down = _power_tables()
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])])
-    least = pieces = _mixed((sums[PIECE:] - sums[:-PIECE]) * down[: len(part) - PIECE + 1])
-    width, wanted = 1, WINDOW - PIECE + 1
-    while 2 * width <= wanted:
-        least = np.minimum(least[:-width], least[width:])
+    pieces = _mixed((sums[PIECE:] - sums[:-PIECE]) * down[: len(part) - PIECE + 1])
+    return _sliding(np.minimum, pieces), pieces
+
+
+def _sliding(best, x: np.ndarray) -> np.ndarray:
+    """best() of every LONGEST neighbours: the pieces of a window, or the windows around a piece."""
+    width = 1
+    while 2 * width <= LONGEST:
+        x = best(x[:-width], x[width:])
         width *= 2
-    rest = wanted - width
-    return (np.minimum(least[:-rest], least[rest:]) if rest else least), pieces
+    rest = LONGEST - width
+    return best(x[:-rest], x[rest:]) if rest else x
+
+
+def _inner(least: np.ndarray, pieces: np.ndarray, edge: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether a segment's key occurs twice inside it: only then can it repeat a window of its own.
+
+    A piece is the least of some window exactly if it equals the greatest key of the windows around
+    it. There is about one such piece for a segment, so few are compared with the key.
+    """
+    none = np.zeros(LONGEST - 1, np.uint64)
+    chosen = _sliding(np.maximum, np.concatenate([none, least, none])) == pieces
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(chosen)])
+    a, n = before[edge], before[edge + length + LONGEST - 1] - before[edge]
+    first = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat(a - first, n)
+    values = pieces[chosen]
+    return np.add.reduceat((values[at] == np.repeat(least[edge], n)).astype(np.int64), first) > 1 if len(edge) else np.zeros(0, bool)
+
+
+def _cut(least: np.ndarray, pieces: np.ndarray, edge: np.ndarray, length: np.ndarray, inner: bool) -> tuple[np.ndarray, ...]:
+    """(key, first window, windows) of runs of one least hash, those longer than LONGEST cut; if asked, also _inner."""
+    parts = -(-length // LONGEST)
+    if (parts > 1).any():
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        left = np.repeat(length, parts) - nth * LONGEST
+        edge, length = np.repeat(edge, parts) + nth * LONGEST, np.minimum(left, LONGEST)
+    # The least of many hashes is nearly always small: mixed once more (no two keys merge), its top bits deal evenly.
+    found = (_mixed(least[edge] * _BASE), edge, length)
+    return (*found, _inner(least, pieces, edge, length)) if inner else found
 
 
-def _inner(pieces: np.ndarray, keys: np.ndarray, edge: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Whether a segment's key occurs twice inside it: only then can it repeat a window of its own."""
-    wide = length + WINDOW - PIECE
-    first = np.cumsum(wide) - wide
-    at = np.arange(wide.sum()) + np.repeat(edge - first, wide)
-    return np.add.reduceat((pieces[at] == np.repeat(keys, wide)).astype(np.int64), first) > 1
+def _none(inner: bool) -> tuple[np.ndarray, ...]:
+    none = np.zeros(0, np.int64)
+    return (none.astype(np.uint64), none, none, none.astype(bool))[: 3 + inner]
 
 
 def segments(text: bytes, inner: bool = False) -> tuple[np.ndarray, ...]:
     """(key, first window, windows) of the segments of a text; every window lies in one of them. If asked, also _inner."""
-    keys, starts, counts, twice = [], [], [], []
+    out = []
     data = np.frombuffer(text, np.uint8)
     for at in range(0, max(0, len(data) - WINDOW + 1), CHUNK):
         part = data[at : at + CHUNK + WINDOW - 1]
         if len(part) < WINDOW:
             break
-        least, piece_hashes = window_keys(part)
+        least, pieces = window_keys(part)
         edge = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        length = np.diff(np.r_[edge, len(least)])
-        pieces = -(-length // LONGEST)
-        if (pieces > 1).any():
-            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            left = np.repeat(length, pieces) - nth * LONGEST
-            edge, length = np.repeat(edge, pieces) + nth * LONGEST, np.minimum(left, LONGEST)
-        # The least of many hashes is nearly always small: mixed once more (no two keys merge), its top bits deal evenly.
-        keys.append(_mixed(least[edge] * _BASE))
-        starts.append(edge + at)
-        counts.append(length)
-        if inner:
-            twice.append(_inner(piece_hashes, least[edge], edge, length))
-    if not keys:
-        none = np.zeros(0, np.int64)
-        return (none.astype(np.uint64), none, none, none.astype(bool))[: 3 + inner]
-    return tuple(np.concatenate(x) for x in (keys, starts, counts, twice)[: 3 + inner])
+        keys, starts, *rest = _cut(least, pieces, edge, np.diff(np.r_[edge, len(least)]), inner)
+        out.append((keys, starts + at, *rest))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else _none(inner)
+
+
+def segments_of(texts: list[bytes], inner: bool = False) -> list[tuple[np.ndarray, ...]]:
+    """segments() of each text. Short texts are hashed as one string, which costs far fewer steps; their windows don't mix."""
+    out: list[tuple[np.ndarray, ...] | None] = [None if len(t) >= WINDOW else _none(inner) for t in texts]
+    held: list[int] = []
+    size = 0
+    for i, text in enumerate(texts):
+        if out[i] is not None:
+            continue
+        if len(text) > CHUNK // 4:
+            out[i] = segments(text, inner)
+            continue
+        if size + len(text) > CHUNK:
+            _together(texts, held, inner, out)
+            held, size = [], 0
+        held.append(i)
+        size += len(text)
+    _together(texts, held, inner, out)
+    return out
+
+
+def _together(texts: list[bytes], numbers: list[int], inner: bool, out: list) -> None:
+    if not numbers:
+        return
+    lengths = np.array([len(texts[i]) for i in numbers])
+    begin = np.cumsum(lengths) - lengths
+    least, pieces = window_keys(np.frombuffer(b"".join(texts[i] for i in numbers), np.uint8))
+    # An edge also lies at each text's first window, and behind its last one, where no segment begins.
+    change = np.r_[True, least[1:] != least[:-1], True]
+    behind = begin + lengths - WINDOW + 1
+    change[begin] = change[behind] = True
+    edge = np.flatnonzero(change)
+    length = np.diff(edge)
+    text = np.searchsorted(begin, edge[:-1], "right") - 1
+    real = edge[:-1] < behind[text]
+    keys, starts, *rest = _cut(least, pieces, edge[:-1][real], length[real], inner)
+    text = np.searchsorted(begin, starts, "right") - 1
+    cuts = np.searchsorted(text, np.arange(1, len(numbers)))
+    columns = [np.split(x, cuts) for x in (keys, starts - begin[text], *rest)]
+    for i, *own in zip(numbers, *columns, strict=True):
+        out[i] = tuple(own)
 
 
 def segment_ids(text: bytes, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -150,16 +209,30 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
+def _groups(column: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of a batch, about LOOKED_UP segments at a time."""
+    held, size = [], 0
+    for value in column:
+        text = text_bytes(value.as_py())
+        held.append(text)
+        size += len(text)
+        if size >= LOOKED_UP * LONGEST // 2:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 # Step 1: keys that occur more than once.
 
 
 def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for batch in batches:
-        for text in batch.column(1):
-            keys, _, _, twice = segments(text_bytes(text.as_py()), inner=True)
-            held += [keys, keys[twice]]
-            size += len(keys)
+        for texts in _groups(batch.column(1)):
+            for keys, _, _, twice in segments_of(texts, inner=True):
+                held += [keys, keys[twice]]
+                size += len(keys)
             if size >= HELD:
                 yield _key_counts(held)
                 held, size = [], 0
@@ -219,15 +292,9 @@ class Segments:
 
 def _repeated(files: Files, batch: pa.RecordBatch, inner: bool = False, first: bool = False) -> Iterator[Segments]:
     """The repeated segments of every text of a batch. Lookups are made for many texts together."""
-    docs, texts = _ids_of(batch).tolist(), batch.column(1)
-    at = 0
-    while at < len(docs):
-        held, size = [], 0
-        while at < len(docs) and size < LOOKED_UP:
-            text = text_bytes(texts[at].as_py())
-            held.append((docs[at], text, segments(text, inner=True) if inner else (*segments(text), None)))
-            size += len(held[-1][2][0])
-            at += 1
+    docs = iter(_ids_of(batch).tolist())
+    for texts in _groups(batch.column(1)):
+        held = [(next(docs), t, own if inner else (*own, None)) for t, own in zip(texts, segments_of(texts, inner), strict=True)]
         keys = np.concatenate([x[2][0] for x in held])
         there, _ = mapped(files, "repeated", np.dtype("u1")).find_any(keys)
         chosen = []

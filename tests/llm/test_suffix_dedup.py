@@ -76,6 +76,23 @@ def test_segments_do_not_depend_on_the_chunk(monkeypatch):
     assert np.array_equal(np.repeat(keys, counts), suffix_dedup._mixed(whole * suffix_dedup._BASE))
 
 
+def test_segments_of_many_texts_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 97 + a, n, dtype=np.uint8)) for a in (1, 2, 26) for n in (0, 99, 100, 101, 160, 151, 400, 900, 5000)]
+    texts = [texts[i] for i in rng.permutation(len(texts))] + [b"ab" * 200, b"x" * 700] * 3
+    for chunk in (1000, 1 << 18):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        for inner in (False, True):
+            for one, own in zip(texts, suffix_dedup.segments_of(texts, inner), strict=True):
+                assert all(np.array_equal(a, b) for a, b in zip(own, suffix_dedup.segments(one, inner), strict=True))
+        for text in texts:  # a key that occurs twice inside its segment
+            if len(text) >= 100:
+                least, pieces = suffix_dedup.window_keys(np.frombuffer(text, np.uint8))
+                keys, starts, counts, twice = suffix_dedup.segments(text, inner=True)
+                again = [(pieces[s : s + n + 50] == least[s]).sum() > 1 for s, n in zip(starts, counts, strict=True)]
+                assert twice.tolist() == again
+
+
 def test_keys_fill_all_shards_evenly():
     rng = np.random.default_rng(6)
     keys = suffix_dedup.segments(bytes(rng.integers(97, 123, 400_000, dtype=np.uint8)))[0]
