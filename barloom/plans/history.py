@@ -28,6 +28,7 @@ from barloom.operators.latest import latest_dates, newest_rows
 from barloom.operators.quality import REQUEST_RULES, assess, check_request, split
 from barloom.operators.ranges import grain_of, in_range, periods_between
 from barloom.schema import PERIOD_COLUMNS
+from barloom.session import working_folder
 
 BAR_FACTS = [
     "trade_date", "open", "high", "low", "close", "previous",
@@ -149,6 +150,10 @@ def history(
     """
     valid, rejected = split(assess(requests, REQUEST_RULES))
     resolved = resolve(valid, bars, stocks)
+    if prune:  # its bounds and its rows are asked for one after the other
+        path = working_folder(bars.sparkSession, "requests")
+        resolved.write.parquet(path)
+        resolved = bars.sparkSession.read.schema(resolved.schema).parquet(path)
     rows = request_rows(resolved, prune_to_requests(bars, resolved) if prune else bars)
     header = _header(
         resolved.where("listed"), rows, "request_id", F.col("as_of"), provider, is_mock
@@ -203,11 +208,12 @@ def universe_rows(
     date_from: dt.date | str | None = None,
     date_to: dt.date | str | None = None,
     row_limit: int | None = None,
+    latest: DataFrame | None = None,
 ) -> DataFrame:
     """Bars of one common window for every symbol.
 
     Constant bounds stay plain filters and reach the scan. Only an open-ended
-    timeframe needs each symbol's latest date.
+    timeframe needs each symbol's latest date, which may be given as `latest`.
     """
     check_request(timeframe, row_limit)
     days = TIMEFRAME_DAYS.get(timeframe)
@@ -215,14 +221,24 @@ def universe_rows(
         date_from = F.date_sub(as_date(date_to), days)
     rows = in_range(bars, date_from, date_to)
     if date_from is None and days is not None:
-        rows = _since_latest(rows, days) if grain_of(rows) else window_of_result(rows, timeframe)
+        rows = _since_latest(rows, days, latest) if grain_of(rows) else window_of_result(rows, timeframe)
     return rows if row_limit is None else newest_rows(rows, row_limit)
 
 
-def _since_latest(rows: DataFrame, days: int) -> DataFrame:
+def staged_latest(bars: DataFrame) -> DataFrame:
+    """The newest date of each symbol, written once where stored bars would be scanned for every use of it."""
+    latest = latest_dates(bars)
+    if not grain_of(bars):
+        return latest
+    path = working_folder(bars.sparkSession, "latest")
+    latest.write.parquet(path)
+    return bars.sparkSession.read.schema(latest.schema).parquet(path)
+
+
+def _since_latest(rows: DataFrame, days: int, latest: DataFrame | None = None) -> DataFrame:
     """Stored bars not older than ``days`` before their symbol's latest date.
 
-    The latest dates are one row per symbol, from a scan of two columns. Each
+    The latest dates are one row per symbol, from one scan of two columns. Each
     symbol needs the periods of its own window only: bars are joined to the
     (symbol, period) pairs, and partitions that no pair names are not read. A
     symbol that stopped long ago adds its own last periods, not all since then.
@@ -230,7 +246,7 @@ def _since_latest(rows: DataFrame, days: int) -> DataFrame:
     """
     grain = grain_of(rows)
     period = PERIOD_COLUMNS[grain]
-    latest = latest_dates(rows)
+    latest = staged_latest(rows) if latest is None else latest
     since = F.date_sub("latest_trade_date", days)
     pairs = latest.select(
         "ticker", "latest_trade_date", F.explode(periods_between(since, F.col("latest_trade_date"), grain)).alias(period)
@@ -240,7 +256,7 @@ def _since_latest(rows: DataFrame, days: int) -> DataFrame:
         rows.where(F.col(period).isin(needed))
         .join(pairs, ["ticker", period])
         .where(F.col("trade_date") >= since)
-        .drop("latest_trade_date")
+        .select(*rows.columns)
     )
 
 
@@ -257,14 +273,15 @@ def universe_history(
     is_mock: bool = False,
 ) -> History:
     """Answer the same request for every symbol of ``stocks``."""
-    rows = universe_rows(bars, timeframe, date_from, date_to, row_limit)
+    open_ended = date_to is None and date_from is None and timeframe != UNBOUNDED
+    latest = staged_latest(bars) if open_ended else None
+    rows = universe_rows(bars, timeframe, date_from, date_to, row_limit, latest)
     names = stocks.select("ticker", "company_name")
     start, end = F.lit(date_from).cast("date"), F.lit(date_to).cast("date")
     # A symbol without a bar in the table is anchored on as_of.
     anchor = end if date_to is not None else as_date(as_of)
-    latest = latest_dates(bars) if date_to is None and date_from is None else None
     asked = names
-    if latest is not None and timeframe != UNBOUNDED:
+    if latest is not None:
         asked = names.join(latest.withColumnRenamed("latest_trade_date", "last"), "ticker", "left")
         anchor = F.coalesce(F.col("last"), anchor)
     asked = asked.select(

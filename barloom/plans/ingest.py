@@ -8,6 +8,10 @@ is run again after a crash writes them from there, with the counts planned
 before the tables changed. So no stored bar is lost between two partitions, and
 nothing is counted twice. A job that throws is closed as failed and may be run
 again; a job that succeeded is not repeated.
+
+Tables with versions (:mod:`barloom.sources.snapshots`) take all writes after the opening
+events in one commit. If another job has replaced the same partitions meanwhile, the
+job is planned again on what that one left.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from barloom.operators.upsert import as_instant, last_wins, merge_bars, merge_co
 from barloom.schema import BAR_COLUMNS, BAR_KEY, RUN_EVENT, STOCK_COLUMNS
 from barloom.sources.payloads import ARRIVAL, Feed
 from barloom.sources.providers import pull_window
+from barloom.sources.snapshots import CommitConflict
 from barloom.sources.tables import MarketTables
 
 OUTCOME = T.StructType(
@@ -175,9 +180,6 @@ def ingest(
                 tables, feed, provider, job_id, at, finish, tickers, date_from, date_to, limit,
                 whole_payloads, coalesce_nulls, resume, closing,
             )
-            tables.append_runs(
-                _job_event(tables, job_id, provider, at, date_to, closing, "succeeded", finish())
-            )
             tables.drop_staged(job_id)
         except Exception as error:
             _close_as_failed(tables, job_id, provider, at, date_to, closing, finish(), error)
@@ -223,11 +225,8 @@ def _close_as_failed(tables, job_id, provider, at, date_to, seq, finished, error
         F.lit(text).alias("error"),
         F.lit(True).alias("failed"),
     )
-    opened = tables.runs().where(
-        (F.col("job_id") == job_id) & F.col("ticker").isNotNull() & (F.col("event_seq") == OPENED)
-    )
     tables.append_runs(
-        close_runs(opened, outcome, finished, seq).unionByName(
+        close_runs(runs_of(tables, job_id), outcome, finished, seq).unionByName(
             _job_event(tables, job_id, provider, at, date_to, seq, "failed", finished, error=text).select(
                 *RUN_EVENT.fieldNames()
             )
@@ -239,24 +238,30 @@ def _run(
     tables, feed, provider, job_id, at, finish, tickers, date_from, date_to, limit,
     whole_payloads, coalesce_nulls, resume, closing,
 ) -> None:
-    if resume:  # all that is needed was staged before the runs were opened
-        outcome = tables.staged(job_id, "outcome", OUTCOME)
-    else:
-        outcome = _plan(
-            tables, feed, job_id, at, tickers, date_from, date_to, limit, whole_payloads, coalesce_nulls
-        )
-        tables.append_runs(open_runs(outcome.select("ticker"), job_id, provider, at, date_to))
-    tables.overwrite_staged(job_id)
-    opened = tables.runs().where(
-        (F.col("job_id") == job_id) & F.col("ticker").isNotNull() & (F.col("event_seq") == OPENED)
-    )
-    tables.append_runs(close_runs(opened, outcome, finish(), closing))
+    while True:
+        base, changes = tables.pinned(), None
+        if resume and not tables.replans:  # all that is needed was staged before the runs were opened
+            outcome = tables.staged(job_id, "outcome", OUTCOME)
+        else:
+            outcome, changes = _plan(
+                base, feed, job_id, at, tickers, date_from, date_to, limit, whole_payloads, coalesce_nulls
+            )
+            opened = open_runs(outcome.select("ticker"), job_id, provider, at, date_to)
+            if resume:
+                opened = opened.join(runs_of(tables, job_id).select("run_id"), "run_id", "left_anti")
+            tables.append_runs(opened)
+        events = close_runs(runs_of(tables, job_id), outcome, finish(), closing)
+        done = _job_event(tables, job_id, provider, at, date_to, closing, "succeeded", finish())
+        try:
+            return tables.publish(job_id, (base, changes), events, done)
+        except CommitConflict:
+            resume = True
 
 
 def _plan(
     tables, feed, job_id, at, tickers, date_from, date_to, limit, whole_payloads, coalesce_nulls
-) -> DataFrame:
-    """Stage the merged periods, the merged stocks and, last, the outcome of every symbol."""
+) -> tuple[DataFrame, object]:
+    """Stage the merged periods, the merged stocks and, last, the outcome of every symbol; it, and what to publish."""
     asked = _asked_for(feed.parsed, tickers, date_from, date_to)
     rules = [*BAR_RULES, COMPANY_NAME]
     parsed = tables.stage(assess(asked, rules, known=F.col("parse_errors")), job_id, "parsed")
@@ -272,11 +277,15 @@ def _plan(
     # Only the slots of the batch are read and rewritten.
     fresh = stocks_of(accepted).withColumn("ticker_slot", tables.slot_of(F.col("ticker")))
     slots = [r.ticker_slot for r in fresh.select("ticker_slot").distinct().collect()]
-    known = tables.stocks().where(F.col("ticker_slot").isin(slots))
-    tables.stage(merge_bars(stored, batch, at, coalesce_nulls), job_id, "merged_bars")
-    tables.stage(merge_stocks(known, fresh, at, coalesce_nulls), job_id, "merged_stocks")
+    changes = tables.stage_merge(
+        job_id,
+        batch,
+        merge_bars(stored, batch, at, coalesce_nulls),
+        merge_stocks(tables.stocks_in(slots), fresh, at, coalesce_nulls),
+        slots,
+    )
     counts = merge_counts(batch, stored)
-    return tables.stage(plan_outcome(assessed, failures, counts, tickers), job_id, "outcome")
+    return tables.stage(plan_outcome(assessed, failures, counts, tickers), job_id, "outcome"), changes
 
 
 def quarantine(tables: MarketTables, job_id: str) -> DataFrame:
@@ -317,22 +326,13 @@ def seed(
     judged = judged.withColumns({"parse_errors": none, "fault": F.lit(None).cast("string")})
     parsed = tables.stage(judged, job_id, "parsed")
     valid = split(parsed.drop("parse_errors", "fault")).valid
-    tables.overwrite_bars(
-        last_wins(valid, BAR_KEY, []).select(
-            *BAR_COLUMNS,
-            now.alias("ingested_at"),
-            now.alias("created_at"),
-            now.alias("updated_at"),
-        )
-    )
-    tables.overwrite_stocks(
-        stocks.select(
-            *STOCK_COLUMNS, "is_active", now.alias("created_at"), now.alias("updated_at")
-        )
-    )
     received = valid.count()
-    tables.append_runs(
-        _job_event(
-            tables, job_id, provider, at, None, CLOSED, "succeeded", (clock or (lambda: at))(), received
-        )
+    done = _job_event(
+        tables, job_id, provider, at, None, CLOSED, "succeeded", (clock or (lambda: at))(), received
+    )
+    instants = [now.alias(name) for name in ("ingested_at", "created_at", "updated_at")]
+    tables.load(
+        last_wins(valid, BAR_KEY, []).select(*BAR_COLUMNS, *instants),
+        stocks.select(*STOCK_COLUMNS, "is_active", *instants[1:]),
+        done,
     )

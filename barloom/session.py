@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: Applications whose workers have the package.
+_shipped: set[str] = set()
 
 
 def local_session(
@@ -40,3 +44,17 @@ def working_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def with_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package wherever it lies: once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return spark

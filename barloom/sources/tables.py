@@ -142,6 +142,33 @@ class MarketTables:
             self.overwrite_bars(bars)
             self.overwrite_stocks(stocks)
 
+    #: Whether a job that is run again after a crash plans anew instead of writing what it had staged.
+    replans = False
+
+    def pinned(self) -> MarketTables:
+        """What a plan reads. Plain tables have no versions."""
+        return self
+
+    def stocks_in(self, slots: list[int]) -> DataFrame:
+        return self.stocks().where(F.col("ticker_slot").isin(slots))
+
+    def stage_merge(self, job_id: str, batch: DataFrame, bars: DataFrame, stocks: DataFrame, slots: list[int]) -> None:
+        """Stage the merged rows of a job before anything is replaced."""
+        self.stage(bars, job_id, "merged_bars")
+        self.stage(stocks, job_id, "merged_stocks")
+
+    def publish(self, job_id: str, planned: object, events: DataFrame, done: DataFrame) -> None:
+        """Replace bars, then stocks, then log the runs and, as the marker, the job."""
+        self.overwrite_staged(job_id)
+        self.append_runs(events)
+        self.append_runs(done)
+
+    def load(self, bars: DataFrame, stocks: DataFrame, done: DataFrame) -> None:
+        """The first load of empty tables."""
+        self.overwrite_bars(bars)
+        self.overwrite_stocks(stocks)
+        self.append_runs(done)
+
     def drop_staged(self, job_id: str) -> None:
         """Remove what a closed job no longer needs; its parsed rows stay for :func:`quarantine`."""
         jvm = self.spark._jvm

@@ -37,6 +37,20 @@ bars as (
 EARLY_BARS = BARS.replace("bars as (", "all_bars as (") + f""",
 bars as (select * from all_bars where trade_date < {CUT})"""
 
+RESTATED = BARS.replace("bars as (", "all_bars as (") + f""",
+bars as (
+  select * replace (case when trade_date >= {OVERLAP} then previous + 1 else previous end as previous)
+  from (select *, max(trade_date) over (partition by ticker) as newest from all_bars)
+  where not (trade_date = newest and cast(substr(ticker, 2) as bigint) % 7 = 0))"""
+
+GAPPED = """
+gapped as (
+  select ticker, trade_date,
+         case when volume_shares % 700 = 0 then null
+              when same then 700 / pow(3::double, 3)
+              else volume_shares / pow(cast(frequency as double), 3) end as raw
+  from (select *, cast(substr(ticker, 2) as bigint) % 5 = 0 as same from bars))"""
+
 STOCKS = """
 stocks as (
   select concat('S', cast(s_suppkey as varchar)) as ticker, s_name as company_name,
@@ -233,36 +247,30 @@ select request_id, ticker, company_name, coalesce(first_date, start) as date_fro
        'landing' as source, coalesce(n, 0) as n_bars
 from resolved left join span using (request_id)"""
 
-MERGE = """
-select coalesce(o.ticker, n.ticker) as ticker, coalesce(o.trade_date, n.trade_date) as trade_date,
-  {prices},
-  case when n.ticker is not null then n.volume_shares else o.volume_shares end as volume_shares,
-  case when n.ticker is not null then n.frequency else o.frequency end as frequency,
-  case when n.ticker is not null then n.foreign_buy_shares else o.foreign_buy_shares end
-    as foreign_buy_shares,
-  case when n.ticker is not null then {sells} else o.foreign_sell_shares end
-    as foreign_sell_shares,
-  'fixture' as source,
-  case when o.ticker is not null then '{t0}' else '{t1}' end as ingested_at,
-  case when o.ticker is not null then '{t0}' else '{t1}' end as created_at,
-  case when n.ticker is not null then '{t1}' else '{t0}' end as updated_at
-from (
-  select n.ticker as new_ticker, n.trade_date as new_date, o.ticker as old_ticker, o.trade_date as old_date
-  from restated n left join stored o on o.ticker = n.ticker and o.trade_date = n.trade_date
+MERGE = """,
+arrivals as (
+  select ticker, trade_date, open, high, low, close, previous, volume_shares, frequency,
+         foreign_buy_shares, foreign_sell_shares, 0 as fresh from stored
   union all
-  select null, null, o.ticker, o.trade_date
-  from stored o anti join restated n on o.ticker = n.ticker and o.trade_date = n.trade_date) k
-  left join restated n on n.ticker = k.new_ticker and n.trade_date = k.new_date
-  left join stored o on o.ticker = k.old_ticker and o.trade_date = k.old_date"""
+  select ticker, trade_date, open, high, low, close, previous, volume_shares, frequency,
+         foreign_buy_shares, foreign_sell_shares, 1 from restated),
+newest_first as (
+  select *, row_number() over day as place, min(fresh) over day as oldest,
+         max(case when fresh = 0 then foreign_sell_shares end) over day as stored_sells
+  from arrivals
+  window day as (partition by ticker, trade_date order by fresh desc
+                 rows between unbounded preceding and unbounded following))
+select ticker, trade_date, {prices}, volume_shares, frequency, foreign_buy_shares,
+  {sells} as foreign_sell_shares, 'fixture' as source,
+  case when oldest = 0 then '{t0}' else '{t1}' end as ingested_at,
+  case when oldest = 0 then '{t0}' else '{t1}' end as created_at,
+  case when fresh = 1 then '{t1}' else '{t0}' end as updated_at
+from newest_first where place = 1"""
 
 
 def _merge(sells: str) -> str:
-    prices = ", ".join(
-        f"cast(case when n.ticker is not null then n.{c} else o.{c} end as double) as {c}"
-        for c in ("open", "high", "low", "close", "previous")
-    )
     times = {"t0": "2024-01-01 08:00:00", "t1": "2024-01-02 08:00:00"}
-    return _with(BARS, UPSERT) + MERGE.format(prices=prices, sells=sells, **times)
+    return _with(BARS, UPSERT) + MERGE.format(prices=PRICE_DOUBLES, sells=sells, **times)
 
 
 DAMAGE = """
@@ -484,9 +492,9 @@ select run_id, reasons from (
     case when o_custkey < 7 then 'rows_inserted_negative' end,
     case when substr(o_orderpriority, 1, 1) = '1' then 'finished_before_started' end) as reasons
   from orders) where reasons <> ''""",
-    "upsert_merge": _merge("n.foreign_sell_shares"),
-    "upsert_coalesce_nulls": _merge("coalesce(n.foreign_sell_shares, o.foreign_sell_shares)"),
-    "upsert_idempotent": _merge("n.foreign_sell_shares"),
+    "upsert_merge": _merge("foreign_sell_shares"),
+    "upsert_coalesce_nulls": _merge("coalesce(foreign_sell_shares, stored_sells)"),
+    "upsert_idempotent": _merge("foreign_sell_shares"),
     "upsert_stats": _with(BARS, UPSERT)
     + """select r.ticker, cast(sum(copies) as bigint) as rows_received,
   count(*) filter (s.ticker is null) as rows_inserted,
@@ -580,4 +588,68 @@ select ticker, company_name, {VIEW} from windowed join stocks using (ticker)""",
     + f"""select ticker, trade_date, {PRICE_DOUBLES},
   case when trade_date >= {OVERLAP} then volume_shares + 100 else volume_shares end
     as volume_shares, frequency, 'landing' as source from bars""",
+    "ingest_snapshot_read": _with(BARS)
+    + f""", moments as (select unnest(['before', 'stopped', 'after']) as moment),
+seen as (
+  select moment, ticker, trade_date,
+         volume_shares + case when moment = 'after' and trade_date >= {OVERLAP} then 100 else 0 end
+           as volume_shares
+  from bars, moments where moment = 'after' or trade_date < {CUT}),
+fed as (select distinct ticker from bars where trade_date >= {OVERLAP})
+select moment, s.ticker, count(*) as n_bars, cast(sum(volume_shares) as bigint) as volume_shares,
+       case when fed.ticker is null or moment = 'before' then null
+            when moment = 'stopped' then 'failed' else 'succeeded' end as status
+from seen s left join fed on fed.ticker = s.ticker group by moment, s.ticker, fed.ticker""",
+    "stored_cascade_delete": _with(BARS, STOCKS)
+    + """select ticker, company_name, n_bars, latest_trade_date, least(n_bars, 30) as n_recent
+from stocks left join (
+  select ticker, count(*) as n_bars, max(trade_date) as latest_trade_date from bars group by ticker)
+using (ticker) where is_active""",
+    "maintained_watchlist": _with(RESTATED, STOCKS, LATEST) + _watchlist("stocks"),
+    "maintained_latest_dates": _with(RESTATED)
+    + "select ticker, max(trade_date) as latest_trade_date from bars group by ticker",
+    "run_log_compacted": _with(BARS, STOCKS, RUNS) + "select * from runs",
+    "stored_symbol_lookup": _with(BARS, STOCKS)
+    + """select ticker, trade_date, cast(close as double) as close, volume_shares from bars
+where ticker = (select max(ticker) from stocks) and trade_date >= date '1998-03-01'""",
+    "indicator_rolling_zscore": _with(BARS, GAPPED)
+    + """, framed as (
+  select *, avg(raw) over frame as m, stddev_pop(raw) over frame as d, count(raw) over frame as n,
+         min(raw) over frame as low, max(raw) over frame as high
+  from gapped
+  window frame as (partition by ticker order by trade_date rows between 119 preceding and current row))
+select ticker, trade_date, round(raw, 6) as raw,
+       case when n >= 20 then round(case when low = high then low else m end, 6) end as mean,
+       case when n >= 20 then round(case when low = high then 0 else d end, 6) end as deviation,
+       case when n >= 20 and low < high then round((raw - m) / d, 6) end as zscore
+from framed""",
+    "indicator_rolling_percentile": _with(BARS, GAPPED)
+    + """, placed as (
+  select *, row_number() over (partition by ticker order by trade_date) as place from gapped)
+select a.ticker, a.trade_date, round(a.raw, 6) as raw,
+       case when a.raw is not null and count(b.raw) >= 20
+            then round(100.0::double * count(*) filter (b.raw <= a.raw) / count(b.raw), 6) end as percentile
+from placed a join placed b on a.ticker = b.ticker and b.place between a.place - 119 and a.place
+group by a.ticker, a.trade_date, a.raw""",
+    "asof_requests": _with(BARS)
+    + """, asked as (
+  select o_orderkey as request_id, concat('S', cast(o_custkey as varchar)) as ticker,
+         cast(o_orderdate as date) as day from orders)
+select request_id, a.ticker, day, trade_date, cast(close as double) as close, volume_shares
+from asked a asof left join bars b on a.ticker = b.ticker and a.day >= b.trade_date""",
+    "missing_sessions": _with(BARS)
+    + """, calendar as (
+  select trade_date, row_number() over (order by trade_date) as session
+  from (select distinct trade_date from bars)),
+placed as (
+  select ticker, trade_date as last_traded, session,
+         lead(trade_date) over (partition by ticker order by trade_date) as next_traded,
+         coalesce(lead(session) over (partition by ticker order by trade_date),
+                  (select max(session) + 1 from calendar)) as next_session
+  from bars join calendar using (trade_date))
+select ticker, last_traded, next_traded, f.trade_date as first_missed, l.trade_date as last_missed,
+       next_session - p.session - 1 as n_missed
+from placed p join calendar f on f.session = p.session + 1
+join calendar l on l.session = next_session - 1
+where next_session - p.session > 1""",
 }

@@ -19,13 +19,14 @@ from barloom.functions.calendar import as_date
 from barloom.functions.frequency import frequency_log10, frequency_raw
 from barloom.functions.prices import change, change_percent, direction
 from barloom.functions.variants import computed_once
-from barloom.operators import joins, latest, quality, runlog, upsert
+from barloom.operators import asof, joins, latest, quality, runlog, sessions, upsert
 from barloom.plans import history as hist
-from barloom.plans import indicators, ingest, status, watchlist
+from barloom.plans import indicators, ingest, maintain, rolling, status, watchlist
 from barloom.schema import BAR_COLUMNS, BAR_KEY, FACTS, PRICE
 from barloom.session import working_folder
 from barloom.sources import fixtures, payloads
 from barloom.sources.providers import pull_window
+from barloom.sources.snapshots import SnapshotTables
 from barloom.sources.tables import MarketTables
 from barloom.streaming.incremental import start_ingest
 
@@ -578,22 +579,29 @@ def _merged_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def _bars_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The bars, worked out once for a query that uses them several times."""
+    bars, path = fixtures.bars(spark, sf), working_folder(spark, "bars")
+    bars.write.parquet(path)
+    return spark.read.schema(bars.schema).parquet(path)
+
+
 @query
 def upsert_merge(spark, sf):
-    bars = fixtures.bars(spark, sf)
+    bars = _bars_once(spark, sf)
     return _merged_rows(upsert.merge_bars(_stored(bars), _batch(bars), T1))
 
 
 @query
 def upsert_coalesce_nulls(spark, sf):
-    bars = fixtures.bars(spark, sf)
+    bars = _bars_once(spark, sf)
     merged = upsert.merge_bars(_stored(bars), _batch(bars), T1, coalesce_nulls=True)
     return _merged_rows(merged)
 
 
 @query
 def upsert_idempotent(spark, sf):
-    bars = fixtures.bars(spark, sf)
+    bars = _bars_once(spark, sf)
     once = upsert.merge_bars(_stored(bars), _batch(bars), T1)
     return _merged_rows(upsert.merge_bars(once, _batch(bars), T1))
 
@@ -910,3 +918,150 @@ def stream_ingest(spark, sf):
     )
 
 
+
+
+# --- tables with versions ------------------------------------------------------------
+
+
+def _versioned(spark: SparkSession, sf: str, before: str | None = None) -> tuple[SnapshotTables, DataFrame, DataFrame]:
+    """Tables with versions that hold all bars, or those before a date."""
+    tables = SnapshotTables(spark, working_folder(spark, "versions"), grain="year").create()
+    bars, stocks = fixtures.bars(spark, sf), fixtures.stocks(spark, sf)
+    held = bars if before is None else bars.where(F.col("trade_date") < as_date(before))
+    ingest.seed(tables, held, stocks, provider=PROVIDER, job_id="seed", at=T0)
+    return tables, bars, stocks
+
+
+class _StopsBeforeCommit(SnapshotTables):
+    """Tables whose jobs are stopped when all their files are written and none is live."""
+
+    def commit(self, base, changes, job_id=None):
+        if job_id is not None:
+            raise InterruptedError(f"{job_id} stopped")
+        return super().commit(base, changes, job_id)
+
+
+@query
+def ingest_snapshot_read(spark, sf):
+    """What a reader sees before a job, after it was stopped between its tables, and when it was run again."""
+    tables, bars, stocks = _versioned(spark, sf, CUT)
+    feed = payloads.read_history(_late_payloads(bars, stocks), PROVIDER)
+    late = {"provider": PROVIDER, "job_id": "late", "at": T1}
+    moments = {"before": tables.pinned()}
+    try:
+        ingest.ingest(_StopsBeforeCommit(spark, tables.root, tables.grain), feed, **late)
+    except InterruptedError:
+        moments["stopped"] = tables.pinned()
+    ingest.ingest(tables, feed, **late)
+    moments["after"] = tables.pinned()
+    seen = None
+    for moment, at in moments.items():
+        held = at.bars().groupBy("ticker").agg(F.count("*").alias("n_bars"), F.sum("volume_shares").alias("volume_shares"))
+        states = runlog.current_state(at.runs()).where("ticker is not null").select("ticker", "status")
+        rows = held.join(states, "ticker", "left").select(F.lit(moment).alias("moment"), "ticker", "n_bars", "volume_shares", "status")
+        seen = rows if seen is None else seen.unionByName(rows)
+    return seen
+
+
+@query
+def stored_cascade_delete(spark, sf):
+    """Inactive stocks and their bars leave the stored tables; the stocks that stay are listed beside their bars."""
+    tables, _, stocks = _versioned(spark, sf)
+    maintain.delete_stocks(tables, stocks.where(~F.col("is_active")), job_id="delisted")
+    held = tables.bars().groupBy("ticker").agg(F.count("*").alias("n_bars"), F.max("trade_date").alias("latest_trade_date"))
+    kept = tables.stocks().select("ticker", "company_name")
+    recent = tables.recent().groupBy("ticker").agg(F.count("*").alias("n_recent"))
+    return kept.join(held, "ticker", "full_outer").join(recent, "ticker", "full_outer")
+
+
+def _restated_tables(spark: SparkSession, sf: str) -> SnapshotTables:
+    """Tables after a job that restates previous closes, and the deletion of every seventh symbol's last bar."""
+    tables, bars, stocks = _versioned(spark, sf, CUT)
+    late = bars.where(F.col("trade_date") >= as_date(OVERLAP)).withColumn("previous", (F.col("previous") + 1).cast(PRICE))
+    feed = payloads.read_history(payloads.history_payloads(late, stocks, F.year("trade_date")), PROVIDER)
+    ingest.ingest(tables, feed, provider=PROVIDER, job_id="late", at=T1, coalesce_nulls=True)
+    seventh = F.substring("ticker", 2, 18).cast("bigint") % 7 == 0
+    maintain.delete_bars(tables, latest.latest_dates(bars.where(seventh)).withColumnRenamed("latest_trade_date", "trade_date"), job_id="wrong")
+    return tables
+
+
+@query
+def maintained_watchlist(spark, sf):
+    return _watchlist_rows(maintain.maintained_watchlist(_restated_tables(spark, sf)))
+
+
+@query
+def maintained_latest_dates(spark, sf):
+    return maintain.maintained_latest_dates(_restated_tables(spark, sf))
+
+
+@query
+def run_log_compacted(spark, sf):
+    """The runs of all stocks, logged by many jobs of a few stocks each."""
+    tables = SnapshotTables(spark, working_folder(spark, "versions")).create()
+    events = _run_events(fixtures.bars(spark, sf), fixtures.stocks(spark, sf))
+    path = working_folder(spark, "events")
+    events.withColumn("job", F.pmod(F.xxhash64("ticker"), F.lit(10))).write.parquet(path)
+    staged = spark.read.parquet(path)
+    for job in range(10):
+        for seq in (runlog.OPENED, runlog.CLOSED):
+            tables.append_runs(staged.where((F.col("job") == job) & (F.col("event_seq") == seq)))
+    return runlog.current_state(tables.runs()).select(
+        "run_id", "provider", "ticker", "status", "requested_date", "rows_received",
+        "rows_inserted", "rows_updated", "error_message", _instant("started_at"),
+        _instant("finished_at"),
+    )
+
+
+@query
+def stored_symbol_lookup(spark, sf):
+    """The bars of the symbol that comes last, from the files that can hold it."""
+    tables, _, stocks = _versioned(spark, sf)
+    name = stocks.agg(F.max("ticker")).first()[0]
+    return tables.bars_of(name, RANGE[0]).select(*BAR_KEY, _double("close"), "volume_shares")
+
+
+# --- rolling forms, as-of join, missing sessions -------------------------------------
+
+
+def _raw_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw indicator; some sessions have none, and every fifth symbol the same value on all days."""
+    same = F.substring("ticker", 2, 18).cast("bigint") % 5 == 0
+    bars = fixtures.bars(spark, sf)
+    return rolling.raw_series(
+        bars.withColumns(
+            {
+                "volume_shares": F.when(same, F.lit(700).cast("bigint")).otherwise(F.col("volume_shares")),
+                "frequency": F.when(F.col("volume_shares") % 700 == 0, 0).when(same, 3).otherwise(F.col("frequency")).cast("bigint"),
+            }
+        )
+    )
+
+
+@query
+def indicator_rolling_zscore(spark, sf):
+    rows = rolling.rolling_zscore(_raw_with_gaps(spark, sf))
+    return rows.select(*BAR_KEY, *[_double(c, 6) for c in ("raw", "mean", "deviation", "zscore")])
+
+
+@query
+def indicator_rolling_percentile(spark, sf):
+    rows = rolling.rolling_percentile(_raw_with_gaps(spark, sf))
+    return rows.select(*BAR_KEY, _double("raw", 6), _double("percentile", 6))
+
+
+@query
+def asof_requests(spark, sf):
+    """The newest bar on or before the day of every order."""
+    asked = fixtures.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("ticker"),
+        F.to_date("o_orderdate").alias("day"),
+    )
+    found = asof.asof_join(asked, fixtures.bars(spark, sf), ["trade_date", "close", "volume_shares"])
+    return found.select("request_id", "ticker", "day", "trade_date", _double("close"), "volume_shares")
+
+
+@query
+def missing_sessions(spark, sf):
+    return sessions.missing_sessions(fixtures.bars(spark, sf))
