@@ -13,7 +13,7 @@ def test_every_stage_decides_as_its_operator_says(spark):
     model = toxicity.train(docs, table(spark, SMALL, "labels"))
     scorer = model.scorer()
     texts = dict(pd.read_parquet(f"{SMALL}/documents.parquet")[["doc_id", "text"]].itertuples(index=False))
-    expected = {i for i, t in texts.items() if scorer.score(t.encode()) < toxicity.THRESHOLD}
+    expected = {i for i, t in texts.items() if scorer.score(t.encode()) < model.threshold}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = staged(stage(spark, docs, SMALL), name)
         assert out.columns == docs.columns
