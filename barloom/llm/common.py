@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barloom.session import working_folder
+from barloom.session import with_package, working_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Byte map that lowers A-Z only.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
-#: Applications whose workers have the package.
-_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,18 +55,12 @@ def unsigned_hash_mod(value: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(parts)).cast("int")
 
 
-def with_package(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever it lies: once for each application."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for source in sorted(package.rglob("*.py")):
-                out.write(source, source.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
-    return spark
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it one that the frame doesn't have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def map_batches(

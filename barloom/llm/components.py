@@ -15,7 +15,9 @@ from barloom.llm.common import staged
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+    """Count and two full sums of 64-bit hashes: different edge sets don't agree in all by chance."""
+    sums = [F.sum(h.cast("decimal(20,0)")) for h in (F.xxhash64("a", "b"), F.xxhash64("b", "a"))]
+    return tuple(edges.agg(F.count(F.lit(1)), *sums).first())
 
 
 def _least(pairs: DataFrame) -> DataFrame:

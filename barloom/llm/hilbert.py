@@ -19,7 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Names of working columns; a caller's column of such a name would clash.
+from barloom.llm.common import free_name
+
+#: Names of working columns of the curve's own table.
 CODE, CELL, SALT, RANK, START = "_code", "_hilbert", "_salt", "_rank", "_offset"
 
 
@@ -130,41 +132,44 @@ def hilbert_shards(
     """
     if not dimensions or bits < 1 or bits * len(dimensions) > 20:
         raise ValueError("between 1 and 20 bits in all")
-    code = F.lit(0).cast("long")
+    # Working columns have names that the caller's frame doesn't have.
+    code, cell, salt, rank, start, place = (free_name(frame, c) for c in (CODE, CELL, SALT, RANK, START, "_place"))
+    number = F.lit(0).cast("long")
     for d, dimension in enumerate(dimensions):
-        code = code + F.shiftleft(_cell(frame, dimension, bits).cast("long"), bits * d)
+        number = number + F.shiftleft(_cell(frame, dimension, bits).cast("long"), bits * d)
     # The curve is joined, not computed for each row: its size depends on the parameters only.
+    along_curve = curve(frame.sparkSession, len(dimensions), bits).select(F.col(CODE).alias(code), F.col(CELL).alias(cell))
     placed = (
-        frame.withColumn(CODE, code)
-        .withColumn(SALT, F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-        .join(curve(frame.sparkSession, len(dimensions), bits), CODE)
-        .drop(CODE)
+        frame.withColumn(code, number)
+        .withColumn(salt, F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+        .join(along_curve, code)
+        .drop(code)
     )
-    counts = placed.groupBy(CELL, SALT).agg(F.count(F.lit(1)).alias("n"))
-    within = Window.partitionBy(CELL).orderBy(SALT).rowsBetween(Window.unboundedPreceding, -1)
-    per_cell = counts.groupBy(CELL).agg(F.sum("n").alias("cell_n"))
+    counts = placed.groupBy(cell, salt).agg(F.count(F.lit(1)).alias("n"))
+    within = Window.partitionBy(cell).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    per_cell = counts.groupBy(cell).agg(F.sum("n").alias("cell_n"))
     # At most 2**20 rows, one for each cell, whatever the input.
-    along = Window.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_cell.select(CELL, F.coalesce(F.sum("cell_n").over(along), F.lit(0)).alias("cell_start"))
+    along = Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_cell.select(cell, F.coalesce(F.sum("cell_n").over(along), F.lit(0)).alias("cell_start"))
     total = counts.agg(F.sum("n").alias("total"))
     offsets = (
         counts.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
-        .join(starts, CELL)
-        .select(CELL, SALT, (F.col("cell_start") + F.col("before")).alias(START))
+        .join(starts, cell)
+        .select(cell, salt, (F.col("cell_start") + F.col("before")).alias(start))
     )
-    order = Window.partitionBy(CELL, SALT).orderBy(F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in ties])
+    order = Window.partitionBy(cell, salt).orderBy(F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in ties])
     total_rows = int(total.first()[0] or 0)
-    shard = F.expr(f"cast(({RANK} * {shards}) div {max(1, total_rows)} as int)")
+    shard = F.expr(f"cast((`{rank}` * {shards}) div {max(1, total_rows)} as int)")
     first = F.expr(f"(cast(shard as bigint) * {total_rows} + {shards - 1}) div {shards}")
     return (
         placed.drop("curve_index", "shard", "slot")
-        .withColumn("_place", F.row_number().over(order).cast("long"))
-        .join(offsets, [CELL, SALT])
-        .withColumn(RANK, F.col(START) + F.col("_place") - 1)
+        .withColumn(place, F.row_number().over(order).cast("long"))
+        .join(offsets, [cell, salt])
+        .withColumn(rank, F.col(start) + F.col(place) - 1)
         .withColumn("shard", shard)
-        .withColumn("slot", F.col(RANK) - first)
-        .withColumnRenamed(CELL, "curve_index")
-        .drop(SALT, RANK, START, "_place")
+        .withColumn("slot", F.col(rank) - first)
+        .withColumnRenamed(cell, "curve_index")
+        .drop(salt, rank, start, place)
     )
 
 

@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.arrays import Files, by_shard, mapped, new_files, write
@@ -400,10 +400,23 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """The documents with the least id of their group of near-duplicates, all columns.
 
     Defined results: texts without words are copies of one another; a text shorter
-    than a shingle is one shingle; a row repeated whole stays as often as it
-    comes; a null id stays only if its group has no other. An empty table gives no row.
+    than a shingle is one shingle; of rows with the same id and text one stays; a null id stays
+    only if its group has no other. An empty table gives no row.
     """
-    decided = groups(docs, doc_id=doc_id, text=text, words_in_shingle=words_in_shingle)
-    gone = decided.where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "text_hash").distinct()
-    same = docs[doc_id].eqNullSafe(gone["id"]) & (F.xxhash64(docs[text]) == gone["text_hash"])
-    return docs.join(gone, same, "left_anti")
+    decided = staged(groups(docs, doc_id=doc_id, text=text, words_in_shingle=words_in_shingle), "decided")
+    first = F.col("id").eqNullSafe(F.col("keeper"))
+    gone = decided.where(~first).select("id", "text_hash").distinct()
+    repeated = staged(decided.where(first).groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+
+    def same(other: DataFrame) -> Column:
+        return docs[doc_id].eqNullSafe(other["id"]) & (F.xxhash64(docs[text]) == other["text_hash"])
+
+    kept = docs.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    alone = kept.join(repeated, same(repeated), "left_anti")
+    # The copies of a row are reduced in the map tasks first, however many there are.
+    row = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+    copies = kept.join(repeated, same(repeated), "left_semi")
+    once = copies.groupBy(F.col(f"`{doc_id}`").alias("one"), F.xxhash64(text).alias("text_hash")).agg(row)
+    return alone.unionByName(once.select("row.*"))

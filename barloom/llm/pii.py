@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import free_name, staged
 from barloom.llm.hilbert import _let
 
 #: Fixed separators within a marked text; a text's own are escaped.
@@ -255,39 +256,42 @@ def _once(frame: DataFrame, value: Column, name: str) -> DataFrame:
     return frame.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _replaced(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """All columns, with `_found`: kind, entity and surrogate of every entity in order, and `_new`: the new text."""
-    source = F.col(text)
-    with_pieces = _once(docs, _pieces(source), "_pieces")
-    entities = F.filter("_pieces", lambda p, i: F.pmod(i, F.lit(2)) == 1)
-    with_found = _once(with_pieces, F.transform(entities, lambda e: _surrogate(e, key)), "_found")
+def _replaced(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, str, str]:
+    """All columns and two more, whose names are given: kind, entity and surrogate of every entity in order, and the new text."""
+    pieces, found, new_text = (free_name(docs, name) for name in ("_pieces", "_found", "_new"))
+    source = F.col(f"`{text}`")
+    with_pieces = _once(docs, _pieces(source), pieces)
+    entities = F.filter(pieces, lambda p, i: F.pmod(i, F.lit(2)) == 1)
+    with_found = _once(with_pieces, F.transform(entities, lambda e: _surrogate(e, key)), found)
     new = F.array_join(
         F.transform(
-            "_pieces",
-            lambda p, i: F.when(F.pmod(i, F.lit(2)) == 1, F.element_at("_found", ((i + 1) / 2).cast("int"))["surrogate"]).otherwise(p),
+            pieces,
+            lambda p, i: F.when(F.pmod(i, F.lit(2)) == 1, F.element_at(found, ((i + 1) / 2).cast("int"))["surrogate"]).otherwise(p),
         ),
         "",
     )
-    return with_found.withColumn("_new", F.when(source.isNull(), F.lit(None)).otherwise(F.when(F.size("_pieces") > 1, _unescaped(new)).otherwise(source)))
+    whole = F.when(source.isNull(), F.lit(None)).otherwise(F.when(F.size(pieces) > 1, _unescaped(new)).otherwise(source))
+    return with_found.withColumn(new_text, whole), found, new_text
 
 
 def replace_entities(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     """The documents with surrogates in their texts; all other columns stay as they are.
 
     Defined results: a null text stays null; texts without entities stay as they
-    are, byte for byte; repeated rows get the same text. Columns named `_pieces`,
-    `_found` or `_new` are taken by the operator and may not occur.
+    are, byte for byte; repeated rows get the same text. Columns of any name are kept.
     """
-    return _replaced(docs, text, key).select(*[F.col("_new").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    rows, _, new = _replaced(docs, text, key)
+    return rows.select(*[F.col(new).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def surrogates(docs: DataFrame, *, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the new text, n_entities, and entities (kind and surrogate, in order)."""
-    return _replaced(docs.select(doc_id, text), text, key).select(
+    rows, found, new = _replaced(docs.select(doc_id, text), text, key)
+    return rows.select(
         doc_id,
-        F.col("_new").alias("text"),
-        F.when(F.col("_found").isNull(), 0).otherwise(F.size("_found")).alias("n_entities"),
-        F.transform("_found", lambda f: F.struct(f["kind"].alias("kind"), f["surrogate"].alias("surrogate"))).alias("entities"),
+        F.col(new).alias("text"),
+        F.when(F.col(found).isNull(), 0).otherwise(F.size(found)).alias("n_entities"),
+        F.transform(found, lambda f: F.struct(f["kind"].alias("kind"), f["surrogate"].alias("surrogate"))).alias("entities"),
     )
 
 
@@ -299,11 +303,13 @@ def _canonical(kind: Column, e: Column) -> Column:
 
 def collisions(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     """kind, n_entities, n_surrogates and n_pairs over all documents: equal numbers mean no collision and no split entity."""
-    found = (
-        _replaced(docs.select(text), text, key)
-        .select(F.explode("_found").alias("f"))
+    rows, entities, _ = _replaced(docs.select(text), text, key)
+    # Written once: the texts would be searched again for each of the three counts.
+    found = staged(
+        rows.select(F.explode(entities).alias("f"))
         .select(F.col("f.kind").alias("kind"), _canonical(F.col("f.kind"), F.col("f.entity")).alias("e"), _canonical(F.col("f.kind"), F.col("f.surrogate")).alias("s"))
-        .distinct()
+        .distinct(),
+        "entities",
     )
     # Three counts of distinct values by two-step aggregates, so a kind isn't gathered in one task.
     by_entity = found.select("kind", "e").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n_entities"))

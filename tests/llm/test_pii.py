@@ -89,3 +89,9 @@ def test_query_keeps_distinctness_and_coreference(spark):
     mail = r"[a-z]+\.\d+@[a-z]+\d\.example\.com"
     old, new = (set(re.findall(mail, " ".join(r[0] for r in left.select(c).collect()))) for c in ("old", "text"))
     assert old and len(old) == len(new) and not old & new
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([("a@example.org", "mine", "also", 3)], "text string, _new string, _found string, _Pieces int")
+    got = pii.replace_entities(docs, key="k").first()
+    assert (got["_new"], got["_found"], got["_Pieces"]) == ("mine", "also", 3) and got.text != "a@example.org"

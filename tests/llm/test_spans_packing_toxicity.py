@@ -37,7 +37,7 @@ def test_span_edges(spark):
     rows = [(1, None), (2, ""), (3, passage + "One end."), (4, "Other start. " + passage), (4, "Other start. " + passage), (None, "Lone. " + passage)]
     rows += [(9, "No. Yes. No."), (10, "No. Yes. No.")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
-    got = spans.remove_repeats(docs).collect()
+    got = spans.remove_repeats(docs, least_words=10).collect()
     assert len(got) == len(rows)
     by = {(r.doc_id, r.n_sentences): r for r in got}
     # The null id comes first; what its text repeats within itself goes, and the later documents' copies go whole.
@@ -45,6 +45,34 @@ def test_span_edges(spark):
     assert by[9, 3].n_removed == by[10, 3].n_removed == 0
     assert by[1, 0].kept is None and by[2, 0].kept == ""
     assert spans.remove_repeats(docs.where("false")).count() == 0
+    short = {r.doc_id: r.kept for r in spans.remove_repeats(docs.where("doc_id > 8")).collect()}
+    assert short == {9: "No. Yes. No.", 10: ""}
+
+
+def test_spans_are_all_repeated_runs(spark):
+    """Against plain strings: every run of two or more sentences that an earlier document has goes, whatever its length."""
+    rng = np.random.default_rng(12)
+    pool = [" ".join(f"w{x}" for x in rng.integers(0, 900, rng.integers(1, 30))) + "." for _ in range(300)]
+    texts = []
+    for i in range(120):
+        own = [" ".join(f"u{i}x{x}" for x in rng.integers(0, 9**9, 6)) + "." for _ in range(6)]
+        at = int(rng.integers(0, 290))
+        own[int(rng.integers(0, 6)) :] = pool[at : at + int(rng.integers(1, 9))]
+        texts.append(" ".join(own))
+    texts.append(" ".join(["long"] * 300_000) + ". " + texts[0])
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    first = {}
+    split = [[x + "." for x in t.split(".") if x.strip()] for t in texts]
+    for i, own in enumerate(split):
+        own = [" ".join(x.split()) for x in own]
+        gone = set()
+        for n in range(1, len(own) + 1):
+            for a in range(len(own) - n + 1):
+                run = "|".join(own[a : a + n])
+                if n > 1 or len(run.split()) >= 50:
+                    if first.setdefault(run, (i, a)) < (i, a):
+                        gone.update(range(a, a + n))
+        assert got[i].n_removed == len(gone)
 
 
 def test_packing(spark):
@@ -123,6 +151,8 @@ def test_near_duplicates_leave_one_of_each(spark, long_list):
     kept = near_dedup.one_of_each(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [*range(8), 200, 202] and kept.columns == docs.columns
     assert near_dedup.one_of_each(docs.where("false")).count() == 0
+    again = docs.unionByName(docs.where("doc_id in (3, 101, 202)")).unionByName(docs.where("doc_id = 3"))
+    assert sorted(r.doc_id for r in near_dedup.one_of_each(again).collect()) == [*range(8), 200, 202]
 
 
 def test_near_duplicates_are_those_of_jaccard_08(spark):

@@ -97,3 +97,11 @@ def test_shard_edges(spark, folder):
     few = hilbert.hilbert_shards(frame.limit(3), dims, key="doc_id", shards=8)
     assert few.count() == 3 and few.agg(F.max("slot")).first()[0] == 0
     assert hilbert.hilbert_shards(frame.where("false"), dims, key="doc_id").count() == 0
+
+
+def test_hilbert_keeps_columns_of_any_name(spark):
+    rows = [(i, i % 3, f"c{i}", "s", 1, 2, 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, x int, _code string, _salt string, _RANK int, _place int, _hilbert int")
+    got = hilbert.hilbert_shards(docs, [hilbert.Dimension("x")], key="id", shards=4).collect()
+    assert sorted((r["_code"], r["_salt"], r["_RANK"], r["_place"], r["_hilbert"]) for r in got) == sorted((r[2], *r[3:]) for r in rows)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(4) for i in range(10)]
