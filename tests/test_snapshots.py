@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import glob
 import json
+from decimal import Decimal
 
 import pytest
 from conftest import bar_row
@@ -125,7 +126,7 @@ def test_a_version_is_taken_once(tables):
 
 
 def test_the_store_refuses_bars_that_break_a_rule(tables, make_bars):
-    bad = make_bars(bar_row("AAA", "2026-08-21", high=1)).withColumns({c: F.lit(T0) for c in ("ingested_at", "created_at", "updated_at")})
+    bad = make_bars(bar_row("AAA", "2026-08-21", high=Decimal(1))).withColumns({c: F.lit(T0) for c in ("ingested_at", "created_at", "updated_at")})
     with pytest.raises(Exception, match="breaks a rule"):
         tables.write_bars(bad)
 
