@@ -41,8 +41,9 @@ ROWS, SAMPLE_BYTES = 3000, {1: 5_000_000, 0: 8_000_000}
 LEVEL, MIN_MATCH = 3, 4
 #: Dictionary bytes, words in a window, first word of the first full window.
 MEASURES = ((16384, 8, 0), (16384, 12, 4), (32768, 8, 4))
-#: A fragment counts if toxic text has it so many times as often as ordinary text, and in so many contexts at least.
-RATIO, LEAST = 12.0, 5
+#: A fragment counts if toxic text has it so many times as often as ordinary text, and if contexts times the log of that
+#: ratio is so many times the log of the number of fragments compared: chance alone, or a few near copies, doesn't reach that.
+RATIO, EVIDENCE = 12.0, 3.0
 #: Bytes of the toxic part of a dictionary, best fragments first.
 TOXIC_BYTES = 8192
 #: Savings of a window that are told apart, and what is added to their counts.
@@ -80,11 +81,12 @@ def _contexts(texts: list[list[bytes]]) -> tuple[Counter, int]:
 def toxic_fragments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
     ours, n_ours = _contexts(toxic)
     theirs, n_theirs = _contexts(ordinary)
+    surprise = EVIDENCE * math.log(len(ours) + 1)
     # By what a fragment tells and the bytes that a match of it saves.
     ranked = sorted(
         (-n * math.log(ratio) * (len(f) - 3), f)
         for f, n in ours.items()
-        if n >= LEAST and (ratio := n / n_ours / ((theirs[f] + 0.5) / n_theirs)) >= RATIO
+        if (ratio := n / n_ours / ((theirs[f] + 0.5) / n_theirs)) >= RATIO and n * math.log(ratio) >= surprise
     )
     out: list[bytes] = []
     size = 0

@@ -29,7 +29,7 @@ def texts(n, insults, seed):
 def test_words_that_are_each_in_few_documents_are_learnt():
     rng = random.Random(3)
     insults = ["".join(rng.choices("qxwzvjy", k=8)) for _ in range(60)]  # each in one toxic document of twenty
-    model = toxicity.fit(texts(600, insults, 1), 0.5)
+    model = toxicity.fit(texts(1200, insults, 1), 0.5)
     held = texts(300, insults, 2)
     scorer = model.scorer()
     assert auc([y for _, y in held], [scorer.score(t) for t, _ in held]) > 0.97
