@@ -11,11 +11,16 @@ between tasks, and a much repeated entity costs no shuffle.
 
 `collisions` checks distinctness and coreference over all documents.
 
+Names are found after a title or words of introduction. Every single name of them is
+then also replaced wherever it stands in the same text as a word of its own, before or
+after: a mention of the surname alone stays the mention of that person.
+
 What each kind keeps: phones their country code and punctuation; cards their first
 digit and whether the check digit is right; addresses a valid range; mail
-addresses the top-level domain, reserved example domains, case and dots; names the
-title, vowels where vowels were, and the last letter of the given name, so a
-surrogate is of the same gender; secrets hexadecimal digits and case.
+addresses the top-level domain, reserved example domains, case and dots; names what
+introduces them, particles, vowels where vowels were, consonants of a class that sounds alike,
+and the last letter of each, so a surrogate can be spoken and is of the same gender;
+secrets hexadecimal digits and case; keys their prefix, case and digits.
 """
 
 from __future__ import annotations
@@ -36,12 +41,19 @@ _OTHERS = ["àáâãäåæçèéêëìíîïðñòóôõö", "αβγδεζηθι
 ANY = [_LETTERS, _LETTERS.upper(), "0123456789", *_OTHERS, *(x.upper() for x in _OTHERS)]
 DIGITS = ["0123456789"]
 HEX = ["0123456789abcdef"]
-_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
-NAME = [_VOWELS, _CONSONANTS, _VOWELS.upper(), _CONSONANTS.upper(), *_OTHERS, *(x.upper() for x in _OTHERS)]
+#: Vowels, stops, liquids and nasals, hissing sounds, and the rest.
+_SOUNDS = ["aeiou", "bdgkpt", "lmnr", "cfsvz", "hjqwxy"]
+NAME = [*_SOUNDS, *(x.upper() for x in _SOUNDS), *_OTHERS, *(x.upper() for x in _OTHERS)]
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Sr|Sra|Doña|Monsieur|Madame|Mme|Mlle|Госпожа|Господин|Κύριος|Κυρία"
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+_CUES = "[Mm]y name is|[Ii]ch heiße|[Mm]e llamo|[Mm]i nombre es|[Jj]e m['’]appelle"
+_INTRODUCED = rf"(?:(?:{_TITLES})\.?|{_CUES}) "
+_PARTICLES = "da|das|de|del|della|den|der|di|do|dos|du|la|las|le|los|ten|ter|van|von|y|zu|zum|zur"
+#: Without a final apostrophe, hyphen or genitive.
+_NAME = r"\p{Lu}(?:\p{L}|['’](?!s(?!\p{L}))(?=\p{L})|-(?=\p{L})){1,40}"
+_WORD_START, _WORD_END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_H = "[0-9A-Fa-f]{1,4}"
 
 
 @dataclass(frozen=True)
@@ -53,16 +65,19 @@ class Kind:
 #: Tried in this order at every place.
 KINDS = [
     Kind("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"),
+    Kind("key", r"(?<![\p{L}\p{N}])(?:AKIA[A-Z0-9]{16,124}|(?:sk|pk|rk|ghp|gho|ghs|ghu|hf|glpat|xox[abprs])[-_][A-Za-z0-9_-]{16,250})(?![\p{L}\p{N}])"),
     Kind("secret", r"(?<![\p{L}\p{N}])(?=[A-Fa-f]{0,127}\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])"),
     Kind("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    Kind("ipv6", rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]{{0,40}}\d)(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}})(?![\p{{L}}\p{{N}}:])"),
     Kind("ip", rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"),
-    Kind("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\d(])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"),
+    Kind("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\d(])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}.,_+-])[2-9]\d{2}[2-9]\d{6}(?![\p{L}\p{N}_]|[.,-]\d)"),
     Kind("card", r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?!-?\d)"),
-    Kind("name", rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}"),
+    Kind("name", rf"{_WORD_START}{_INTRODUCED}(?:(?:{_PARTICLES}) ){{0,3}}{_NAME}(?:(?: (?:{_PARTICLES})){{0,3}} {_NAME}){{0,2}}"),
 ]
+KEY = [_LETTERS, _LETTERS.upper(), DIGITS[0]]
 #: A text without any of this has no entity.
 _FIRST_LETTERS = "".join(sorted({t[0] for t in _TITLES.split("|")}))
-_HINT = rf"[0-9@]|(?=[{_FIRST_LETTERS}])(?:{_TITLES})\.? "
+_HINT = rf"[0-9@]|AKIA|(?:sk|pk|rk|gh[opsu]|hf|glpat|xox[abprs])[-_]|(?=[{_FIRST_LETTERS}])(?:{_TITLES})\.? |(?=[MmIiJj])(?:{_CUES}) "
 
 
 def _text(value: str) -> Column:
@@ -192,28 +207,37 @@ def _card(e: Column, key: str) -> Column:
     return _let(_let(digits, replaced), lambda new: _refilled(e, new, DIGITS))
 
 
+def _introduction(e: Column) -> Column:
+    return F.regexp_extract(e, rf"^({_INTRODUCED})", 1)
+
+
 def _name(e: Column, key: str) -> Column:
-    title = F.regexp_extract(e, rf"^((?:{_TITLES})\.? )", 1)
-    tokens = F.split(F.substring(e, F.length(title) + 1, F.length(e)), " ")
+    said = _introduction(e)
+    tokens = F.split(F.substring(e, F.length(said) + 1, F.length(e)), " ")
 
-    def token(t: Column, given: Column) -> Column:
-        kept = F.when(given, F.substring(t, F.length(t), F.lit(1))).otherwise(_text(""))
-        stem = F.substring(t, F.lit(1), F.length(t) - F.length(kept))
-        return F.concat(_permuted_string(stem, "name", key, NAME), kept)
+    def token(t: Column) -> Column:
+        stem, last = F.substring(t, F.lit(1), F.length(t) - 1), F.substring(t, F.length(t), F.lit(1))
+        return F.when(t.rlike(r"^\p{Lu}"), F.concat(_permuted_string(stem, "name", key, NAME), last)).otherwise(t)
 
-    named = _let(tokens, lambda ts: F.transform(ts, lambda t, i: token(t, (i == 0) & (F.size(ts) > 1))))
-    return F.concat(title, F.array_join(named, " "))
+    return F.concat(said, F.array_join(F.transform(tokens, token), " "))
 
 
-def _secret(e: Column, key: str) -> Column:
-    new = _permuted_string(F.lower(e), "secret", key, HEX)
+def _key(e: Column, key: str) -> Column:
+    prefix = F.regexp_extract(e, "^(AKIA|[a-z]{2,5}[-_])", 1)
+    return F.concat(prefix, _permuted_string(F.substring(e, F.length(prefix) + 1, F.length(e)), "key", key, KEY))
+
+
+def _hexadecimal(e: Column, label: str, key: str) -> Column:
+    new = _permuted_string(F.lower(e), label, key, HEX)
     return F.when(e.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
 _SURROGATES = {
     "email": _email,
-    "secret": _secret,
+    "key": _key,
+    "secret": lambda e, key: _hexadecimal(e, "secret", key),
     "ssn": lambda e, key: _permuted_string(e, "ssn", key, DIGITS),
+    "ipv6": lambda e, key: _hexadecimal(e, "ipv6", key),
     "ip": _ip,
     "phone": _phone,
     "card": _card,
@@ -222,7 +246,7 @@ _SURROGATES = {
 
 
 def _kind(e: Column) -> Column:
-    out = F.lit(None).cast("string")
+    out = _text("name")  # a mention, which no pattern describes
     for kind in reversed(KINDS):
         out = F.when(e.rlike(f"^(?:{kind.pattern})$"), F.lit(kind.name)).otherwise(out)
     return out
@@ -237,6 +261,25 @@ def _pieces(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.split(marked, MARK, -1)).otherwise(F.array(escaped))
 
 
+def _is_entity(i: Column) -> Column:
+    return F.pmod(i, F.lit(2)) == 1
+
+
+def _with_mentions(pieces: Column) -> Column:
+    """The pieces cut again where a single name of an entity among them stands as a word of its own."""
+    said = F.transform(F.filter(pieces, lambda p, i: _is_entity(i) & p.rlike(f"^{_INTRODUCED}")), lambda e: F.substring(e, F.length(_introduction(e)) + 1, F.length(e)))
+    names = F.array_distinct(F.filter(F.flatten(F.transform(said, lambda n: F.split(n, " "))), lambda t: t.rlike(r"^\p{Lu}")))
+
+    def cut(names: Column) -> Column:
+        # Names hold letters, apostrophes and hyphens only, so nothing needs quoting.
+        mention = F.concat(_text(_WORD_START + r"(?=\p{Lu})(?:"), F.array_join(names, "|"), _text(")" + _WORD_END))
+        again = lambda p: F.regexp_replace(p, mention, F.lit(f"{MARK}$0{MARK}"))
+        marked = F.transform(pieces, lambda p, i: F.when(_is_entity(i), F.concat(_text(MARK), p, _text(MARK))).otherwise(again(p)))
+        return F.when(F.size(names) > 0, F.split(F.array_join(marked, ""), MARK, -1)).otherwise(pieces)
+
+    return _let(names, cut)
+
+
 def _surrogate(e: Column, key: str) -> Column:
     def of(kind: Column) -> Column:
         out = e
@@ -257,16 +300,16 @@ def _once(frame: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def _replaced(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, str, str]:
-    """All columns and two more, whose names are given: kind, entity and surrogate of every entity in order, and the new text."""
-    pieces, found, new_text = (free_name(docs, name) for name in ("_pieces", "_found", "_new"))
+    """All columns and more, two of whose names are given: kind, entity and surrogate of every entity in order, and the new text."""
+    first, pieces, found, new_text = (free_name(docs, name) for name in ("_first", "_pieces", "_found", "_new"))
     source = F.col(f"`{text}`")
-    with_pieces = _once(docs, _pieces(source), pieces)
-    entities = F.filter(pieces, lambda p, i: F.pmod(i, F.lit(2)) == 1)
+    with_pieces = _once(_once(docs, _pieces(source), first), _with_mentions(F.col(first)), pieces).drop(first)
+    entities = F.filter(pieces, lambda p, i: _is_entity(i))
     with_found = _once(with_pieces, F.transform(entities, lambda e: _surrogate(e, key)), found)
     new = F.array_join(
         F.transform(
             pieces,
-            lambda p, i: F.when(F.pmod(i, F.lit(2)) == 1, F.element_at(found, ((i + 1) / 2).cast("int"))["surrogate"]).otherwise(p),
+            lambda p, i: F.when(_is_entity(i), F.element_at(found, ((i + 1) / 2).cast("int"))["surrogate"]).otherwise(p),
         ),
         "",
     )
