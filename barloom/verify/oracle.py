@@ -43,6 +43,12 @@ bars as (
   from (select *, max(trade_date) over (partition by ticker) as newest from all_bars)
   where not (trade_date = newest and cast(substr(ticker, 2) as bigint) % 7 = 0))"""
 
+# A merge makes the stocks of its batch active, as `stock_upsert` has it.
+MERGED_STOCKS = f"""
+merged_stocks as (
+  select * replace (is_active or ticker in (select ticker from all_bars where trade_date >= {OVERLAP}) as is_active)
+  from stocks)"""
+
 GAPPED = """
 gapped as (
   select ticker, trade_date,
@@ -605,7 +611,7 @@ from seen s left join fed on fed.ticker = s.ticker group by moment, s.ticker, fe
 from stocks left join (
   select ticker, count(*) as n_bars, max(trade_date) as latest_trade_date from bars group by ticker)
 using (ticker) where is_active""",
-    "maintained_watchlist": _with(RESTATED, STOCKS, LATEST) + _watchlist("stocks"),
+    "maintained_watchlist": _with(RESTATED, STOCKS, MERGED_STOCKS, LATEST) + _watchlist("merged_stocks"),
     "maintained_latest_dates": _with(RESTATED)
     + "select ticker, max(trade_date) as latest_trade_date from bars group by ticker",
     "run_log_compacted": _with(BARS, STOCKS, RUNS) + "select * from runs",

@@ -32,6 +32,16 @@ def test_query_equals_sql(spark, con, name):
     assert differences(spark, con, SMALL, lambda *_: frame, ORACLE[name]) == []
 
 
+def test_a_merge_lists_inactive_stocks_again(spark):
+    """The smallest tables have no inactive stock."""
+    name, folder = "maintained_watchlist", SMALL.replace("0.001", "0.01")
+    connection = duck(folder)
+    inactive = connection.execute("select count(*) from supplier where s_acctbal < 0").fetchone()[0]
+    assert inactive > 0
+    assert differences(spark, connection, folder, REGISTRY[name], ORACLE[name]) == []
+    connection.close()
+
+
 def test_entry(spark):
     import __spark_entry__ as contract
 
