@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.calendar import within
-from barloom.operators.quality import BAR_RULES, COMPANY_NAME, assess, split, ticker_is_bad
+from barloom.operators.quality import BAR_RULES, COMPANY_NAME, assess, duplicate_keys, split, ticker_is_bad
 from barloom.operators.runlog import (
     CLOSED,
     OPENED,
@@ -327,12 +327,16 @@ def seed(
     parsed = tables.stage(judged, job_id, "parsed")
     valid = split(parsed.drop("parse_errors", "fault")).valid
     received = valid.count()
+    # Whole rows are shuffled by key only where a key is repeated.
+    repeated = tables.stage(duplicate_keys(valid).select(*BAR_KEY), job_id, "repeated")
+    single = valid.join(repeated, BAR_KEY, "left_anti").select(*BAR_COLUMNS)
+    one_each = last_wins(valid.join(repeated, BAR_KEY, "left_semi").select(*BAR_COLUMNS), BAR_KEY, [])
     done = _job_event(
         tables, job_id, provider, at, None, CLOSED, "succeeded", (clock or (lambda: at))(), received
     )
     instants = [now.alias(name) for name in ("ingested_at", "created_at", "updated_at")]
     tables.load(
-        last_wins(valid, BAR_KEY, []).select(*BAR_COLUMNS, *instants),
+        single.unionByName(one_each.select(*BAR_COLUMNS)).select(*BAR_COLUMNS, *instants),
         stocks.select(*STOCK_COLUMNS, "is_active", *instants[1:]),
         done,
     )

@@ -394,3 +394,31 @@ def test_bucketed_copy_needs_no_shuffle(spark, folder, make_bars):
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert rows.count() == 15
     spark.sql("drop table bars_bucketed")
+
+
+def test_a_seed_shuffles_whole_rows_of_repeated_keys_only(spark, folder, make_bars, make_stocks, monkeypatch):
+    from barloom.plans import ingest as plan
+
+    seen = []
+
+    def counted(rows, key, arrival):
+        seen.append(rows.count())
+        return last_wins(rows, key, arrival)
+
+    last_wins = plan.last_wins
+    monkeypatch.setattr(plan, "last_wins", counted)
+    tables = MarketTables(spark, folder, grain="month").create()
+    bars = make_bars(
+        *[bar_row("AAA", f"2026-08-{d:02}") for d in range(1, 21)], bar_row("AAA", "2026-08-20", price=120), bar_row("BBB", "2026-08-20")
+    )
+    plan.seed(tables, bars, make_stocks(("AAA",), ("BBB",)), provider="feed", job_id="seed", at=dt.datetime(2026, 8, 21, tzinfo=dt.UTC))
+    assert seen == [2]
+    held = {(r.ticker, r.trade_date.day): int(r.close) for r in tables.bars().collect()}
+    assert len(held) == 21 and held["AAA", 20] == 120 and held["AAA", 19] == 100 and held["BBB", 20] == 100
+
+
+def test_bars_of_the_test_tables_are_shuffled_once(spark):
+    from barloom.sources import fixtures
+
+    plan = fixtures.bars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
