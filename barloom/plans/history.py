@@ -91,12 +91,16 @@ def request_rows(resolved: DataFrame, bars: DataFrame) -> DataFrame:
     wanted = resolved.where("listed").select(
         "request_id", "ticker", "company_name", "start", "date_to", "row_limit"
     )
-    newest_first = W.partitionBy("request_id").orderBy(F.desc("trade_date"))
-    return (
-        bars_for_requests(wanted, bars.select("ticker", *BAR_FACTS))
+    offered = bars.select("ticker", *BAR_FACTS)
+    # Only requests with a limit are ranked, where the join has put them.
+    newest_first = W.partitionBy("ticker", "slice", "request_id").orderBy(F.desc("trade_date"))
+    limited = (
+        bars_for_requests(wanted.where(F.col("row_limit").isNotNull()), offered, keep_slice=True)
         .withColumn("rank", F.row_number().over(newest_first))
-        .where(F.col("row_limit").isNull() | (F.col("rank") <= F.col("row_limit")))
+        .where(F.col("rank") <= F.col("row_limit"))
+        .drop("rank", "slice")
     )
+    return bars_for_requests(wanted.where(F.col("row_limit").isNull()), offered).unionByName(limited)
 
 
 def prune_to_requests(bars: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -182,3 +182,17 @@ def test_run_log(spark):
     newest = runlog.latest_run(events).first()
     assert (newest.provider, newest.status) == ("feed", "failed")
     assert runlog.latest_run(events.limit(0)).count() == 0
+
+
+def test_few_requests_of_a_symbol_take_one_copy_of_its_bars(spark, make_bars):
+    from barloom.operators.joins import bars_for_requests
+
+    bars = make_bars(*[bar_row("AAA", f"2026-08-{d:02}") for d in range(1, 21)])
+    asked = spark.range(40).selectExpr(
+        "id as request_id", "'AAA' as ticker", "cast(null as date) as start", "date'2026-08-10' as date_to"
+    )
+    one = bars_for_requests(asked.where("request_id < 20"), bars, keep_slice=True)
+    many = bars_for_requests(asked, bars, keep_slice=True)
+    assert one.select("slice").distinct().count() == 1 < many.select("slice").distinct().count()
+    assert one.count() == 200 and many.count() == 400
+    assert one.drop("slice").exceptAll(many.drop("slice")).isEmpty()
