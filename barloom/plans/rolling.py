@@ -20,6 +20,8 @@ from barloom.session import with_package
 
 #: Sessions of a frame, and values it needs for a result.
 WINDOW, LEAST = 120, 20
+#: Least number of parts into which symbols are dealt for sorts of whole series.
+PARTS = 256
 
 
 def raw_series(bars: DataFrame, unit: str = "shares") -> DataFrame:
@@ -34,7 +36,9 @@ def rolling_zscore(series: DataFrame, window: int = WINDOW, least: int = LEAST)
     block and the start of the next, so it takes moments that run forward within blocks,
     those that run backward, and one step that joins the two (Chan's formula): constant
     work per row whatever the window, and no difference of large sums, so
-    a frame of small values is exact after a large one has left it. All in one shuffle by symbol.
+    a frame of small values is exact after a large one has left it. All in one shuffle by symbol, into a
+    fixed number of parts: the adaptive planner would merge them by the size of the narrow input, and
+    the sorts of a task hold several times that.
 
     A frame of fewer than `least` values has NULLs; one of equal values has
     deviation 0 and a NULL z-score.
@@ -55,11 +59,15 @@ def rolling_zscore(series: DataFrame, window: int = WINDOW, least: int = LEAST)
             F.max(value).over(frame).alias("high"),
         )
 
+    # Backward first: forward and the step between blocks then share one sort.
     block = W.partitionBy("ticker", "block").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cut = series.select("ticker", "trade_date", "raw", F.floor(place / window).alias("block"), (place % window).alias("at"))
-    both = cut.withColumns(
-        {"forward": moments(block.orderBy("trade_date")), "backward": moments(block.orderBy(F.desc("trade_date")))}
-    ).withColumn("rest", F.when(F.col("at") < window - 1, F.lag("backward", window - 1).over(in_order)))
+    by_block = W.partitionBy("ticker").orderBy("block", "trade_date")
+    parts = max(PARTS, int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = series.repartition(parts, "ticker").select("ticker", "trade_date", "raw", F.floor(place / window).alias("block"), (place % window).alias("at"))
+    backward = cut.withColumn("backward", moments(block.orderBy(F.desc("trade_date"))))
+    both = backward.withColumn("forward", moments(block.orderBy("trade_date"))).withColumn(
+        "rest", F.when(F.col("at") < window - 1, F.lag("backward", window - 1).over(by_block))
+    )
 
     def part(name: str, field: str) -> Column:
         return F.coalesce(F.col(name)[field], F.lit(0.0))

@@ -128,3 +128,9 @@ def test_missing_sessions(spark, make_bars):
         ("CCC", day(5), None, day(6), day(11), 4),
     ]
     assert missing_sessions(bars.where("false")).count() == 0
+
+
+def test_zscore_sorts_whole_series_three_times_in_a_fixed_number_of_parts(spark):
+    series = spark.createDataFrame([("AAA", dt.date(2026, 8, 20), 1.0)], "ticker string, trade_date date, raw double")
+    plan = rolling_zscore(series)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Sort [") == 3 and plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
