@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.parsing import parse_iso_date, parse_number, strip
-from barloom.functions.variants import computed_once, field, is_object, list_field, text_field
+from barloom.functions.variants import computed_once, field, is_object, objects_field, text_field
 from barloom.operators.quality import text_is_blank, ticker_is_bad
 from barloom.schema import FACTS, OPTIONAL_FACTS, REQUIRED_FACTS, STOCK_COLUMNS
 
@@ -106,8 +106,8 @@ def landing_files(
 def _bar_fields(item: Column, date_field: str, names: dict[str, str]) -> list[Column]:
     """Raw text of each provider field, before conversion."""
     return [
-        text_field(item, date_field).alias("raw_trade_date"),
-        *[text_field(item, source).alias(f"raw_{name}") for name, source in names.items()],
+        item[date_field].alias("raw_trade_date"),
+        *[item[source].alias(f"raw_{name}") for name, source in names.items()],
     ]
 
 
@@ -155,7 +155,7 @@ def _explode_objects(docs: DataFrame, keep: list[str]) -> DataFrame:
         *keep,
         "fault",
         F.posexplode_outer(F.when(readable, F.col("items"))).alias("position", "item"),
-    ).where(~readable | is_object(F.col("item")))
+    ).where(~readable | F.col("item").isNotNull())
 
 
 def _kind_of_document(doc: Column) -> Column:
@@ -188,7 +188,7 @@ def read_history(payloads: DataFrame, source: str) -> Feed:
         given_name=text_field(history, "name"),
         unit=text_field(history, "unit"),
         has_items=field(history, "items").isNotNull(),
-        items=list_field(history, "items"),
+        items=objects_field(history, "items", [HISTORY_DATE, *HISTORY_FIELDS.values()]),
     ).withColumn("company_name", F.coalesce("given_name", "ticker"))
     checked = fields.withColumn(
         "fault",
@@ -221,7 +221,7 @@ def read_summary(payloads: DataFrame, source: str) -> Feed:
         arrival,
         document_fault=_kind_of_document(doc),
         has_rows=field(doc, "data").isNotNull(),
-        items=list_field(doc, "data"),
+        items=objects_field(doc, "data", [SUMMARY_NAME, SUMMARY_DATE, *SUMMARY_FIELDS.values()], (SUMMARY_CODE,)),
     ).select(
         *arrival,
         F.coalesce(
@@ -232,14 +232,14 @@ def read_summary(payloads: DataFrame, source: str) -> Feed:
     items = _explode_objects(docs, arrival)
     item = F.col("item")
     # Absent code: blank, and so a bad ticker. No code at all where there is no item.
-    code = F.when(
-        item.isNotNull() & field(item, SUMMARY_CODE).isNull(), F.lit("")
-    ).otherwise(text_field(item, SUMMARY_CODE))
+    code = F.when(item.isNotNull() & item[SUMMARY_CODE].isNull(), F.lit("")).otherwise(
+        F.try_variant_get(item[SUMMARY_CODE], "$", "string")
+    )
     raw = items.select(
         *ARRIVAL,
         "fault",
         F.upper(code).alias("ticker"),
-        text_field(item, SUMMARY_NAME).alias("given_name"),
+        item[SUMMARY_NAME].alias("given_name"),
         F.lit(None).cast("string").alias("sector"),
         F.lit(None).cast("string").alias("subsector"),
         *_bar_fields(item, SUMMARY_DATE, SUMMARY_FIELDS),

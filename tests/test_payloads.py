@@ -170,3 +170,9 @@ def test_payload_is_parsed_once(spark):
     feed = read_history(landed(spark, HISTORY), "feed")
     plan = feed.rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1
+
+
+def test_fields_of_an_element_are_taken_in_one_step(spark):
+    feed = read_history(landed(spark, {"code": "AAA", "items": []}), "feed")
+    plan = feed.parsed._jdf.queryExecution().analyzed().toString()
+    assert "$.items" in plan and "$.close" not in plan
