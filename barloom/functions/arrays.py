@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def non_null(values: list[Column]) -> Column:
+    """The values that are not NULL, as an array; rows without any build no array."""
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(*values).isNotNull(), F.array_compact(F.array(*values))).otherwise(none)
+
+
 def last_of(values: Column) -> Column:
     """Last element; NULL for an empty array."""
     return F.try_element_at(values, F.lit(-1))

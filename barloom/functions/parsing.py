@@ -25,7 +25,8 @@ def parse_number(text: Column, kind: T.DataType) -> Column:
 
 def parse_iso_date(text: Column) -> Column:
     """Date of an ISO date or date-time; NULL for text of any other form."""
-    return F.when(text.rlike(ISO_EXTENDED), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")).when(
+    # The extended form is the one that a cast reads, without a formatter.
+    return F.when(text.rlike(ISO_EXTENDED), F.substring(text, 1, 10).try_cast("date")).when(
         text.rlike(ISO_BASIC), F.try_to_date(F.substring(text, 1, 8), "yyyyMMdd")
     )
 

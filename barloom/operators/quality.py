@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.calendar import TIMEFRAMES
-from barloom.functions.parsing import TICKER, TICKER_ANY_CASE, strip
+from barloom.functions.arrays import non_null
+from barloom.functions.parsing import TICKER, TICKER_ANY_CASE
 from barloom.schema import BAR_KEY, OPTIONAL_FACTS, PRICE_COLUMNS, REQUIRED_FACTS
 
 # Bounds of a history request and the states of a run.
@@ -47,7 +48,8 @@ def ticker_is_bad(ticker: Column) -> Column:
 
 
 def text_is_blank(text: Column) -> Column:
-    return F.coalesce(F.length(strip(text)) == 0, F.lit(True))
+    """True for NULL and for text of white space only; the search ends at the first other character."""
+    return F.coalesce(~text.rlike(r"(?U)\S"), F.lit(True))
 
 
 BAR_RULES: list[Rule] = [
@@ -134,7 +136,7 @@ def assess(rows: DataFrame, rules: list[Rule], known: Column | None = None) -> D
         lacking = [name for name in rule.requires if name not in present]
         if lacking:
             raise ValueError(f"rule {rule.name} needs column {lacking[0]}")
-    found = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]))
+    found = non_null([F.when(r.broken(), F.lit(r.name)) for r in rules])
     return rows.withColumn("reasons", found if known is None else F.concat(known, found))
 
 

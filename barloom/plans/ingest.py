@@ -19,7 +19,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,16 +81,32 @@ def accepted_rows(assessed: DataFrame, failures: DataFrame, whole_payloads: bool
     return valid.join(failures, "ticker", "left_anti") if whole_payloads else valid
 
 
-def batch_of(rows: DataFrame) -> DataFrame:
-    """One row per (ticker, trade date) of the batch, the last to arrive, with copies."""
-    return last_wins(rows.select(*ARRIVAL, *BAR_COLUMNS), BAR_KEY, ARRIVAL)
+def key_hash() -> Column:
+    return F.xxhash64(*BAR_KEY).alias("key_hash")
+
+
+def repeated_keys(rows: DataFrame) -> DataFrame:
+    """The hashes that more than one row's key has: of all repeated keys, and by chance of two different ones."""
+    return duplicate_keys(rows.select(key_hash()), ["key_hash"]).select("key_hash")
+
+
+def one_each(rows: DataFrame, repeated: DataFrame, arrival: list[str]) -> DataFrame:
+    """One row per (ticker, trade date), the last to arrive, with copies.
+
+    Whole rows are shuffled by key only where the key's hash is ``repeated``.
+    """
+    hashed = rows.select(*arrival, *BAR_COLUMNS, key_hash())
+    single = hashed.join(repeated, "key_hash", "left_anti").select(*BAR_COLUMNS, F.lit(1).cast("bigint").alias("copies"))
+    several = hashed.join(repeated, "key_hash", "left_semi").select(*arrival, *BAR_COLUMNS)
+    return single.unionByName(last_wins(several, BAR_KEY, arrival).select(*single.columns))
 
 
 def stocks_of(rows: DataFrame) -> DataFrame:
     """The last identity given for each ticker that has a bar in the batch."""
-    return last_wins(rows.select(*ARRIVAL, *STOCK_COLUMNS), ["ticker"], ARRIVAL).select(
-        *STOCK_COLUMNS
-    )
+    # Hashed to one row for each payload and identity before rows are compared as a whole.
+    *payload, position = ARRIVAL
+    last = rows.groupBy(*payload, *STOCK_COLUMNS).agg(F.max(position).alias(position))
+    return last_wins(last, ["ticker"], ARRIVAL).select(*STOCK_COLUMNS)
 
 
 def plan_outcome(
@@ -244,7 +260,7 @@ def _run(
             outcome = tables.staged(job_id, "outcome", OUTCOME)
         else:
             outcome, changes = _plan(
-                base, feed, job_id, at, tickers, date_from, date_to, limit, whole_payloads, coalesce_nulls
+                base, feed, job_id, at, tickers, date_from, date_to, limit, whole_payloads, coalesce_nulls, resume
             )
             opened = open_runs(outcome.select("ticker"), job_id, provider, at, date_to)
             if resume:
@@ -259,23 +275,33 @@ def _run(
 
 
 def _plan(
-    tables, feed, job_id, at, tickers, date_from, date_to, limit, whole_payloads, coalesce_nulls
+    tables, feed, job_id, at, tickers, date_from, date_to, limit, whole_payloads, coalesce_nulls, resume
 ) -> tuple[DataFrame, object]:
-    """Stage the merged periods, the merged stocks and, last, the outcome of every symbol; it, and what to publish."""
+    """Stage the merged periods, the merged stocks and, last, the outcome of every symbol; it, and what to publish.
+
+    A job whose runs were opened has staged all that it took from its feed; that doesn't depend on the tables
+    and is not worked out again.
+    """
+
+    def stage(rows: DataFrame, name: str) -> DataFrame:
+        if resume and tables.has_staged(job_id, name):
+            return tables.staged(job_id, name, rows.schema)
+        return tables.stage(rows, job_id, name)
+
     asked = _asked_for(feed.parsed, tickers, date_from, date_to)
     rules = [*BAR_RULES, COMPANY_NAME]
-    parsed = tables.stage(assess(asked, rules, known=F.col("parse_errors")), job_id, "parsed")
+    parsed = stage(assess(asked, rules, known=F.col("parse_errors")), "parsed")
     rejects = Feed(parsed).rejects
     assessed = parsed.where(F.col("fault").isNull())
     if limit is not None:
-        assessed = tables.stage(pull_window(assessed, limit=limit), job_id, "pulled")
+        assessed = stage(pull_window(assessed, limit=limit), "pulled")
     failures = failures_of(assessed, rejects, whole_payloads)
     accepted = accepted_rows(assessed, failures, whole_payloads)
-    batch = tables.stage(batch_of(accepted), job_id, "batch")
+    batch = stage(one_each(accepted, stage(repeated_keys(accepted), "repeated"), ARRIVAL), "batch")
     periods = tables.touched_periods(batch)
     stored = tables.bars_in(periods)
     # Only the slots of the batch are read and rewritten.
-    fresh = stocks_of(accepted).withColumn("ticker_slot", tables.slot_of(F.col("ticker")))
+    fresh = stage(stocks_of(accepted).withColumn("ticker_slot", tables.slot_of(F.col("ticker"))), "identities")
     slots = [r.ticker_slot for r in fresh.select("ticker_slot").distinct().collect()]
     changes = tables.stage_merge(
         job_id,
@@ -327,16 +353,13 @@ def seed(
     parsed = tables.stage(judged, job_id, "parsed")
     valid = split(parsed.drop("parse_errors", "fault")).valid
     received = valid.count()
-    # Whole rows are shuffled by key only where a key is repeated.
-    repeated = tables.stage(duplicate_keys(valid).select(*BAR_KEY), job_id, "repeated")
-    single = valid.join(repeated, BAR_KEY, "left_anti").select(*BAR_COLUMNS)
-    one_each = last_wins(valid.join(repeated, BAR_KEY, "left_semi").select(*BAR_COLUMNS), BAR_KEY, [])
+    held = one_each(valid, tables.stage(repeated_keys(valid), job_id, "repeated"), [])
     done = _job_event(
         tables, job_id, provider, at, None, CLOSED, "succeeded", (clock or (lambda: at))(), received
     )
     instants = [now.alias(name) for name in ("ingested_at", "created_at", "updated_at")]
     tables.load(
-        single.unionByName(one_each.select(*BAR_COLUMNS)).select(*BAR_COLUMNS, *instants),
+        held.select(*BAR_COLUMNS, *instants),
         stocks.select(*STOCK_COLUMNS, "is_active", *instants[1:]),
         done,
     )

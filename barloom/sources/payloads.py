@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.arrays import non_null
 from barloom.functions.parsing import parse_iso_date, parse_number, strip
 from barloom.functions.variants import computed_once, field, is_object, objects_field, text_field
 from barloom.operators.quality import text_is_blank, ticker_is_bad
@@ -133,14 +134,13 @@ def _typed(rows: DataFrame, names: dict[str, str], source: str) -> DataFrame:
     faults += [fault(name, True) for name in REQUIRED_FACTS]
     faults += [fault(name, False) for name in OPTIONAL_FACTS if name in names]
     readable = F.col("fault").isNull()
-    none = F.array().cast("array<string>")
     return typed.select(
         *ARRIVAL,
         *STOCK_COLUMNS,
         "trade_date",
         *FACTS,
         strip(F.lit(source)).alias("source"),
-        F.when(readable, F.array_compact(F.array(*faults))).otherwise(none).alias("parse_errors"),
+        non_null([F.when(readable, fault) for fault in faults]).alias("parse_errors"),
         "fault",
     )
 

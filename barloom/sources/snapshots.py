@@ -264,11 +264,16 @@ class SnapshotTables(MarketTables):
         bars = self.write("bars", placed.select(*stored_bar(self.grain).fieldNames()), self.period, BAR_KEY, touched)
         return [bars, *self._index(bars)]
 
+    def _written(self, bars: Change) -> DataFrame:
+        """The bars of a folder that may not be live yet."""
+        return self.spark.read.schema(stored_bar(self.grain)).parquet(self.path(f"bars/commit={bars.folder}"))
+
     def _index(self, bars: Change) -> list[Change]:
         if not bars.written:
             return []
-        rows = self.spark.read.schema(stored_bar(self.grain)).parquet(self.path(f"bars/commit={bars.folder}"))
-        ranges = rows.groupBy(F.col(self.period).alias("period"), F.col("_metadata.file_name").alias("file")).agg(
+        # Hashed to one row for each file and ticker before texts are compared.
+        held = self._written(bars).select(F.col(self.period).alias("period"), F.col("_metadata.file_name").alias("file"), "ticker").distinct()
+        ranges = held.groupBy("period", "file").agg(
             F.min("ticker").alias("least"), F.max("ticker").alias("greatest")
         )
         return [self.write("files", ranges.select(F.lit(bars.folder).alias("live"), "period", "file", "least", "greatest"), None, [])]
@@ -349,7 +354,8 @@ class SnapshotTables(MarketTables):
 
     def stage_merge(self, job_id: str, batch: DataFrame, bars: DataFrame, stocks: DataFrame, slots: list[int]) -> list[Change]:
         """The folders of a planned job. Called on a pinned object, which is what the plan has read."""
-        fresh = batch.select(*RECENT_COLUMNS)
+        # A held session that the batch restates beyond its own newest ones is not among the newest any more.
+        fresh = self.stage(newest_rows(batch.select(*RECENT_COLUMNS), RECENT_DEPTH), job_id, "newest")
         held = self.recent(slots).join(fresh.select(*BAR_KEY), BAR_KEY, "left_anti")
         return [*self.write_bars(bars), self.write_stocks(stocks), self.write_recent(held.unionByName(fresh))]
 
@@ -361,8 +367,9 @@ class SnapshotTables(MarketTables):
 
     def load(self, bars: DataFrame, stocks: DataFrame, done: DataFrame) -> None:
         """The first load, in one commit."""
-        base = self.newest()
-        self.commit(base, [*self.write_bars(bars), self.write_stocks(stocks), self.write_recent(bars), self.write_runs(done)])
+        base, held = self.newest(), self.write_bars(bars)
+        recent = self._written(held[0]) if held[0].written else bars
+        self.commit(base, [*held, self.write_stocks(stocks), self.write_recent(recent), self.write_runs(done)])
 
     def overwrite_bars(self, bars: DataFrame) -> None:
         raise NotImplementedError("bars, stocks and newest sessions change together: use commit()")

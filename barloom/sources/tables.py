@@ -172,10 +172,15 @@ class MarketTables:
     def drop_staged(self, job_id: str) -> None:
         """Remove what a closed job no longer needs; its parsed rows stay for :func:`quarantine`."""
         jvm = self.spark._jvm
-        for name in ("pulled", "batch", "merged_bars", "merged_stocks", "outcome"):
+        for name in ("pulled", "repeated", "batch", "identities", "newest", "gone", "merged_bars", "merged_stocks", "outcome"):
             path = jvm.org.apache.hadoop.fs.Path(self.path(f"staging/{job_id}/{name}"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def has_staged(self, job_id: str, name: str) -> bool:
+        """Whether an intermediate result was written to its end."""
+        marker = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(f"staging/{job_id}/{name}/_SUCCESS"))
+        return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
     def staged(self, job_id: str, name: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(f"staging/{job_id}/{name}"))
 

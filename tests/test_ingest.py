@@ -422,3 +422,41 @@ def test_bars_of_the_test_tables_are_shuffled_once(spark):
 
     plan = fixtures.bars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_a_batch_shuffles_whole_rows_of_repeated_keys_only(tables, landed, monkeypatch):
+    from barloom.plans import ingest as plan
+
+    seen, last_wins = [], plan.last_wins
+
+    def counted(rows, key, arrival):
+        if key == ["ticker", "trade_date"]:
+            seen.append(rows.count())
+        return last_wins(rows, key, arrival)
+
+    monkeypatch.setattr(plan, "last_wins", counted)
+    frame = landed(payload("AAA", *august(20), item("2026-08-20", 120)), payload("BBB", item("2026-08-20")))
+    assert counts(run(tables, frame, "one")) == {"AAA": ("succeeded", 21, 20, 1), "BBB": ("succeeded", 1, 1, 0)}
+    assert seen == [2]
+    held = {(r.ticker, r.trade_date.day): int(r.close) for r in tables.bars().collect()}
+    assert len(held) == 21 and held["AAA", 20] == 120 and held["AAA", 19] == 100
+
+
+def test_keys_of_one_hash_stay_apart(spark, make_bars):
+    from barloom.plans.ingest import key_hash, one_each
+
+    bars = make_bars(bar_row("AAA", "2026-08-20"), bar_row("BBB", "2026-08-20"), bar_row("BBB", "2026-08-20", price=120))
+    suspected = bars.select(key_hash()).distinct()
+    held = {r.ticker: (int(r.close), r.copies) for r in one_each(bars, suspected, []).collect()}
+    assert held == {"AAA": (100, 1), "BBB": (120, 2)}
+
+
+def test_rules_run_no_lambda_on_sound_rows(make_bars):
+    """A lambda is interpreted for every row; a row that breaks no rule takes the constant."""
+    from barloom.operators.quality import BAR_RULES, assess
+
+    made = assess(make_bars(bar_row("AAA", "2026-08-20"), bar_row("BBB", "2026-08-20", price=0, source=" \t")), BAR_RULES)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN isnotnull(coalesce(") < plan.index("filter(")
+    found = {r.ticker: r.reasons for r in made.collect()}
+    assert found["AAA"] == [] and "open_not_positive" in found["BBB"] and found["BBB"][-1] == "blank_source"

@@ -192,3 +192,30 @@ def test_the_run_log_stays_small(spark, folder):
     folders = len(glob.glob(made.path("runs").removeprefix("file:") + "/commit=*"))
     assert made.vacuum(keep=1) > 0 and current_state(made.runs()).count() == 48
     assert len(glob.glob(made.path("runs").removeprefix("file:") + "/commit=*")) < folders
+
+
+def test_a_job_that_is_run_again_does_not_read_its_feed_again(tables, feed, monkeypatch):
+    late = feed(AAA=[item("2026-08-20", 90), item("2026-08-21")], DDD=[item("2026-08-21")])
+    real, staged = SnapshotTables.publish, []
+
+    def stops(self, *args):
+        raise OSError("driver lost")
+
+    monkeypatch.setattr(SnapshotTables, "publish", stops)
+    with pytest.raises(OSError):
+        ingest(tables, late, provider="feed", job_id="late", at=T1)
+    monkeypatch.setattr(SnapshotTables, "publish", real)
+    write = SnapshotTables.stage
+    monkeypatch.setattr(SnapshotTables, "stage", lambda self, rows, job, name: staged.append(name) or write(self, rows, job, name))
+    runs = {r.ticker: (r.status, r.rows_inserted, r.rows_updated) for r in ingest(tables, late, provider="feed", job_id="late", at=T1).collect()}
+    assert runs == {"AAA": ("succeeded", 1, 1), "DDD": ("succeeded", 1, 0)}
+    assert not {"parsed", "repeated", "batch", "identities"} & set(staged) and "outcome" in staged
+    agrees(tables)
+
+
+def test_newest_sessions_after_a_long_restatement(tables, feed):
+    """The batch restates more sessions of a symbol than are kept, and an old one of another."""
+    days = [dt.date(2026, 5, 1) + dt.timedelta(days=i) for i in range(60)]
+    late = feed(AAA=[item(str(day), 50) for day in days], BBB=[item("2026-05-04", 70)])
+    ingest(tables, late, provider="feed", job_id="late", at=T1)
+    agrees(tables)
