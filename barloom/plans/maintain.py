@@ -40,7 +40,8 @@ def delete_stocks(tables: SnapshotTables, doomed: DataFrame, *, job_id: str) ->
     Only periods with a bar of theirs are rewritten, the others keep their files. Unknown tickers
     are ignored; if none is known, there is no commit.
     """
-    gone = doomed.select("ticker").distinct()
+    # Written once: its size is known then, so that few stocks needn't shuffle the bars.
+    gone = tables.stage(doomed.select("ticker").distinct(), job_id, "gone")
 
     def plan(base: SnapshotTables) -> list[Change]:
         periods = _distinct(base.bars().join(gone, "ticker", "left_semi"), base.period)
@@ -55,7 +56,9 @@ def delete_stocks(tables: SnapshotTables, doomed: DataFrame, *, job_id: str) ->
             changes += base.write_bars(without_stocks(base.bars_in(periods), gone).drop(base.period), periods)
         return changes
 
-    return _committed(tables, job_id, plan)
+    version = _committed(tables, job_id, plan)
+    tables.drop_staged(job_id)
+    return version
 
 
 def delete_bars(tables: SnapshotTables, keys: DataFrame, *, job_id: str) -> int:
