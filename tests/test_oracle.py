@@ -7,7 +7,7 @@ from conftest import SMALL
 
 from barloom.verify.compare import differences, duck
 from barloom.verify.oracle import ORACLE
-from barloom.verify.queries import REGISTRY
+from barloom.verify.queries import REGISTRY, _instant
 
 # A product of tables, a Python worker, or a sort of everything in one task.
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython")
@@ -42,6 +42,27 @@ def test_a_merge_lists_inactive_stocks_again(spark):
     connection.close()
 
 
+def test_instants_are_utc_text_in_the_hour_that_the_clock_shows_twice(spark):
+    zone, seconds = spark.conf.get("spark.sql.session.timeZone"), [-1, 0, 1730611800, 1730615400, 253402300799]
+    rows = spark.createDataFrame([*enumerate(seconds), (9, None)], "n int, s long").selectExpr("n", "timestamp_seconds(s) as at")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [r.at for r in rows.select("n", _instant("at")).orderBy("n").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [
+        "1969-12-31 23:59:59", "1970-01-01 00:00:00", "2024-11-03 05:30:00", "2024-11-03 06:30:00",
+        "9999-12-31 23:59:59", None,
+    ]
+
+
+@pytest.mark.parametrize("name", ["upsert_merge", "upsert_coalesce_nulls", "upsert_idempotent"])
+def test_an_instant_that_a_merged_row_has_again_is_not_made_text_again(spark, name):
+    plan = REGISTRY[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    # One text for every row; the two others only where the instant differs from the first.
+    assert plan.count("timestampadd(") == 3 and plan.count("ELSE cast(timestampadd(") == 2
+
+
 def test_entry(spark):
     import __spark_entry__ as contract
 
