@@ -63,6 +63,16 @@ def test_an_instant_that_a_merged_row_has_again_is_not_made_text_again(spark, na
     assert plan.count("timestampadd(") == 3 and plan.count("ELSE cast(timestampadd(") == 2
 
 
+@pytest.mark.parametrize("name", ["upsert_merge", "upsert_coalesce_nulls"])
+def test_bars_of_a_merge_are_shuffled_by_key_once_and_not_written(spark, name):
+    frame = REGISTRY[name](spark, SMALL)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Line items by symbol, bars by key; the second use of the bars reads what the first has shuffled.
+    assert plan.count("ReusedExchange") == 1 and plan.count("FileScan") == 1 and "lineitem" in plan
+    assert "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as contract
 
