@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from barloom.functions.calendar import within
 from barloom.operators.quality import BAR_RULES, COMPANY_NAME, assess, duplicate_keys, split, ticker_is_bad
+from barloom.operators.ranges import period_of
 from barloom.operators.runlog import (
     CLOSED,
     OPENED,
@@ -32,7 +33,7 @@ from barloom.operators.runlog import (
     current_state,
     open_runs,
 )
-from barloom.operators.upsert import as_instant, last_wins, merge_bars, merge_counts, merge_stocks
+from barloom.operators.upsert import as_instant, inserted_bars, last_wins, merge_bars, merge_counts, merge_stocks
 from barloom.schema import BAR_COLUMNS, BAR_KEY, RUN_EVENT, STOCK_COLUMNS
 from barloom.sources.payloads import ARRIVAL, Feed
 from barloom.sources.providers import pull_window
@@ -50,6 +51,8 @@ OUTCOME = T.StructType(
     ]
 )
 UNKNOWN_TICKER = "?"
+#: What a job takes from its feed. With all of it staged, the parsed rows go.
+TAKEN = ["quarantined", "seen", "failures", "batch", "identities"]
 
 
 class IngestError(RuntimeError):
@@ -110,7 +113,7 @@ def stocks_of(rows: DataFrame) -> DataFrame:
 
 
 def plan_outcome(
-    assessed: DataFrame,
+    symbols: DataFrame,
     failures: DataFrame,
     counts: DataFrame,
     tickers: DataFrame | None = None,
@@ -122,7 +125,7 @@ def plan_outcome(
     no failure.
     """
     named = F.coalesce(F.nullif("ticker", F.lit("")), F.lit(UNKNOWN_TICKER)).alias("ticker")
-    seen = assessed.select(named).distinct()
+    seen = symbols.select(named).distinct()
     outcome = counts.join(failures, "ticker", "full_outer").join(seen, "ticker", "full_outer")
     if tickers is not None:
         absent = F.when(F.col("found").isNull(), F.lit("no payload for ticker"))
@@ -280,43 +283,66 @@ def _plan(
     """Stage the merged periods, the merged stocks and, last, the outcome of every symbol; it, and what to publish.
 
     A job whose runs were opened has staged all that it took from its feed; that doesn't depend on the tables
-    and is not worked out again.
+    and is not worked out again. The bars lie on disk in as few copies as a rerun allows: the parsed rows go when all is
+    taken from them, the batch once it is merged.
     """
+    taken = resume and all(tables.has_staged(job_id, name) for name in TAKEN)
 
-    def stage(rows: DataFrame, name: str) -> DataFrame:
-        if resume and tables.has_staged(job_id, name):
-            return tables.staged(job_id, name, rows.schema)
-        return tables.stage(rows, job_id, name)
+    def first(rows: DataFrame, name: str) -> DataFrame:
+        return rows if taken else tables.stage(rows, job_id, name)
+
+    def stage(rows: DataFrame, name: str, *partition: str) -> DataFrame:
+        return tables.staged(job_id, name, rows.schema) if taken else tables.stage(rows, job_id, name, *partition)
 
     asked = _asked_for(feed.parsed, tickers, date_from, date_to)
     rules = [*BAR_RULES, COMPANY_NAME]
-    parsed = stage(assess(asked, rules, known=F.col("parse_errors")), "parsed")
-    rejects = Feed(parsed).rejects
+    parsed = first(assess(asked, rules, known=F.col("parse_errors")), "parsed")
+    stage(not_accepted(parsed), "quarantined")
     assessed = parsed.where(F.col("fault").isNull())
     if limit is not None:
-        assessed = stage(pull_window(assessed, limit=limit), "pulled")
-    failures = failures_of(assessed, rejects, whole_payloads)
+        assessed = first(pull_window(assessed, limit=limit), "pulled")
+    seen = stage(assessed.select("ticker").distinct(), "seen")
+    failures = stage(failures_of(assessed, Feed(parsed).rejects, whole_payloads), "failures")
     accepted = accepted_rows(assessed, failures, whole_payloads)
-    batch = stage(one_each(accepted, stage(repeated_keys(accepted), "repeated"), ARRIVAL), "batch")
-    periods = tables.touched_periods(batch)
-    stored = tables.bars_in(periods)
+    parts = [] if taken else tables.merge_parts(job_id, tables.touched_periods(accepted))
+    single = one_each(accepted, first(repeated_keys(accepted), "repeated"), ARRIVAL)
+    batch = stage(single.withColumn("merge_part", merge_part(tables, parts)), "batch", "merge_part")
+    if taken:
+        parts = tables.merge_parts(job_id, tables.touched_periods(batch))
+    stored = tables.bars_in([period for part in parts for period in part])
     # Only the slots of the batch are read and rewritten.
     fresh = stage(stocks_of(accepted).withColumn("ticker_slot", tables.slot_of(F.col("ticker"))), "identities")
+    tables.drop(job_id, ["parsed", "pulled", "repeated"])
     slots = [r.ticker_slot for r in fresh.select("ticker_slot").distinct().collect()]
     changes = tables.stage_merge(
         job_id,
         batch,
-        merge_bars(stored, batch, at, coalesce_nulls),
+        parts,
+        lambda held, rows: inserted_bars(rows, at) if held.isEmpty() else merge_bars(held, rows, at, coalesce_nulls),
         merge_stocks(tables.stocks_in(slots), fresh, at, coalesce_nulls),
         slots,
     )
     counts = merge_counts(batch, stored)
-    return tables.stage(plan_outcome(assessed, failures, counts, tickers), job_id, "outcome"), changes
+    outcome = tables.stage(plan_outcome(seen, failures, counts, tickers), job_id, "outcome")
+    tables.drop_taken(job_id)
+    return outcome, changes
+
+
+def merge_part(tables: MarketTables, parts: list[list[int]]) -> Column:
+    """The number of the part of periods in which a row is merged; parts are in order."""
+    period = period_of(F.col("trade_date"), tables.grain)
+    return sum(((period >= part[0]).cast("int") for part in parts[1:]), F.lit(0))
+
+
+def not_accepted(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("fault").isNotNull() | (F.size("reasons") > 0))
 
 
 def quarantine(tables: MarketTables, job_id: str) -> DataFrame:
     """The rows a job did not accept, each with its reasons; a rejected payload is one row with its fault."""
-    rows = tables.spark.read.parquet(tables.path(f"staging/{job_id}/parsed"))
+    # Parsed rows go only when those that weren't accepted have been written for themselves.
+    held = "parsed" if tables.has_staged(job_id, "parsed") else "quarantined"
+    rows = not_accepted(tables.spark.read.parquet(tables.path(f"staging/{job_id}/{held}")))
     faulty = F.col("fault").isNotNull()
     reasons = F.when(faulty, F.array("fault")).otherwise(F.col("reasons"))
     rows = rows.withColumn("reasons", reasons)
@@ -351,6 +377,7 @@ def seed(
     judged = assess(bars.select(*BAR_COLUMNS), BAR_RULES)
     judged = judged.withColumns({"parse_errors": none, "fault": F.lit(None).cast("string")})
     parsed = tables.stage(judged, job_id, "parsed")
+    tables.stage(not_accepted(parsed), job_id, "quarantined")
     valid = split(parsed.drop("parse_errors", "fault")).valid
     received = valid.count()
     held = one_each(valid, tables.stage(repeated_keys(valid), job_id, "repeated"), [])
@@ -363,3 +390,4 @@ def seed(
         stocks.select(*STOCK_COLUMNS, "is_active", *instants[1:]),
         done,
     )
+    tables.drop(job_id, ["parsed", "repeated"])

@@ -256,8 +256,10 @@ def history_payloads(bars: DataFrame, stocks: DataFrame, chunk: Column) -> DataF
         F.col("trade_date").cast("string").alias(HISTORY_DATE),
         *[F.col(name).alias(source) for name, source in HISTORY_FIELDS.items()],
     )
+    # Shuffled by ticker, as rows: the lists are made, and the names joined, where that has put them.
     grouped = (
         bars.withColumn("chunk", chunk)
+        .repartition("ticker")
         .groupBy("ticker", "chunk")
         .agg(F.sort_array(F.collect_list(item)).alias("items"))
     )

@@ -27,6 +27,7 @@ import datetime as dt
 import json
 import os
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import NamedTuple
 
@@ -39,6 +40,7 @@ from barloom.operators.quality import BAR_RULES, assess
 from barloom.operators.ranges import in_range, period_of
 from barloom.operators.runlog import current_state
 from barloom.schema import BAR, BAR_KEY, RUN_EVENT, STORED_STOCK, stored_bar
+from barloom.session import shuffles_dropped
 from barloom.sources.tables import MarketTables
 
 #: Sessions of each symbol that the newest-sessions table holds: those of a sparkline.
@@ -93,20 +95,6 @@ class SnapshotTables(MarketTables):
 
     # --- manifests ---------------------------------------------------------------------
 
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _conf(self):
-        return self.spark.sparkContext._jsc.hadoopConfiguration()
-
-    def _fs(self):
-        return self._path(self.root).getFileSystem(self._conf())
-
-    def _list(self, path: str) -> list[str]:
-        """Names of files and folders in a folder; none if it isn't there."""
-        fs, folder = self._fs(), self._path(path)
-        return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-
     def versions(self) -> list[int]:
         names = self._list(self.path("manifests"))
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
@@ -248,10 +236,11 @@ class SnapshotTables(MarketTables):
         """
         folder = uuid.uuid4().hex
         path = self.path(f"{name}/commit={folder}")
-        if partition is None:
-            rows.hint("rebalance").write.parquet(path)
-            return Change(name, folder, [folder], [])
-        rows.hint("rebalance", partition).sortWithinPartitions(partition, *order).write.partitionBy(partition).parquet(path)
+        with shuffles_dropped(rows.sparkSession):
+            if partition is None:
+                rows.hint("rebalance").write.parquet(path)
+                return Change(name, folder, [folder], [])
+            rows.hint("rebalance", partition).sortWithinPartitions(partition, *order).write.partitionBy(partition).parquet(path)
         written = [n.split("=")[1] for n in self._list(path) if n.startswith(f"{partition}=")]
         return Change(name, folder, written, written if touched is None else sorted({*written, *map(str, touched)}))
 
@@ -352,13 +341,30 @@ class SnapshotTables(MarketTables):
 
     # --- what a job needs --------------------------------------------------------------
 
-    def stage_merge(self, job_id: str, batch: DataFrame, bars: DataFrame, stocks: DataFrame, slots: list[int]) -> list[Change]:
+    def merge_parts(self, job_id: str, periods: list[int]) -> list[list[int]]:
+        """All periods of a batch are written at once, in the one folder that a commit names."""
+        return [periods]
+
+    def stage_merge(
+        self,
+        job_id: str,
+        batch: DataFrame,
+        parts: list[list[int]],
+        merged: Callable[[DataFrame, DataFrame], DataFrame],
+        stocks: DataFrame,
+        slots: list[int],
+    ) -> list[Change]:
         """The folders of a planned job. Called on a pinned object, which is what the plan has read."""
+        [periods] = parts
+        bars = merged(self.bars_in(periods), batch)
         # A held session that the batch restates beyond its own newest ones is not among the newest any more.
         fresh = self.stage(newest_rows(batch.select(*RECENT_COLUMNS), RECENT_DEPTH), job_id, "newest")
         held = self.recent(slots).join(fresh.select(*BAR_KEY), BAR_KEY, "left_anti")
         return [*self.write_bars(bars), self.write_stocks(stocks), self.write_recent(held.unionByName(fresh))]
 
+    def drop_taken(self, job_id: str) -> None:
+        """Nothing: a job that is planned again needs what it took."""
+
     def publish(self, job_id: str, planned: tuple[SnapshotTables, list[Change]], events: DataFrame, done: DataFrame) -> None:
         """All of a job in one commit: bars, stocks, newest sessions, closed runs and the closed job."""
         base, changes = planned

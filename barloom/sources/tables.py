@@ -10,6 +10,7 @@ of the ticker for the same reason.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,10 @@ from barloom.schema import (
     STORED_STOCK,
     stored_bar,
 )
+from barloom.session import shuffles_dropped
+
+#: Bytes of a batch whose periods are merged at once; of a larger one, some periods after the others.
+MERGED_AT_ONCE = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -47,6 +52,20 @@ class MarketTables:
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _conf(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _fs(self):
+        return self._path(self.root).getFileSystem(self._conf())
+
+    def _list(self, path: str) -> list[str]:
+        """Names of files and folders in a folder; none if it isn't there."""
+        fs, folder = self._fs(), self._path(path)
+        return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
     def create(self) -> MarketTables:
         """Create the empty tables that do not exist yet."""
         for name, schema, partition in (
@@ -112,34 +131,44 @@ class MarketTables:
     def _overwrite(
         self, rows: DataFrame, name: str, partition: str, order: list[str]
     ) -> None:
-        (
-            rows.hint("rebalance", partition)
-            .sortWithinPartitions(partition, *order)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(partition)
-            .parquet(self.path(name))
-        )
+        with shuffles_dropped(rows.sparkSession):
+            (
+                rows.hint("rebalance", partition)
+                .sortWithinPartitions(partition, *order)
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(partition)
+                .parquet(self.path(name))
+            )
 
     def append_runs(self, events: DataFrame) -> None:
         events.select(*RUN_EVENT.fieldNames()).write.mode("append").parquet(self.path("runs"))
 
-    def stage(self, rows: DataFrame, job_id: str, name: str) -> DataFrame:
+    def stage(self, rows: DataFrame, job_id: str, name: str, partition: str | None = None) -> DataFrame:
         """Write an intermediate result once and read it back.
 
         It cuts the plan, outlives lost executors, and a rerun of the job
         overwrites it.
         """
         path = self.path(f"staging/{job_id}/{name}")
-        rows.write.mode("overwrite").parquet(path)
+        out = rows.write.mode("overwrite").option("compression", "zstd")
+        with shuffles_dropped(rows.sparkSession):
+            (out.partitionBy(partition) if partition else out).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def overwrite_staged(self, job_id: str) -> None:
-        """Write the merged periods and slots of a job from their staged copies, however often."""
-        bars = self.staged(job_id, "merged_bars", T.StructType([f for f in stored_bar(self.grain) if f.name != self.period]))
+        """Write the merged periods and slots of a job from their staged copies, however often.
+
+        A part of the periods goes once it is in the table: a job that is run again writes those that are left.
+        """
+        schema = T.StructType([f for f in stored_bar(self.grain) if f.name != self.period])
+        for part in sorted(self._list(self.path(f"staging/{job_id}/merged_bars"))):
+            name = f"merged_bars/{part}"
+            if self.has_staged(job_id, name):
+                self.overwrite_bars(self.staged(job_id, name, schema))
+                self.drop(job_id, [name])
         stocks = self.staged(job_id, "merged_stocks", T.StructType([f for f in STORED_STOCK if f.name != "ticker_slot"]))
-        if not bars.isEmpty():
-            self.overwrite_bars(bars)
+        if not stocks.isEmpty():
             self.overwrite_stocks(stocks)
 
     #: Whether a job that is run again after a crash plans anew instead of writing what it had staged.
@@ -152,11 +181,31 @@ class MarketTables:
     def stocks_in(self, slots: list[int]) -> DataFrame:
         return self.stocks().where(F.col("ticker_slot").isin(slots))
 
-    def stage_merge(self, job_id: str, batch: DataFrame, bars: DataFrame, stocks: DataFrame, slots: list[int]) -> None:
-        """Stage the merged rows of a job before anything is replaced."""
-        self.stage(bars, job_id, "merged_bars")
+    def merge_parts(self, job_id: str, periods: list[int]) -> list[list[int]]:
+        """The periods of a batch in those that are merged at once, by the size of what the job has parsed."""
+        size = self._fs().getContentSummary(self._path(self.path(f"staging/{job_id}/parsed"))).getLength()
+        n = min(len(periods), max(1, -(-size // MERGED_AT_ONCE)))
+        return [periods[i * len(periods) // n : (i + 1) * len(periods) // n] for i in range(n)]
+
+    def stage_merge(
+        self,
+        job_id: str,
+        batch: DataFrame,
+        parts: list[list[int]],
+        merged: Callable[[DataFrame, DataFrame], DataFrame],
+        stocks: DataFrame,
+        slots: list[int],
+    ) -> None:
+        """Stage the merged rows of a job before anything is replaced, one part of the periods after the other."""
+        self.drop(job_id, ["merged_bars"])
+        for n, periods in enumerate(parts):
+            self.stage(merged(self.bars_in(periods), batch.where(F.col("merge_part") == n)), job_id, f"merged_bars/{n:04}")
         self.stage(stocks, job_id, "merged_stocks")
 
+    def drop_taken(self, job_id: str) -> None:
+        """Remove what a planned job took from its feed: from here on it needs the merged rows only."""
+        self.drop(job_id, ["batch", "identities", "seen", "failures"])
+
     def publish(self, job_id: str, planned: object, events: DataFrame, done: DataFrame) -> None:
         """Replace bars, then stocks, then log the runs and, as the marker, the job."""
         self.overwrite_staged(job_id)
@@ -170,16 +219,22 @@ class MarketTables:
         self.append_runs(done)
 
     def drop_staged(self, job_id: str) -> None:
-        """Remove what a closed job no longer needs; its parsed rows stay for :func:`quarantine`."""
-        jvm = self.spark._jvm
-        for name in ("pulled", "repeated", "batch", "identities", "newest", "gone", "merged_bars", "merged_stocks", "outcome"):
-            path = jvm.org.apache.hadoop.fs.Path(self.path(f"staging/{job_id}/{name}"))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Remove what a closed job no longer needs; the rows it did not accept stay for :func:`quarantine`."""
+        self.drop(
+            job_id,
+            ["parsed", "pulled", "repeated", "batch", "identities", "seen", "failures", "newest", "gone", "merged_bars", "merged_stocks", "outcome"],
+        )
+
+    def drop(self, job_id: str, names: list[str]) -> None:
+        """Remove intermediate results, the mark that one is whole before the rest of it."""
+        for name in names:
+            path = self.path(f"staging/{job_id}/{name}")
+            self._fs().delete(self._path(f"{path}/_SUCCESS"), False)
+            self._fs().delete(self._path(path), True)
 
     def has_staged(self, job_id: str, name: str) -> bool:
         """Whether an intermediate result was written to its end."""
-        marker = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(f"staging/{job_id}/{name}/_SUCCESS"))
-        return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+        return self._fs().exists(self._path(self.path(f"staging/{job_id}/{name}/_SUCCESS")))
 
     def staged(self, job_id: str, name: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(f"staging/{job_id}/{name}"))

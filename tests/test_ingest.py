@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import json
 import shutil
+import time
 
 import pytest
 from conftest import bar_row
@@ -14,7 +15,8 @@ from barloom.operators.runlog import current_state, latest_run
 from barloom.plans.history import universe_rows, window_of_result
 from barloom.plans.watchlist import watchlist
 from barloom.plans.ingest import IngestError, ingest, quarantine, seed
-from barloom.sources.payloads import Feed, read_history, read_summary
+from barloom.session import SHUFFLE_CLEANUP
+from barloom.sources.payloads import Feed, history_payloads, read_history, read_summary
 from barloom.sources.providers import LandedProvider, TableProvider
 from barloom.sources.tables import MarketTables, publish_bucketed
 from barloom.streaming.incremental import start_ingest
@@ -460,3 +462,99 @@ def test_rules_run_no_lambda_on_sound_rows(make_bars):
     assert plan.index("CASE WHEN isnotnull(coalesce(") < plan.index("filter(")
     found = {r.ticker: r.reasons for r in made.collect()}
     assert found["AAA"] == [] and "open_not_positive" in found["BBB"] and found["BBB"][-1] == "blank_source"
+
+
+def test_a_large_batch_is_merged_in_parts_of_its_periods(spark, tables, landed, monkeypatch):
+    from barloom.sources import tables as store
+
+    monkeypatch.setattr(store, "MERGED_AT_ONCE", 1)
+    run(tables, landed(payload("AAA", item("2026-07-31"), item("2026-08-03"))), "zero")
+    seen, write = [], MarketTables.overwrite_bars
+
+    def noted(self, rows):
+        seen.append(sorted(str(r.trade_date)[:7] for r in rows.collect()))
+        write(self, rows)
+
+    monkeypatch.setattr(MarketTables, "overwrite_bars", noted)
+    frame = landed(payload("AAA", item("2026-06-30", 90), item("2026-07-31", 90), item("2026-08-04", 90)), payload("BBB", item("2026-09-01", 90)))
+    assert counts(run(tables, frame, "one", T1)) == {"AAA": ("succeeded", 3, 2, 1), "BBB": ("succeeded", 1, 1, 0)}
+    assert seen == [["2026-06"], ["2026-07"], ["2026-08", "2026-08"], ["2026-09"]]
+    held = {(r.ticker, str(r.trade_date)): (int(r.close), r.created_at == r.updated_at) for r in tables.bars().collect()}
+    assert held == {
+        ("AAA", "2026-06-30"): (90, True), ("AAA", "2026-07-31"): (90, False), ("AAA", "2026-08-03"): (100, True),
+        ("AAA", "2026-08-04"): (90, True), ("BBB", "2026-09-01"): (90, True),
+    }
+
+
+def test_a_rerun_writes_the_parts_that_are_left(tables, landed, monkeypatch):
+    from barloom.sources import tables as store
+
+    monkeypatch.setattr(store, "MERGED_AT_ONCE", 1)
+    run(tables, landed(payload("AAA", *august(6))), "zero")
+    real, written = MarketTables.overwrite_bars, []
+
+    def fail_at_second(self, rows):
+        if written:
+            raise OSError("executor lost")
+        written.append(rows.count())
+        real(self, rows)
+
+    frame = landed(payload("AAA", item("2026-07-01"), item("2026-08-02", 90), item("2026-09-01")), payload("BBB", item("2026-08-31")))
+    monkeypatch.setattr(MarketTables, "overwrite_bars", fail_at_second)
+    with pytest.raises(OSError):
+        run(tables, frame, "one")
+    assert written == [1] and tables.bars().count() == 7
+    monkeypatch.setattr(MarketTables, "overwrite_bars", lambda self, rows: written.append(rows.count()) or real(self, rows))
+    assert counts(run(tables, frame, "one", T1)) == {"AAA": ("succeeded", 3, 2, 1), "BBB": ("succeeded", 1, 1, 0)}
+    assert written == [1, 7, 1] and tables.bars().count() == 9 and tables.stocks().count() == 2
+
+
+def test_a_job_drops_each_copy_of_the_bars_when_the_next_is_whole(tables, landed, monkeypatch):
+    merge, publish, staged = MarketTables.stage_merge, MarketTables.publish, {}
+    folder = tables.path("staging/one").removeprefix("file:")
+
+    def noted(step, real):
+        def call(self, *args):
+            staged[step] = {f.rsplit("/", 1)[1] for f in glob.glob(f"{folder}/*")}
+            return real(self, *args)
+
+        return call
+
+    monkeypatch.setattr(MarketTables, "stage_merge", noted("merge", merge))
+    monkeypatch.setattr(MarketTables, "publish", noted("publish", publish))
+    run(tables, landed(payload("AAA", *august(3), item("2026-08-09", volume=-1)), "no json"), "one")
+    assert staged["merge"] == {"quarantined", "seen", "failures", "batch", "identities"}
+    assert staged["publish"] == {"quarantined", "merged_bars", "merged_stocks", "outcome"}
+    assert {f.rsplit("/", 1)[1] for f in glob.glob(f"{folder}/*")} == {"quarantined"}
+    assert {r.reasons[0] for r in quarantine(tables, "one").collect()} == {"malformed_json", "volume_shares_negative"}
+
+
+def test_shuffles_go_with_the_query_that_wrote_its_result(spark, folder):
+    [scratch] = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffles():
+        return set(glob.glob(f"{scratch}/*/shuffle_*"))
+
+    tables = MarketTables(spark, folder).create()
+    rows = spark.range(100_000).selectExpr("id % 9973 as ticker", "id").groupBy("ticker").count()
+    setting, before = spark.conf.get(SHUFFLE_CLEANUP), shuffles()
+    rows.write.parquet(f"{folder}/kept")
+    assert shuffles() - before
+    before = shuffles()
+    tables.stage(rows.select("*"), "one", "counts")
+    deadline = time.time() + 10  # they are removed in the background
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(SHUFFLE_CLEANUP) == setting
+
+
+def test_payloads_are_shuffled_once(spark, make_bars, make_stocks):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        made = history_payloads(make_bars(bar_row("AAA", "2026-08-20")), make_stocks(("AAA",)), F.year("trade_date"))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # The bars and the names, each by ticker.
+    assert plan.count("Exchange hashpartitioning(ticker") == plan.count("Exchange") == 2
